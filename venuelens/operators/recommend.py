@@ -126,11 +126,11 @@ def _components() -> dict[str, Column]:
     return parts | {"v_budget": F.col("v_budget") / F.col("v_norm")}
 
 
-def _block_summaries(vectors: DataFrame, block: str, *also: str) -> DataFrame:
+def _block_summaries(vectors: DataFrame, blocks: list[str]) -> DataFrame:
     ranges = []
     for name, part in _components().items():
         ranges += [F.min(part).alias(f"lo_{name}"), F.max(part).alias(f"hi_{name}")]
-    return vectors.groupBy(block, *also, "label", "v_atmosphere", "v_purposes").agg(
+    return vectors.groupBy(*blocks, "label", "v_atmosphere", "v_purposes").agg(
         F.sum(F.size("cafe_ids")).alias("n_venues"), *ranges
     )
 
@@ -185,7 +185,7 @@ def _users(prefs: DataFrame, match_budget: bool) -> DataFrame:
     return coded.withColumn("u_norm", F.sqrt(squared)).select(*_USER)
 
 
-def _narrow(candidates: DataFrame, blocks: DataFrame, on: str, k: int) -> DataFrame:
+def _narrow(candidates: DataFrame, blocks: DataFrame, on: str | list[str], k: int) -> DataFrame:
     """Candidates joined with the blocks that may still hold one of the user's best ``k``.
 
     ``candidates`` carries ``limit``, a proven lower limit of the k-th best; it is raised
@@ -239,10 +239,11 @@ def recommend(
         raise ValueError(f"first bin width {widths[0]} allows more than {MAX_BLOCKS} blocks")
 
     vectors = distinct_venue_vectors(keep_label(with_budget_label(venues), budget_label), k)
-    vectors = vectors.withColumns({f"block{i}": _block_id(w) for i, w in enumerate(widths)})
+    levels = [f"block{i}" for i in range(len(widths))]
+    vectors = vectors.withColumns({b: _block_id(w) for b, w in zip(levels, widths)})
 
     scopes = F.array(F.lit(_ANY_SCOPE), F.col("label")) if match_budget else F.array(F.lit(_ANY_SCOPE))
-    first_level = _block_summaries(vectors, "block0").withColumn(
+    first_level = _block_summaries(vectors, levels[:1]).withColumn(
         "scope", F.explode(F.array_distinct(scopes))
     )
     candidates = (
@@ -252,14 +253,14 @@ def recommend(
     )
     # at most block_bound(widths[0]) summaries per scope, whatever the number of venues
     candidates = _narrow(candidates, F.broadcast(first_level), "scope", k).select(
-        *_USER, "limit", "block0"
+        *_USER, "limit", *levels[:1]
     )
-    for i in range(1, len(widths)):
-        finer = _block_summaries(vectors, f"block{i}", f"block{i - 1}")
-        candidates = _narrow(candidates, finer, f"block{i - 1}", k).select(
-            *_USER, "limit", f"block{i}"
+    for depth in range(1, len(levels)):
+        # blocks of one level need not nest in those above: a finer block is its whole path
+        finer = _block_summaries(vectors, levels[: depth + 1])
+        candidates = _narrow(candidates, finer, levels[:depth], k).select(
+            *_USER, "limit", *levels[: depth + 1]
         )
-    last = f"block{len(widths) - 1}"
 
     best_vectors = Window.partitionBy("user_id").orderBy(
         F.col("order_value"), F.element_at("cafe_ids", 1)
@@ -267,8 +268,8 @@ def recommend(
     similarity = _dot() / (F.col("v_norm") * F.col("u_norm"))
     order_value = -F.col("similarity") if method == "cosine" else F.lit(1.0) - F.col("similarity")
     scored = (
-        candidates.select(*[c for c in _USER if c != "scope"], last)
-        .join(vectors, last)
+        candidates.select(*[c for c in _USER if c != "scope"], *levels)
+        .join(vectors, levels)
         .select("user_id", "cafe_ids", similarity.alias("similarity"))
         .withColumn("order_value", order_value)
         .withColumn("place", F.row_number().over(best_vectors))
