@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from venuelens import clean_venues
 from venuelens.operators.sentiment import SentimentRules
+from venuelens.session import spread
 
 VENUES_SQL = """
 select p_partkey as cafe_id, p_name as name, p_brand as area, 'Town' as location,
@@ -92,7 +93,7 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return spark.sql(REVIEWS_SQL.replace("from documents", "from {docs}"), docs=docs)
 
 

@@ -16,8 +16,10 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _EDGES = rf"(?U)\A{SPACE}+|{SPACE}+\z"
 _BREAK = rf"(?U)(?<=[.!?]){SPACE}+"
 _GAP = rf"(?U){SPACE}+"
-_PUNCT_CLASS = "[" + "".join("\\" + c for c in ASCII_PUNCTUATION) + "]"
-_PUNCT_EDGES = rf"\A{_PUNCT_CLASS}+|{_PUNCT_CLASS}+\z"
+_PUNCT = "".join("\\" + c for c in ASCII_PUNCTUATION)
+_INNER = rf"[^{_PUNCT}\s\x1c-\x1f]"
+_ANY = r"[^\s\x1c-\x1f]"
+_WRAPPED = rf"(?U)(?<!{_ANY})[{_PUNCT}]*+({_INNER}{_ANY}+{_INNER})[{_PUNCT}]*+(?!{_ANY})"
 
 
 def strip(col: Column) -> Column:
@@ -43,10 +45,13 @@ def spaced_token_count(sentence: Column) -> Column:
     return F.size(spaced_tokens(sentence))
 
 
-def bare_token(token: Column) -> Column:
-    """A token without outer punctuation, unless at most two characters would remain."""
-    stripped = F.regexp_replace(token, _PUNCT_EDGES, "")
-    return F.when(F.length(stripped) <= 2, token).otherwise(stripped)
+def without_outer_punctuation(sentence: Column) -> Column:
+    """The sentence with outer punctuation cut from each whitespace token, unless at most
+    two characters of the token would remain.
+
+    One pass over the sentence: a function per token would cost several times as much.
+    """
+    return F.regexp_replace(sentence, _WRAPPED, "$1")
 
 
 def prefix_512(text: Column) -> Column:

@@ -27,5 +27,10 @@ def doubles(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
+    """``a`` at length 1; null without a direction.
+
+    The length is repeated into an array of its own: inside a lambda it would be worked
+    out again for every place.
+    """
     length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length))
+    return F.when(length > 0, F.zip_with(a, F.array_repeat(length, F.size(a)), lambda x, n: x / n))

@@ -31,6 +31,7 @@ from venuelens.functions.clean import budget_fraction, tags_array, with_budget_l
 from venuelens.functions.scores import distance_to_similarity, percent, unit_score
 from venuelens.operators.features import complete_prefs
 from venuelens.operators.filters import budget_filter as keep_label
+from venuelens.session import task_count
 
 MAX_SCORE = 10.0
 #: Rounding may move a bound by about 1e-15; the margin keeps the pruning safe.
@@ -248,7 +249,7 @@ def recommend(
     )
     candidates = (
         _users(prefs, match_budget)
-        .repartition("user_id")
+        .repartition(task_count(prefs.sparkSession), "user_id")
         .withColumn("limit", F.lit(None).cast("double"))
     )
     # at most block_bound(widths[0]) summaries per scope, whatever the number of venues

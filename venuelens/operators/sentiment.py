@@ -92,15 +92,15 @@ def compound(total: Column, alpha: float = DEFAULT_RULES.alpha) -> Column:
     return exact_round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), squeezed)), 4)
 
 
-def _sentence_tokens(sentences: DataFrame, carry: list[str]) -> DataFrame:
-    tokens = F.transform(X.spaced_tokens(F.col("sentence")), lambda t: X.bare_token(t))
-    return sentences.select(*KEYS, *carry, "sentence", tokens.alias("tokens"))
+def _with_tokens(sentences: DataFrame, carry: list[str]) -> DataFrame:
+    bare = X.without_outer_punctuation(F.col("sentence"))
+    return sentences.select(*KEYS, *carry, "sentence", bare.alias("bare"))
 
 
 def score_core(sentences: DataFrame, lexicon: DataFrame, carry: list[str]) -> DataFrame:
     """Sum of the valences of known tokens, normalised; no modifier rule."""
-    exploded = _sentence_tokens(sentences, carry).select(
-        *KEYS, *carry, F.explode(F.transform("tokens", lambda t: F.lower(t))).alias("token")
+    exploded = _with_tokens(sentences, carry).select(
+        *KEYS, *carry, F.explode(X.spaced_tokens(F.lower("bare"))).alias("token")
     )
     return (
         exploded.join(lexicon, "token", "left")
@@ -135,15 +135,16 @@ def score_with_modifiers(
     The rows that are sorted for the look-back are narrow: after the lexicon join the
     token text is replaced by its valence and three cues.
     """
-    lows = F.transform("tokens", lambda t: F.lower(t))
-    uppers = F.size(F.filter("tokens", lambda t: _is_upper(t)))
-    per_sentence = _sentence_tokens(sentences, carry).select(
+    tokens = X.spaced_tokens(F.col("bare"))
+    lows = X.spaced_tokens(F.lower("bare"))
+    uppers = F.size(F.filter(tokens, lambda t: _is_upper(t)))
+    per_sentence = _with_tokens(sentences, carry).select(
         *KEYS,
         *carry,
         punctuation_emphasis(F.col("sentence"), rules).alias("emphasis"),
-        ((uppers > 0) & (uppers < F.size("tokens"))).alias("mixed"),
+        ((uppers > 0) & (uppers < F.size(tokens))).alias("mixed"),
         (F.array_position(lows, rules.contrast) - F.lit(1)).alias("contrast_at"),
-        "tokens",
+        tokens.alias("tokens"),
     )
     exploded = per_sentence.select(
         *KEYS, *carry, "emphasis", "mixed", "contrast_at", F.posexplode("tokens").alias("at", "raw")

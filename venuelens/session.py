@@ -19,11 +19,31 @@ def local_session(cores: int | str = "*", app: str = "venuelens", memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for rows that each carry much work, where small data must not mean few tasks."""
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle once if the source gives fewer tasks than there are cores.
+
+    One file with one row group is read by one task; cutting its texts there would leave
+    the other cores idle.  A source with enough tasks is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables.
 
