@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,25 @@ def aspect_mentions_from_table(reviews: DataFrame, keywords: DataFrame) -> DataF
     return runs.join(keyed, "run").select("cafe_id", "review_id", "sent_pos", "aspect").distinct()
 
 
+_BITS = 62
+
+
+def _to_bits(touched: Column, names: list[str]) -> Column:
+    bits = [
+        F.when(F.array_contains(touched, n), F.lit(1 << i)).otherwise(F.lit(0))
+        for i, n in enumerate(names)
+    ]
+    return reduce(add, bits).cast("bigint")
+
+
+def _from_bits(bits: Column, names: list[str]) -> Column:
+    return F.array_compact(
+        F.array(
+            *[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
+        )
+    )
+
+
 def aspect_by_review(
     reviews: DataFrame,
     lexicon: DataFrame | None = None,
@@ -83,14 +102,23 @@ def aspect_by_review(
 ) -> DataFrame:
     """Mean sentence sentiment per (review, aspect): only aspects the review touches.
 
-    Each touched sentence is scored once.  One exchange by ``review_id`` serves the token
-    look-back and both groupings below it; partitioning by venue would put a popular
-    venue into one task.
+    Each touched sentence is scored once.  One exchange by ``review_id`` serves both
+    groupings above it; partitioning by venue would put a popular venue into one task.
+    What a sentence touches travels with its tokens as bits, not as an array.
     """
-    touched = aspect_sentences(reviews, aspects).repartition("review_id")
-    scored = score_sentences(touched, lexicon, carry=["cafe_id", "aspects"], **scoring)
+    names = list(aspects)
+    masks = [f"touched{i}" for i in range(0, len(names), _BITS)]
+    numbered = [names[i : i + _BITS] for i in range(0, len(names), _BITS)]
+    touched = aspect_sentences(reviews, aspects).select(
+        "cafe_id", "review_id", "sent_pos", "sentence",
+        *[_to_bits(F.col("aspects"), part).alias(m) for m, part in zip(masks, numbered)],
+    )
+    scored = score_sentences(
+        touched.repartition("review_id"), lexicon, carry=["cafe_id", *masks], **scoring
+    )
+    found = F.concat(*[_from_bits(F.col(m), part) for m, part in zip(masks, numbered)])
     return (
-        scored.select("cafe_id", "review_id", F.explode("aspects").alias("aspect"), "compound")
+        scored.select("cafe_id", "review_id", F.explode(found).alias("aspect"), "compound")
         .groupBy("cafe_id", "review_id", "aspect")
         .agg(F.count("*").alias("n_sentences"), F.avg("compound").alias("compound"))
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuelens.functions import text as X
@@ -127,17 +127,24 @@ def _away_from_zero(value: Column, amount: float, sign_of: Column) -> Column:
     return F.when(sign_of > 0, value + F.lit(amount)).otherwise(value - F.lit(amount))
 
 
+def _negates(token: Column, rules: SentimentRules) -> Column:
+    return token.isin(*rules.negators) | F.contains(token, F.lit(rules.negation_mark))
+
+
 def score_with_modifiers(
     sentences: DataFrame, lexicon: DataFrame, rules: SentimentRules, carry: list[str]
 ) -> DataFrame:
-    """All modifier rules, over one partitioning by ``review_id``.
+    """All modifier rules, without a sort.
 
-    The rows that are sorted for the look-back are narrow: after the lexicon join the
-    token text is replaced by its valence and three cues.
+    Each token is exploded together with its three predecessors, which are read from the
+    token array of its own row; so the look-back needs no window.  Whether a predecessor
+    is itself a sentiment word only matters for degree words and negations, hence the
+    small table of cue words.
     """
     tokens = X.spaced_tokens(F.col("bare"))
     lows = X.spaced_tokens(F.lower("bare"))
     uppers = F.size(F.filter(tokens, lambda t: _is_upper(t)))
+    facts = ["emphasis", "mixed", "contrast_at"]
     per_sentence = _with_tokens(sentences, carry).select(
         *KEYS,
         *carry,
@@ -146,43 +153,44 @@ def score_with_modifiers(
         (F.array_position(lows, rules.contrast) - F.lit(1)).alias("contrast_at"),
         tokens.alias("tokens"),
     )
+    distances = range(1, len(rules.damping) + 1)
     exploded = per_sentence.select(
-        *KEYS, *carry, "emphasis", "mixed", "contrast_at", F.posexplode("tokens").alias("at", "raw")
+        *KEYS, *carry, *facts, "tokens", F.posexplode("tokens").alias("at", "raw")
     ).select(
-        *KEYS, *carry, "emphasis", "mixed", "contrast_at", "at",
-        F.lower("raw").alias("token"),
-        (F.col("mixed") & _is_upper(F.col("raw"))).alias("shouted"),
+        *KEYS, *carry, *facts, "at", "raw", F.lower("raw").alias("token"),
+        *[F.get("tokens", F.col("at") - F.lit(d)).alias(f"raw{d}") for d in distances],
     )
-    cued = exploded.join(lexicon, "token", "left").select(
-        *KEYS, *carry, "emphasis", "contrast_at", "at", "shouted", "valence",
-        _booster(F.col("token"), rules.boosters).alias("boost"),
-        (
-            F.col("token").isin(*rules.negators)
-            | F.col("token").contains(rules.negation_mark)
-        ).alias("negates"),
+    row = exploded.join(lexicon.select("token", "valence"), "token", "left")
+    known = lexicon.filter(
+        F.col("token").isin(*rules.boosters) | _negates(F.col("token"), rules)
     )
-    look_back = Window.partitionBy(*KEYS).orderBy("at")
-    cue = F.struct("boost", "negates", "shouted", F.col("valence").isNull().alias("plain"))
-    row = cued.select(
-        "*", *[F.lag(cue, d).over(look_back).alias(f"cue{d}") for d in range(1, 4)]
-    ).withColumn(
+    for d in distances:
+        # only sentiment words look back
+        seen = F.when(F.col("valence").isNotNull(), F.lower(f"raw{d}"))
+        cue = known.select(F.col("token").alias(f"cue{d}"), F.lit(True).alias(f"known{d}"))
+        row = row.withColumn(f"cue{d}", seen).join(cue, f"cue{d}", "left")
+
+    valence = F.col("valence")
+    shouted = F.col("mixed") & _is_upper(F.col("raw"))
+    row = row.withColumn(
         "value",
-        F.when(
-            F.col("shouted"), _away_from_zero(F.col("valence"), rules.capitals, F.col("valence"))
-        ).otherwise(F.col("valence")),
+        F.when(shouted, _away_from_zero(valence, rules.capitals, valence)).otherwise(valence),
     )
-    for distance, damping in enumerate(rules.damping, start=1):
-        before = F.col(f"cue{distance}")
-        value = F.col("value")
-        scalar = _flip(before["boost"], value)
+    for d, damping in enumerate(rules.damping, start=1):
+        cue, value = F.col(f"cue{d}"), F.col("value")
+        boost = _booster(cue, rules.boosters)
+        scalar = _flip(boost, value)
         loud = F.when(
-            before["shouted"], _away_from_zero(scalar, rules.capitals, value)
+            F.col("mixed") & _is_upper(F.col(f"raw{d}")),
+            _away_from_zero(scalar, rules.capitals, value),
         ).otherwise(scalar)
-        lifted = value + F.when(before["boost"] != 0, loud * F.lit(damping)).otherwise(F.lit(0.0))
-        turned = F.when(before["negates"], lifted * F.lit(rules.negation)).otherwise(lifted)
-        # cue is null before the start of the sentence: the value stays
-        row = row.withColumn("value", F.when(before["plain"], turned).otherwise(value))
-    counted = F.when(F.col("boost") != 0, F.lit(0.0)).otherwise(F.coalesce("value", F.lit(0.0)))
+        lifted = value + F.when(boost != 0, loud * F.lit(damping)).otherwise(F.lit(0.0))
+        turned = F.when(_negates(cue, rules), lifted * F.lit(rules.negation)).otherwise(lifted)
+        plain = cue.isNotNull() & F.col(f"known{d}").isNull()
+        row = row.withColumn("value", F.when(plain, turned).otherwise(value))
+
+    is_booster = F.col("token").isin(*rules.boosters)
+    counted = F.when(is_booster | F.col("value").isNull(), F.lit(0.0)).otherwise(F.col("value"))
     at, contrast_at = F.col("at"), F.col("contrast_at")
     weighted = (
         F.when((contrast_at >= 0) & (at < contrast_at), counted * F.lit(rules.before_contrast))
@@ -194,9 +202,8 @@ def score_with_modifiers(
         F.when(total > 0, total + emphasis).when(total < 0, total - emphasis).otherwise(total)
     )
     return (
-        row.withColumn("weighted", weighted)
-        .groupBy(*KEYS, *carry, "emphasis")
-        .agg(F.sum("weighted").alias("total"))
+        row.groupBy(*KEYS, *carry, "emphasis")
+        .agg(F.sum(weighted).alias("total"))
         .select(*KEYS, *carry, compound(signed, rules.alpha).alias("compound"))
     )
 

@@ -15,14 +15,22 @@ from venuelens.operators.terms import not_stopword, sentences, term_counts
 def distinct_sentences(reviews: DataFrame, min_tokens: int = 4) -> DataFrame:
     """Sentences of at least ``min_tokens`` tokens, once per venue and lower-cased text.
 
-    ``first_at`` is the place of the first occurrence.  Copies are combined inside each
-    map task, so a sentence that makes up a third of all rows costs one row per task.
+    ``(review_id, sent_pos)`` is the place of the first occurrence.  Copies are combined
+    inside each map task, so a sentence that makes up a third of all rows costs one row
+    per task.
     """
+    first_at = F.col("first_at")
     return (
         sentences(reviews)
         .filter(X.spaced_token_count(F.col("sentence")) >= min_tokens)
         .groupBy("cafe_id", F.lower("sentence").alias("key"))
         .agg(F.min(X.position(F.col("review_id"), F.col("sent_pos"))).alias("first_at"))
+        .select(
+            "cafe_id",
+            X.position_review(first_at).alias("review_id"),
+            X.position_offset(first_at).alias("sent_pos"),
+            "key",
+        )
     )
 
 
@@ -37,31 +45,27 @@ def sentence_salience(
     one task.  The other hot keys, frequent words of a large venue, meet exactly one
     row of ``counts``: adaptive execution can split them freely.
     """
+    place = ["cafe_id", "review_id", "sent_pos"]
     found = X.word_array(F.col("key"))
-    listed = distinct.select("cafe_id", "first_at", found.alias("found")).select(
-        "cafe_id",
-        "first_at",
+    listed = distinct.select(*place, found.alias("found")).select(
+        *place,
         F.size("found").alias("n_words"),
-        F.explode_outer(
-            F.filter("found", lambda w: not_stopword(w, stopwords))
-        ).alias("listed_word"),
-    )
-    keyed = listed.select(
-        "cafe_id",
-        "first_at",
-        "n_words",
-        F.coalesce("listed_word", F.col("first_at").cast("string")).alias("word"),
+        F.explode_outer(F.filter("found", lambda w: not_stopword(w, stopwords))).alias("listed"),
     )
+    own_place = F.concat_ws(" ", "review_id", "sent_pos")
+    keyed = listed.select(*place, "n_words", F.coalesce("listed", own_place).alias("word"))
     return (
         keyed.join(counts.select("cafe_id", "word", "n"), ["cafe_id", "word"], "left")
-        .groupBy("cafe_id", "first_at", "n_words")
+        .groupBy(*place, "n_words")
         .agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("weight"))
         .withColumn("ratio", F.col("weight") / (F.col("n_words") + F.lit(1)))
     )
 
 
 def top_sentences(salience: DataFrame, max_sentences: int = 3) -> DataFrame:
-    order = Window.partitionBy("cafe_id").orderBy(F.col("ratio").desc(), F.col("first_at"))
+    order = Window.partitionBy("cafe_id").orderBy(
+        F.col("ratio").desc(), "review_id", "sent_pos"
+    )
     return salience.withColumn("rank", F.row_number().over(order)).filter(
         F.col("rank") <= max_sentences
     )
@@ -89,8 +93,8 @@ def summary_sentences(
     scored = winners.join(largest, "cafe_id", "left").select(
         "cafe_id",
         "rank",
-        X.position_review(F.col("first_at")).alias("review_id"),
-        X.position_offset(F.col("first_at")).alias("sent_pos"),
+        "review_id",
+        "sent_pos",
         "n_words",
         "weight",
         (F.col("weight") / F.coalesce("max_n", F.lit(1)) / (F.col("n_words") + F.lit(1))).alias(
