@@ -14,26 +14,52 @@ from venuelens.operators.sentiment import score_sentences
 from venuelens.operators.terms import sentences
 
 
+_BITS = 62
+
+
 def mentions_any(lowered: Column, keywords: list[str]) -> Column:
     """Any keyword anywhere in the text: a substring test, not a word test."""
     return reduce(or_, [F.contains(lowered, F.lit(k)) for k in keywords])
 
 
-def touched_aspects(lowered: Column, aspects: dict[str, list[str]]) -> Column:
-    """The aspects a lower-cased sentence touches, each at most once."""
-    hits = [F.when(mentions_any(lowered, kws), F.lit(a)) for a, kws in aspects.items()]
-    return F.array_compact(F.array(*hits))
+def _chunks(aspects: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Aspect names by the bit column that marks them, ``_BITS`` to a column."""
+    names = list(aspects)
+    return {f"touched{i}": names[i : i + _BITS] for i in range(0, len(names), _BITS)}
+
+
+def _from_bits(chunks: dict[str, list[str]]) -> Column:
+    marks = [
+        F.when(F.col(c).bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(n))
+        for c, names in chunks.items()
+        for i, n in enumerate(names)
+    ]
+    return F.array_compact(F.array(*marks))
 
 
 def aspect_sentences(
     reviews: DataFrame, aspects: dict[str, list[str]] = vocab.ASPECT_KEYWORDS
 ) -> DataFrame:
-    """Sentences that touch at least one aspect, with the array of those aspects."""
+    """Sentences that touch at least one aspect; the aspects are bits of ``touched...``."""
+    lowered = F.col("lowered")
+    chunks = _chunks(aspects)
+    bits = {
+        c: reduce(
+            add,
+            [
+                F.when(mentions_any(lowered, aspects[n]), F.lit(1 << i).cast("bigint")).otherwise(
+                    F.lit(0).cast("bigint")
+                )
+                for i, n in enumerate(names)
+            ],
+        )
+        for c, names in chunks.items()
+    }
     return (
         sentences(reviews)
         .withColumn("lowered", F.lower("sentence"))
-        .withColumn("aspects", touched_aspects(F.col("lowered"), aspects))
-        .filter(F.size("aspects") > 0)
+        .withColumns(bits)
+        .filter(reduce(or_, [F.col(c) != 0 for c in chunks]))
         .drop("lowered")
     )
 
@@ -43,7 +69,7 @@ def aspect_mentions(
 ) -> DataFrame:
     """One ``(cafe_id, review_id, sent_pos, aspect)`` row per mention."""
     return aspect_sentences(reviews, aspects).select(
-        "cafe_id", "review_id", "sent_pos", F.explode("aspects").alias("aspect")
+        "cafe_id", "review_id", "sent_pos", F.explode(_from_bits(_chunks(aspects))).alias("aspect")
     )
 
 
@@ -75,25 +101,6 @@ def aspect_mentions_from_table(reviews: DataFrame, keywords: DataFrame) -> DataF
     return runs.join(keyed, "run").select("cafe_id", "review_id", "sent_pos", "aspect").distinct()
 
 
-_BITS = 62
-
-
-def _to_bits(touched: Column, names: list[str]) -> Column:
-    bits = [
-        F.when(F.array_contains(touched, n), F.lit(1 << i)).otherwise(F.lit(0))
-        for i, n in enumerate(names)
-    ]
-    return reduce(add, bits).cast("bigint")
-
-
-def _from_bits(bits: Column, names: list[str]) -> Column:
-    return F.array_compact(
-        F.array(
-            *[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
-        )
-    )
-
-
 def aspect_by_review(
     reviews: DataFrame,
     lexicon: DataFrame | None = None,
@@ -106,19 +113,13 @@ def aspect_by_review(
     groupings above it; partitioning by venue would put a popular venue into one task.
     What a sentence touches travels with its tokens as bits, not as an array.
     """
-    names = list(aspects)
-    masks = [f"touched{i}" for i in range(0, len(names), _BITS)]
-    numbered = [names[i : i + _BITS] for i in range(0, len(names), _BITS)]
-    touched = aspect_sentences(reviews, aspects).select(
-        "cafe_id", "review_id", "sent_pos", "sentence",
-        *[_to_bits(F.col("aspects"), part).alias(m) for m, part in zip(masks, numbered)],
-    )
-    scored = score_sentences(
-        touched.repartition("review_id"), lexicon, carry=["cafe_id", *masks], **scoring
-    )
-    found = F.concat(*[_from_bits(F.col(m), part) for m, part in zip(masks, numbered)])
+    chunks = _chunks(aspects)
+    touched = aspect_sentences(reviews, aspects).repartition("review_id")
+    scored = score_sentences(touched, lexicon, carry=["cafe_id", *chunks], **scoring)
     return (
-        scored.select("cafe_id", "review_id", F.explode(found).alias("aspect"), "compound")
+        scored.select(
+            "cafe_id", "review_id", F.explode(_from_bits(chunks)).alias("aspect"), "compound"
+        )
         .groupBy("cafe_id", "review_id", "aspect")
         .agg(F.count("*").alias("n_sentences"), F.avg("compound").alias("compound"))
     )

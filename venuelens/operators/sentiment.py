@@ -86,10 +86,15 @@ def punctuation_emphasis(sentence: Column, rules: SentimentRules) -> Column:
     return marks * F.lit(rules.exclamation) + questions
 
 
-def compound(total: Column, alpha: float = DEFAULT_RULES.alpha) -> Column:
-    """A valence sum squeezed into [-1, 1], four decimals."""
+def with_compound(
+    totals: DataFrame, carry: list[str], alpha: float = DEFAULT_RULES.alpha
+) -> DataFrame:
+    """Valence sums ``total`` squeezed into [-1, 1] as ``compound``, four decimals."""
+    total = F.col("total")
     squeezed = total / F.sqrt(total * total + F.lit(alpha))
-    return exact_round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), squeezed)), 4)
+    return totals.select(
+        *KEYS, *carry, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), squeezed)).alias("squeezed")
+    ).select(*KEYS, *carry, exact_round(F.col("squeezed"), 4).alias("compound"))
 
 
 def _with_tokens(sentences: DataFrame, carry: list[str]) -> DataFrame:
@@ -102,12 +107,12 @@ def score_core(sentences: DataFrame, lexicon: DataFrame, carry: list[str]) -> Da
     exploded = _with_tokens(sentences, carry).select(
         *KEYS, *carry, F.explode(X.spaced_tokens(F.lower("bare"))).alias("token")
     )
-    return (
+    totals = (
         exploded.join(lexicon, "token", "left")
         .groupBy(*KEYS, *carry)
         .agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("total"))
-        .select(*KEYS, *carry, compound(F.col("total")).alias("compound"))
     )
+    return with_compound(totals, carry)
 
 
 def _booster(token: Column, boosters: dict[str, float]) -> Column:
@@ -131,6 +136,16 @@ def _negates(token: Column, rules: SentimentRules) -> Column:
     return token.isin(*rules.negators) | F.contains(token, F.lit(rules.negation_mark))
 
 
+def _after_cue(value: Column, cue: Column, rules: SentimentRules) -> Column:
+    """A valence after one preceding word: lifted by a degree word, turned by a negation."""
+    boost = _booster(cue["word"], rules.boosters)
+    scalar = _flip(boost, value)
+    loud = F.when(cue["loud"], _away_from_zero(scalar, rules.capitals, value)).otherwise(scalar)
+    lifted = value + F.when(boost != 0, loud * cue["damping"]).otherwise(F.lit(0.0))
+    turned = F.when(_negates(cue["word"], rules), lifted * F.lit(rules.negation)).otherwise(lifted)
+    return F.when(cue["word"].isNotNull() & cue["plain"], turned).otherwise(value)
+
+
 def score_with_modifiers(
     sentences: DataFrame, lexicon: DataFrame, rules: SentimentRules, carry: list[str]
 ) -> DataFrame:
@@ -141,21 +156,28 @@ def score_with_modifiers(
     is itself a sentiment word only matters for degree words and negations, hence the
     small table of cue words.
     """
-    tokens = X.spaced_tokens(F.col("bare"))
-    lows = X.spaced_tokens(F.lower("bare"))
-    uppers = F.size(F.filter(tokens, lambda t: _is_upper(t)))
+    distances = range(1, len(rules.damping) + 1)
     facts = ["emphasis", "mixed", "contrast_at"]
-    per_sentence = _with_tokens(sentences, carry).select(
+    cut = _with_tokens(sentences, carry).select(
+        *KEYS, *carry, "sentence", "bare", X.spaced_tokens(F.col("bare")).alias("tokens")
+    )
+    counted_uppers = cut.withColumn(
+        "n_upper", F.size(F.filter("tokens", lambda t: _is_upper(t)))
+    )
+    lows = X.spaced_tokens(F.lower("bare"))
+    per_sentence = counted_uppers.select(
         *KEYS,
         *carry,
         punctuation_emphasis(F.col("sentence"), rules).alias("emphasis"),
-        ((uppers > 0) & (uppers < F.size(tokens))).alias("mixed"),
+        ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("tokens"))).alias("mixed"),
         (F.array_position(lows, rules.contrast) - F.lit(1)).alias("contrast_at"),
-        tokens.alias("tokens"),
+        "tokens",
     )
-    distances = range(1, len(rules.damping) + 1)
     exploded = per_sentence.select(
-        *KEYS, *carry, *facts, "tokens", F.posexplode("tokens").alias("at", "raw")
+        *KEYS, *carry, *facts, "tokens",
+        # outer, although no sentence is empty: the inner form would add a filter on the
+        # token count, which cuts every sentence a second time
+        F.posexplode_outer("tokens").alias("at", "raw"),
     ).select(
         *KEYS, *carry, *facts, "at", "raw", F.lower("raw").alias("token"),
         *[F.get("tokens", F.col("at") - F.lit(d)).alias(f"raw{d}") for d in distances],
@@ -170,27 +192,29 @@ def score_with_modifiers(
         cue = known.select(F.col("token").alias(f"cue{d}"), F.lit(True).alias(f"known{d}"))
         row = row.withColumn(f"cue{d}", seen).join(cue, f"cue{d}", "left")
 
+    # One fold over the cues, worked out for sentiment words only.  Written out as
+    # columns, the steps would make the generated method too long to be compiled.
+    cues = F.array(
+        *[
+            F.struct(
+                F.col(f"cue{d}").alias("word"),
+                F.col(f"known{d}").isNull().alias("plain"),
+                (F.col("mixed") & _is_upper(F.col(f"raw{d}"))).alias("loud"),
+                F.lit(damping).alias("damping"),
+            )
+            for d, damping in enumerate(rules.damping, start=1)
+        ]
+    )
     valence = F.col("valence")
     shouted = F.col("mixed") & _is_upper(F.col("raw"))
-    row = row.withColumn(
-        "value",
-        F.when(shouted, _away_from_zero(valence, rules.capitals, valence)).otherwise(valence),
-    )
-    for d, damping in enumerate(rules.damping, start=1):
-        cue, value = F.col(f"cue{d}"), F.col("value")
-        boost = _booster(cue, rules.boosters)
-        scalar = _flip(boost, value)
-        loud = F.when(
-            F.col("mixed") & _is_upper(F.col(f"raw{d}")),
-            _away_from_zero(scalar, rules.capitals, value),
-        ).otherwise(scalar)
-        lifted = value + F.when(boost != 0, loud * F.lit(damping)).otherwise(F.lit(0.0))
-        turned = F.when(_negates(cue, rules), lifted * F.lit(rules.negation)).otherwise(lifted)
-        plain = cue.isNotNull() & F.col(f"known{d}").isNull()
-        row = row.withColumn("value", F.when(plain, turned).otherwise(value))
-
+    start = F.when(shouted, _away_from_zero(valence, rules.capitals, valence)).otherwise(valence)
     is_booster = F.col("token").isin(*rules.boosters)
-    counted = F.when(is_booster | F.col("value").isNull(), F.lit(0.0)).otherwise(F.col("value"))
+    counted = F.when(
+        valence.isNotNull() & ~is_booster,
+        F.aggregate(cues, start, lambda value, cue: _after_cue(value, cue, rules)),
+    ).otherwise(F.lit(0.0))
+    row = row.select(*KEYS, *carry, "emphasis", "at", "contrast_at", counted.alias("counted"))
+    counted = F.col("counted")
     at, contrast_at = F.col("at"), F.col("contrast_at")
     weighted = (
         F.when((contrast_at >= 0) & (at < contrast_at), counted * F.lit(rules.before_contrast))
@@ -201,11 +225,8 @@ def score_with_modifiers(
     signed = (
         F.when(total > 0, total + emphasis).when(total < 0, total - emphasis).otherwise(total)
     )
-    return (
-        row.groupBy(*KEYS, *carry, "emphasis")
-        .agg(F.sum(weighted).alias("total"))
-        .select(*KEYS, *carry, compound(signed, rules.alpha).alias("compound"))
-    )
+    totals = row.groupBy(*KEYS, *carry, "emphasis").agg(F.sum(weighted).alias("total"))
+    return with_compound(totals.withColumn("total", signed), carry, rules.alpha)
 
 
 def score_sentences(
