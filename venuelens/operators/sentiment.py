@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from venuelens.functions import text as X
 from venuelens.functions.rounding import exact_round
 from venuelens.functions.scores import signed_score
+from venuelens.session import broadcast_if_small
 
 # --- fixed values: degree words, negations and factors of the published rules --
 STRENGTHENERS = (
@@ -66,6 +67,9 @@ DEFAULT_RULES = SentimentRules()
 
 KEYS = ["review_id", "sent_pos"]
 
+#: A lexicon up to this size is broadcast (some 50 MB); a larger one is joined by shuffle.
+MAX_BROADCAST_TOKENS = 500_000
+
 
 def _is_upper(token: Column) -> Column:
     return (token == F.upper(token)) & (token != F.lower(token))
@@ -182,9 +186,10 @@ def score_with_modifiers(
         *KEYS, *carry, *facts, "at", "raw", F.lower("raw").alias("token"),
         *[F.get("tokens", F.col("at") - F.lit(d)).alias(f"raw{d}") for d in distances],
     )
-    row = exploded.join(lexicon.select("token", "valence"), "token", "left")
-    known = lexicon.filter(
-        F.col("token").isin(*rules.boosters) | _negates(F.col("token"), rules)
+    row = exploded.join(lexicon, "token", "left")
+    known = broadcast_if_small(
+        lexicon.filter(F.col("token").isin(*rules.boosters) | _negates(F.col("token"), rules)),
+        MAX_BROADCAST_TOKENS,
     )
     for d in distances:
         # only sentiment words look back
@@ -248,6 +253,7 @@ def score_sentences(
         return scorer(sentences).select(*KEYS, *carry, "compound")
     if lexicon is None:
         raise ValueError("give a lexicon or a scorer")
+    lexicon = broadcast_if_small(lexicon.select("token", "valence"), MAX_BROADCAST_TOKENS)
     if rules is None:
         return score_core(sentences, lexicon, carry)
     return score_with_modifiers(sentences, lexicon, rules, carry)

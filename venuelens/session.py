@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "venuelens", memory: str = "8g") -> SparkSession:
@@ -32,6 +33,15 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
+
+    At most ``max_rows + 1`` rows are counted.  Without the hint a table that was built in
+    Python counts as unboundedly large, and the other side would be shuffled.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle once if the source gives fewer tasks than there are cores.
 
