@@ -74,9 +74,12 @@ def nearest(
         F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("q"), F.col("centre"))))),
         F.lit(0.0),
     )
-    # every query meets every block summary (at most MAX_BLOCKS), never every vector
-    reach = asked.withColumn("all", F.lit(0)).join(blocks.withColumn("all", F.lit(0)), "all").select(
-        "query_id", "block", "n", to_centre.alias("angle"), "radius"
+    # every query looks up the block summaries (at most MAX_BLOCKS), never every vector
+    reach = (
+        asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(MAX_BLOCKS - 1))))
+        .withColumn("block", F.col("block").cast("bigint"))
+        .join(blocks, "block")
+        .select("query_id", "block", "n", to_centre.alias("angle"), "radius")
     )
     limit = reach.filter(F.col("n") >= k).groupBy("query_id").agg(
         F.min(F.col("angle") + F.col("radius")).alias("limit")

@@ -252,10 +252,15 @@ def recommend(
         .repartition(task_count(prefs.sparkSession), "user_id")
         .withColumn("limit", F.lit(None).cast("double"))
     )
-    # at most block_bound(widths[0]) summaries per scope, whatever the number of venues
-    candidates = _narrow(candidates, F.broadcast(first_level), "scope", k).select(
-        *_USER, "limit", *levels[:1]
-    )
+    # Each user looks up the block summaries of every atmosphere: at most
+    # block_bound(widths[0]) of them per scope, whatever the number of venues.
+    atmospheres = F.sequence(F.lit(0), F.lit(len(vocab.ATMOSPHERES)))
+    candidates = _narrow(
+        candidates.withColumn("v_atmosphere", F.explode(atmospheres)),
+        F.broadcast(first_level),
+        ["scope", "v_atmosphere"],
+        k,
+    ).select(*_USER, "limit", *levels[:1])
     for depth in range(1, len(levels)):
         # blocks of one level need not nest in those above: a finer block is its whole path
         finer = _block_summaries(vectors, levels[: depth + 1])
