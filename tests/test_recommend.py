@@ -178,9 +178,9 @@ def test_plan_meets_no_venue_without_a_key(spark):
     rng = random.Random(18)
     v = spark.createDataFrame(make_venues(rng, 30), VENUE)
     p = spark.createDataFrame(make_prefs(rng, 3), PREF)
-    stored = spark.sql("select 1L vec_id, array(1.0D) embedding, 1 label")
-    asked = spark.sql("select 1L query_id, array(1.0D) query")
-    for df in (vl.recommend(v, p, match_budget=True), vl.recommend(v, p), vl.nearest(stored, asked, 1)):
+    stored = spark.createDataFrame([(1, [1.0], 1), (2, [2.0], 1)], "vec_id bigint, embedding array<double>, label int")
+    asked = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "query_id bigint, query array<double>")
+    for df in (vl.recommend(v, p, match_budget=True), vl.recommend(v, p), vl.nearest(stored, asked, 2)):
         plan = plan_of(df)
         assert "WindowGroupLimit" in plan
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "EvalPython" not in plan
