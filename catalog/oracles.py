@@ -343,10 +343,18 @@ def board(name: str) -> str:
 
 FIRST_BY_NAME = "firsts_by_name as (select min(cafe_id) as cafe_id from venues group by name)"
 CARD_PLACE = "area || ', ' || location"
-JSON_COLS = [
+JSON_FIELDS = [
     "cafe_id", "name", "num_reviews", "avg_review_rating", "overall_rating", *vocab.SCORE_COLS,
-    "noise_level", "budget", "ai_recommendation_score",
+    "noise_level", "budget", "ai_recommendation_score", "aspect_sentiment_10", "ai_summary", "keywords",
 ]
+JSON = f"""{FULL},
+aspect_maps as (
+  select cafe_id, map_from_entries(list((aspect, score) order by aspect)) as m from per_venue group by cafe_id),
+keyword_arrays as (select cafe_id, list(word order by rank) as l from keywords group by cafe_id),
+records as (
+  select f.* exclude (aspect_sentiment_10, keywords), coalesce(m, map {{}}) as aspect_sentiment_10,
+    coalesce(l, []) as keywords
+  from full_analysis f left join aspect_maps using (cafe_id) left join keyword_arrays using (cafe_id))"""
 
 ORACLES: dict[str, str] = {
     "clean_venues": f"""with {VENUES}, tagged as (
@@ -435,6 +443,8 @@ from labels l join documents d on d.doc_id = l.doc_id""",
 select review_id, sent_pos, role,
   case when contains(lower(s), 'tion') then length(s)/512e0 else -(length(s)/512e0) end as compound from t""",
     "analysis_full": f"with {FULL} select * from full_analysis",
+    "analysis_json": f"""with {JSON} select cafe_id,
+  cast(json_object({', '.join(f"{lit(c)}, {c}" for c in JSON_FIELDS)}) as varchar) as json from records""",
     "venue_report_header": f"""with {ANALYSIS}, {FIRST_BY_NAME}
 select v.cafe_id, name, {CARD_PLACE} || ' · ' || budget || ' · ' || atmosphere || ' atmosphere' as caption,
   overall_rating, a.ai_recommendation_score, noise_level, num_reviews, ai_summary

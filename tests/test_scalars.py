@@ -126,6 +126,17 @@ def test_bare_tokens(spark, token, bare):
     assert values(df.select(cleaned.alias("v"))) == [[bare, bare]]
 
 
+def test_token_and_text_checks(spark):
+    sentences = ["one", "a b c", "a b c d", "a\u00a0b\tc\x1cd e", "x"]
+    df = spark.createDataFrame([(s,) for s in sentences], "t string")
+    counts = values(df.select(X.spaced_token_count(F.col("t")).alias("v")))
+    assert counts == [1, 3, 4, 5, 1]
+    for n in (1, 2, 4, 5):
+        assert values(df.select(X.has_tokens(F.col("t"), n).alias("v"))) == [c >= n for c in counts]
+    texts = spark.createDataFrame([(" a",), ("\u00a0 \x1c\n",), ("",), (None,)], "t string")
+    assert values(texts.select(X.has_text(F.col("t")).alias("v"))) == [True, False, False, False]
+
+
 def test_position_orders_like_the_pair(spark):
     pairs = [(0, 5), (1, 0), (3, 2**31 - 1), (4, 0), (2**62, 7), (2**62, 8)]
     df = spark.createDataFrame(pairs, "r bigint, o int").withColumn("p", X.position(F.col("r"), F.col("o")))

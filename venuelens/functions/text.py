@@ -26,6 +26,11 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), _EDGES, "")
 
 
+def has_text(col: Column) -> Column:
+    """Anything but whitespace in the text; stops at the first such character."""
+    return F.coalesce(F.rlike(col, F.lit(rf"(?U){_ANY}")), F.lit(False))
+
+
 def sentence_array(text: Column) -> Column:
     """Non-empty sentences: split at whitespace that follows ``.``, ``!`` or ``?``."""
     return F.filter(F.split(strip(text), _BREAK), lambda s: s != "")
@@ -45,6 +50,12 @@ def spaced_token_count(sentence: Column) -> Column:
     return F.size(spaced_tokens(sentence))
 
 
+def has_tokens(sentence: Column, n: int) -> Column:
+    """At least ``n`` whitespace tokens in a sentence that carries no outer whitespace;
+    reads no further than the ``n``-th."""
+    return F.rlike(sentence, F.lit(rf"(?U)\A(?:{_ANY}++{SPACE}++){{{n - 1}}}{_ANY}"))
+
+
 def without_outer_punctuation(sentence: Column) -> Column:
     """The sentence with outer punctuation cut from each whitespace token, unless at most
     two characters of the token would remain.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from venuelens.functions.clean import whole_stars
 from venuelens.functions.rounding import scaled_round
-from venuelens.functions.text import strip
+from venuelens.functions.text import has_text
 
 
 def review_stats(reviews: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def review_stats(reviews: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("num_reviews"),
             (F.sum(rating).cast("double") / F.count(rating)).alias("mean_rating"),
-            F.max(strip(F.col("review_text")) != "").alias("has_text"),
+            F.max(has_text(F.col("review_text"))).alias("has_text"),
         )
         .select(
             "cafe_id",

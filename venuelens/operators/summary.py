@@ -22,7 +22,7 @@ def distinct_sentences(reviews: DataFrame, min_tokens: int = 4) -> DataFrame:
     first_at = F.col("first_at")
     return (
         sentences(reviews)
-        .filter(X.spaced_token_count(F.col("sentence")) >= min_tokens)
+        .filter(X.has_tokens(F.col("sentence"), min_tokens))
         .groupBy("cafe_id", F.lower("sentence").alias("key"))
         .agg(F.min(X.position(F.col("review_id"), F.col("sent_pos"))).alias("first_at"))
         .select(
@@ -130,7 +130,7 @@ def summarize(reviews: DataFrame, max_sentences: int = 3, **options) -> DataFram
     """
     texts = summary_text(summary_sentences(reviews, max_sentences, **options))
     has_text = reviews.groupBy("cafe_id").agg(
-        F.max(X.strip(F.col("review_text")) != "").alias("has_text")
+        F.max(X.has_text(F.col("review_text"))).alias("has_text")
     )
     return has_text.join(texts, "cafe_id", "left").select(
         "cafe_id", summary_or_default(F.col("ai_summary"), F.col("has_text")).alias("ai_summary")
