@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,17 +54,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediate tables.
+    """The folder for written intermediate tables, one that every executor reaches.
 
-    A cluster names one in ``spark.checkpoint.dir``.  A machine-local folder is used
-    only by a local master that names none, because no other machine has to read it.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder of the
+    warehouse is used, which is shared as well.  Never a machine-local temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="venuelens-")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
