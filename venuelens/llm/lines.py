@@ -68,10 +68,12 @@ def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents:
     return lost.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``docs`` with ``text`` cut down, and two columns more: ``n_lines`` (before) and ``n_dropped``.
+def dedup_lines(
+    docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, counts: bool = True
+) -> DataFrame:
+    """``docs`` with ``text`` cut down, and with ``counts`` also ``n_lines`` (before) and ``n_dropped``.
 
-    Columns of these names in ``docs`` are replaced.
+    With ``counts`` columns of these names in ``docs`` are replaced; all other columns stay.
     """
     lost = dropped_lines(docs, min_length, min_documents)
     mark, drop, key = (free_name(docs, x) for x in ("line_mark", "line_drop", "line_doc"))
@@ -80,7 +82,9 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: in
     lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    full = docs.join(lost, same, "left").withColumn("n_lines", F.size(lines).cast("bigint"))
-    full = full.withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("bigint"))
+    full = docs.join(lost, same, "left")
+    if counts:
+        full = full.withColumn("n_lines", F.size(lines).cast("bigint"))
+        full = full.withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("bigint"))
     full = full.withColumn("text", F.when(F.col(drop).isNull(), F.coalesce("text", F.lit(""))).otherwise(text))
     return full.drop(key, mark, drop)

@@ -36,7 +36,7 @@ _SYMBOL = ~(_LETTERS | _PROSE | _BLANK)
 _SYMBOL[48:58] = False
 
 #: Length of the vector that ``statistics`` returns.
-N_STATS = 12
+N_STATS = 11
 
 
 def _share(part: float, whole: float) -> float:
@@ -64,7 +64,6 @@ def statistics(text: str | None) -> list[float]:
         _share(bytes_of[48:58].sum(), size),
         _share(len(set(words)), n),
         _share(repeats, n),
-        _share(len(set(lines)), len(lines)),
         math.log1p(len(lines) / n) if n else 0.0,
         float(-(seen * np.log(seen)).sum()),
     ]

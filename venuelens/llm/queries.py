@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuelens.llm import language, lines, packing, quality, simhash, toxicity
+from venuelens.llm import decontaminate, language, licenses, lines, nearest, packing, pii, quality, simhash, toxicity
 from venuelens.llm.common import crc_rest, table
 
 #: A document is taken as class 1 from this score on.
@@ -35,6 +35,19 @@ def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return _scored(docs, held_out, toxicity.toxicity_score(F.col("text"), model))
 
 
+def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, d, "documents"), licenses.known_licenses(spark))
+
+
+def op4_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, d, "documents"))
+    counts = [pii.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("bigint").alias("n_identifier"),
+    )
+
+
 def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, d, "documents"))
     print_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -48,6 +61,10 @@ def op6_language(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op7_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     pieces = packing.pack(table(spark, d, "documents"), tokenizer_path())
     return pieces.select(
@@ -55,6 +72,10 @@ def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op10_lines(spark: SparkSession, d: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, d, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -63,9 +84,13 @@ def op10_lines(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_nearest": op7_nearest,
     "op8_packing": op8_packing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
 }
 ORACLES: dict[str, str] = {}
