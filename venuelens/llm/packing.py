@@ -8,8 +8,8 @@ batch of consecutive ids has one length.
 
 Token ids are those of the tokenizer's own encoding of the whole text.  A text is cut before
 blanks and line feeds that stand alone between other characters; there the tokenizer's
-pre-tokenizer always cuts as well, so the ids of a word are looked up once per process and
-reused.  Any other text is encoded in one call.
+pre-tokenizer always cuts as well, so the ids of a word are found once and reused.  Any other
+text is encoded as one.
 
 Edge cases: a null text counts as empty, an empty text has the closing id alone; lone
 surrogates can't occur in Spark strings; repeated rows are packed one by one; sequence ids
@@ -18,7 +18,12 @@ are unique within one run and depend on how the input is dealt out.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
+import sys
+import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,34 +34,49 @@ from pyspark.sql import functions as F
 MAX_LENGTH = 2048
 CLOSING_ID = 1
 
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 _PIECE = re.compile(r" ?[^ \n]+|\n")
 _KNOWN = 1 << 19
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class Encoder(dict):
-    """Words to their ids, as little-endian unsigned 32-bit numbers."""
+def single_spaced(text: str) -> bool:
+    """Whether all white space is blanks and line feeds that stand alone between other characters."""
+    if any(two in text for two in ("  ", "\n\n", " \n", "\n ")) or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return sum(map(len, text.split())) + text.count(" ") + text.count("\n") == len(text)
+
+
+class Encoder:
+    """Whole texts to their ids, as little-endian unsigned 32-bit numbers; words are encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a text that is not single-spaced is one piece."""
+        pieces = [_PIECE.findall(x) if x and single_spaced(x) else [x] for x in texts]
+        fresh = list(set().union(*pieces).difference(self.known))
+        if len(self.known) + len(fresh) > _KNOWN:
+            self.known = {}
+            fresh = list(set().union(*pieces))
+        self.known.update(zip(fresh, self._encode(fresh), strict=True))
+        return [b"".join(map(self.known.__getitem__, x)) for x in pieces]
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
-        if len(self) < _KNOWN:
-            self[word] = found
-        return found
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text."""
-        if not text or _ODD_SPACE.search(text):
-            return self.encode(text) if text else b""
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+def _encoder(path: str) -> Encoder:
+    """The worker process's encoder, kept from task to task."""
+    kept = sys.modules.setdefault("venuelens_encoders", types.ModuleType("venuelens_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -79,15 +99,13 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, closing_
     levels = max_length.bit_length()
 
     def cut(batches):
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         task = TaskContext.get().partitionId()
         used = [0] * levels
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+        for doc_ids, texts in _parts(batches):
             out: list[list] = [[] for _ in range(6)]
-            size = 0
-            for doc_id, text in rows:
-                ids = encoder.ids(text.as_py() or "") + closing
+            for doc_id, ids in zip(doc_ids, encoder.ids(texts), strict=True):
+                ids += closing
                 n, start = len(ids) // 4, 0
                 for length in binary_lengths(n, max_length):
                     level = levels - length.bit_length()
@@ -97,16 +115,26 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, closing_
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     start += length
-                size += len(ids)
-                if size > 1 << 22:
-                    yield _batch(out)
-                    out, size = [[] for _ in range(6)], 0
             yield _batch(out)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(cut, _SCHEMA)
 
 
+def _parts(batches) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of some rows at a time, of some million characters."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size > 1 << 21:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        yield ids, texts
+
+
 def _batch(out: list[list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     arrays = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
