@@ -35,7 +35,7 @@ MAX_LENGTH = 2048
 CLOSING_ID = 1
 
 _PIECE = re.compile(r" ?[^ \n]+|\n")
-_KNOWN = 1 << 19
+_KNOWN = 1 << 20
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -46,6 +46,15 @@ def single_spaced(text: str) -> bool:
     return sum(map(len, text.split())) + text.count(" ") + text.count("\n") == len(text)
 
 
+class _Known(dict):
+    """Words to ids; words of the texts at hand are found in ``fresh`` where there was no more room."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 class Encoder:
     """Whole texts to their ids, as little-endian unsigned 32-bit numbers; words are encoded once."""
 
@@ -54,7 +63,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -64,10 +73,9 @@ class Encoder:
         """Ids of each text; a text that is not single-spaced is one piece."""
         pieces = [_PIECE.findall(x) if x and single_spaced(x) else [x] for x in texts]
         fresh = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(fresh) > _KNOWN:
-            self.known = {}
-            fresh = list(set().union(*pieces))
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
+        self.known.fresh = dict(zip(fresh, self._encode(fresh), strict=True))
+        if len(self.known) < _KNOWN:
+            self.known.update(self.known.fresh)
         return [b"".join(map(self.known.__getitem__, x)) for x in pieces]
 
 
