@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venuelens.llm.common import bounded_labels
 
@@ -131,7 +132,7 @@ def _vectors(texts: pd.Series) -> np.ndarray:
     return np.array([statistics(x) for x in texts], float).reshape(-1, N_STATS)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _statistics_of(texts: pd.Series) -> pd.Series:
     return pd.Series(list(_vectors(texts)))
 

@@ -93,4 +93,23 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
 }
-ORACLES: dict[str, str] = {}
+
+_OP10_SQL = r"""
+with lines as (
+  select doc_id, u.pos, u.line, translate(trim(u.line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents) d,
+    lateral (select unnest(parts) as line, generate_subscripts(parts, 1) as pos) u
+),
+shared as (
+  select key, max(doc_id) as keeper from lines where length(key) >= 40
+  group by key having count(distinct doc_id) >= 5
+),
+marked as (
+  select l.*, s.key is not null and l.doc_id <> s.keeper as lost from lines l left join shared s on l.key = s.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256
+from marked group by doc_id
+"""
+ORACLES: dict[str, str] = {"op10_lines": _OP10_SQL}
