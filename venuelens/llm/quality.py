@@ -115,7 +115,8 @@ def fit_discriminant(rows: DataFrame, pooled: float = 0.2, ridge: float = 0.02)
             second[y][i, j] = second[y][j, i] = r[f"p{i}_{j}"] / n[y]
     centre = (n[0] * mean[0] + n[1] * mean[1]) / total
     spread = (n[0] * np.diag(second[0]) + n[1] * np.diag(second[1])) / total - centre**2
-    scale = np.sqrt(np.maximum(spread, 1e-8))
+    # Below this floor a statistic is as good as constant, and a small step would outweigh all others.
+    scale = np.maximum(np.sqrt(np.maximum(spread, 0)), 0.05)
     within = {y: (second[y] - np.outer(mean[y], mean[y])) / np.outer(scale, scale) for y in (0, 1)}
     common = (n[0] * within[0] + n[1] * within[1]) / total
     classes = []
