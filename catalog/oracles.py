@@ -434,14 +434,18 @@ select cafe_id, review_id, aspect, n_sentences, {scaled_round('compound', 10)} a
 select cafe_id, aspect, n_reviews, {scaled_round('compound', 10)} as compound, score from per_venue""",
     "aspect_map": f"""with {REVIEWS}, {SENTENCES}, {ASPECTS}
 select cafe_id, aspect, score from per_venue""",
-    "signed_model_score": """select l.doc_id, quality, length(substring(text, 1, 512)) as n_read,
+    "signed_model_score": """select l.doc_id, quality, length(text) as n_read,
   case when quality = 1 then cast(l.doc_id % 50 + 50 as double)/100
     else -(cast(l.doc_id % 50 + 50 as double)/100) end as compound
 from labels l join documents d on d.doc_id = l.doc_id""",
     "conversation_scores": """with t as (
-  select conv_id as review_id, turn as sent_pos, role, substring(text, 1, 512) as s from conversations)
+  select conv_id as review_id, turn as sent_pos, role,
+    unnest([{'at': i, 's': substring(text, i, 512)} for i in range(1, greatest(length(text), 1) + 1, 512)]) as w
+  from conversations), best as (
+  select *, row_number() over (partition by review_id, sent_pos order by length(w.s) desc, w.at) as place from t)
 select review_id, sent_pos, role,
-  case when contains(lower(s), 'tion') then length(s)/512e0 else -(length(s)/512e0) end as compound from t""",
+  case when contains(lower(w.s), 'tion') then length(w.s)/512e0 else -(length(w.s)/512e0) end as compound
+from best where place = 1""",
     "analysis_full": f"with {FULL} select * from full_analysis",
     "analysis_json": f"""with {JSON} select cafe_id,
   cast(json_object({', '.join(f"{lit(c)}, {c}" for c in JSON_FIELDS)}) as varchar) as json from records""",

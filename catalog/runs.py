@@ -12,7 +12,7 @@ from catalog import standins as S
 from venuelens import schemas, vocab
 from venuelens.functions.rounding import scaled_round
 from venuelens.functions.scores import get_or, omit_missing
-from venuelens.functions.text import prefix_512, spaced_token_count, word_array
+from venuelens.functions.text import spaced_token_count, word_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,7 +236,7 @@ def signed_model_score(spark, d):
     label = F.when(F.col("quality") == 1, "POSITIVE").otherwise("NEGATIVE")
     probability = (F.col("doc_id") % 50 + 50).cast("double") / 100
     return labels.select(
-        "doc_id", "quality", F.length(prefix_512(F.col("text"))).alias("n_read"),
+        "doc_id", "quality", F.length("text").alias("n_read"),
         vl.signed_score(label, probability).alias("compound"),
     )
 

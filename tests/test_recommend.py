@@ -63,7 +63,7 @@ def brute(venues, prefs, k, keep=lambda venue, pref: True):
         u += weights + [vocab.BUDGET_MAP[label] / 3]
         scored = []
         for v in venues:
-            if None in v[6:] or not keep(v, label):
+            if None in v[6:] or not keep(v, p[3]):
                 continue
             tags = [t.strip() for t in (v[3] or "").replace("|", ",").split(",")]
             x = [float(v[2] == a) for a in vocab.ATMOSPHERES] + [float(t in tags) for t in vocab.PURPOSES]
@@ -107,7 +107,7 @@ def test_own_budget_only(spark):
     got = vl.recommend(
         spark.createDataFrame(venues, VENUE), spark.createDataFrame(prefs, PREF), k=4, match_budget=True
     )
-    same(got, brute(venues, prefs, 4, lambda v, label: vocab.BUDGET_SYMBOLS.get(v[1]) == label))
+    same(got, brute(venues, prefs, 4, lambda v, label: label in (None, "", "Any") or vocab.BUDGET_SYMBOLS.get(v[1]) == label))
 
 
 def test_one_budget_for_all_and_any(spark):

@@ -162,3 +162,14 @@ def test_one_exchange_per_review_and_no_python(spark, tmp_path, lexicon, reviews
     assert plan.count("BroadcastHashJoin") == 4
     assert len(re.findall(r"(?<!Broadcast)Exchange hash", plan)) == 1
     assert "EvalPython" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_scorer_sees_text_beyond_its_window(spark):
+    def classify(text):
+        hit = F.contains(text, F.lit("decisive"))
+        return F.struct(F.when(hit, "NEGATIVE").otherwise("POSITIVE").alias("label"), F.when(hit, 0.9).otherwise(0.5).alias("score"))
+
+    rows = [(1, 0, "plain " * 200 + "decisive"), (2, 0, "short"), (3, 0, None)]
+    frame = spark.createDataFrame(rows, "review_id bigint, sent_pos int, sentence string")
+    got = {r.review_id: r.compound for r in vl.score_sentences(frame, scorer=vl.classifier_scorer(classify)).collect()}
+    assert got == {1: -0.9, 2: 0.5, 3: 0.5}

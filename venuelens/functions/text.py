@@ -65,9 +65,10 @@ def without_outer_punctuation(sentence: Column) -> Column:
     return F.regexp_replace(sentence, _WRAPPED, "$1")
 
 
-def prefix_512(text: Column) -> Column:
-    """What a model scorer with a 512-character window is given."""
-    return F.substring(text, 1, 512)
+def windows(text: Column, size: int) -> Column:
+    """The whole text in windows of ``size`` characters; an empty text is one empty window."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
 
 
 _SPAN = 2**31

@@ -158,6 +158,9 @@ def _bound(upper: bool) -> Column:
 
 
 def _users(prefs: DataFrame, match_budget: bool) -> DataFrame:
+    if match_budget and "budget" in prefs.columns:
+        # No label of one's own asks for any budget; the vector takes the middle one for both.
+        prefs = prefs.withColumn("budget", F.coalesce(F.col("budget"), F.lit(vocab.ANY_BUDGET)))
     df = complete_prefs(prefs)
     label = _index(F.col("budget"), vocab.BUDGET_LABELS, absent=_NO_SCOPE)
     scope = label if match_budget else F.lit(_ANY_SCOPE)

@@ -270,17 +270,28 @@ def score_texts(reviews: DataFrame, lexicon: DataFrame | None = None, **options)
     return score_sentences(whole, lexicon, **options).drop("sent_pos")
 
 
-def classifier_scorer(classify: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+def classifier_scorer(
+    classify: Callable[[Column], Column], window: int = 512
+) -> Callable[[DataFrame], DataFrame]:
     """A scorer from a column function that returns ``struct<label, score>``.
 
-    ``classify`` is usually a pandas UDF around a model; it is given the first 512
-    characters, the window such models take.
+    ``classify`` is usually a pandas UDF around a model; it is given every window of
+    ``window`` characters in turn, the most such models take.  The window with the strongest
+    score decides, the first of equals; ``guess`` is its label and score.
     """
 
     def score(sentences: DataFrame) -> DataFrame:
-        guess = classify(X.prefix_512(F.col("sentence")))
-        return sentences.withColumn("guess", guess).withColumn(
-            "compound", signed_score(F.col("guess.label"), F.col("guess.score"))
+        rest = sentences.columns
+        parts = sentences.select(
+            *rest, F.posexplode(X.windows(F.coalesce("sentence", F.lit("")), window)).alias("window_no", "window_text")
+        )
+        guessed = parts.withColumn("guess", classify(F.col("window_text")))
+        others = [c for c in rest if c not in ("review_id", "sent_pos")]
+        best = F.max_by("guess", F.struct(F.col("guess.score"), -F.col("window_no"))).alias("guess")
+        return (
+            guessed.groupBy("review_id", "sent_pos")
+            .agg(*[F.first(c).alias(c) for c in others], best)
+            .withColumn("compound", signed_score(F.col("guess.label"), F.col("guess.score")))
         )
 
     return score
