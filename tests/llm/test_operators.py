@@ -129,7 +129,8 @@ def brute_components(values, budget):
     return [find(i) for i in range(len(values))]
 
 
-def test_simhash_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("chunk_rows", [simhash.CHUNK_ROWS, 3])
+def test_simhash_groups_equal_brute_force(spark, chunk_rows):
     rng = random.Random(4)
     values = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(300):
@@ -139,7 +140,7 @@ def test_simhash_groups_equal_brute_force(spark):
         values.append(v)
     values = sorted(set(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"))
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), chunk_rows)
     got = {r.node: r.root for r in simhash.components(links).collect()}
     want = brute_components(values, 3)
     mine = [got.get(v, v) for v in signed]
@@ -171,6 +172,8 @@ def test_near_copies_by_similarity_leave_one(spark, odd):
     kept = simhash.first_of_each_group(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, *range(32, 52)]
+    whole, cut = (simhash.similar_documents(docs, chunk_rows=n) for n in (simhash.CHUNK_ROWS, 4))
+    assert sorted(whole.collect()) == sorted(cut.collect())
     again = simhash.first_of_each_group(odd)
     assert again.columns == odd.columns and sorted(r.doc_id or 0 for r in again.collect()) == [0, 1, 4, 5]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.near_duplicates(odd).count() == len(ROWS)

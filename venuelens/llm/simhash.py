@@ -11,7 +11,9 @@ differing bits, two blocks at least are equal.  So for each of the ten pairs of
 fingerprints that agree there form one group with a trie of its own, and every link lies in
 one of these groups.  Fingerprints are 8 bytes; no text is shuffled.  Where a group is dense, what is
 already connected is not compared again, and a group gives a spanning forest, so a group of
-``m`` copies gives ``m - 1`` links and loses none of the connections.
+``m`` copies gives ``m - 1`` links and loses none of the connections.  A group of more than
+``CHUNK_ROWS`` fingerprints is cut into chunks, and each pair of chunks is a task with a trie
+of its own, so that a task's memory has a bound and every two members still meet.
 
 Edge cases: null and empty texts have fingerprint zero, which links like any other; fewer
 words than a shingle has count as one shingle; repeated rows share a fingerprint; a null
@@ -31,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuelens.llm.common import whole_groups
-from venuelens.session import written
+from venuelens.session import broadcast_if_small, written
 
 BUDGET = 3
 SEED = 42
+#: Members of a group that meet in one task, at most about twice this number.
+CHUNK_ROWS = 1 << 16
+#: Keys of larger groups that are broadcast, at most; more of them are joined by a shuffle.
+HOT_KEYS = 100_000
 _CHUNK = 1 << 15
 #: First bit and width of the five blocks.
 _BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -199,10 +205,30 @@ def _compare(values: np.ndarray, pairs: np.ndarray, forest: _Forest, budget: int
         _link(values, a[a < b], b[a < b], forest, budget, accept)
 
 
+def dealt_groups(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
+    """``rows`` (with ``fp``) dealt out and sorted by group, with the chunks ``low`` and ``high`` of large groups.
+
+    A group of at most ``chunk_rows`` rows has the pair (0, 0).  In a larger one each row
+    goes to every pair that its chunk is part of, so any two rows meet in some pair.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")).where("chunks > 1")
+    hot = broadcast_if_small(written(sizes, "hot-groups"), HOT_KEYS)
+    chunks = F.coalesce("chunks", F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != own) | (F.col("chunks") == 1))
+    pairs = F.transform(others, lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+    dealt = rows.join(hot, keys, "left").withColumn("chunks", chunks).select(*rows.columns, F.explode(pairs).alias("pair"))
+    dealt = dealt.select(*rows.columns, "pair.low", "pair.high")
+    return dealt.repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high")
+
+
+_COMBO_KEYS, _BAND_KEYS = (["combo", "block"], ["band", "key"])
+
+
 def _group_links(batches):
-    for frame in whole_groups(batches, ["combo", "block"]):
+    for frame in whole_groups(batches, [*_COMBO_KEYS, "low", "high"]):
         values = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        keys = frame[["combo", "block"]].to_numpy(np.int64)
+        keys = frame[[*_COMBO_KEYS, "low", "high"]].to_numpy(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         order = np.lexsort([values, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))])
         values = values[order]
@@ -211,19 +237,15 @@ def _group_links(batches):
         yield pd.DataFrame({"a": signed[a], "b": signed[b]})
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
+def fingerprint_links(prints: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` within the budget."""
     blocks = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in _BLOCKS]
     keyed = [
         F.struct(F.lit(k).alias("combo"), (blocks[i] * F.lit(1 << 13) + blocks[j]).alias("block"))
         for k, (i, j) in enumerate(combinations(range(len(blocks)), 2))
     ]
-    groups = (
-        prints.select("fp", F.explode(F.array(*keyed)).alias("g"))
-        .select("fp", "g.combo", "g.block")
-        .repartition("combo", "block")
-        .sortWithinPartitions("combo", "block")
-    )
+    rows = prints.select("fp", F.explode(F.array(*keyed)).alias("g")).select("fp", "g.combo", "g.block")
+    groups = dealt_groups(rows, _COMBO_KEYS, chunk_rows)
     return groups.mapInPandas(_group_links, "a bigint, b bigint").distinct()
 
 
@@ -251,12 +273,12 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
     prints = docs.select(F.col("doc_id"), fingerprints(F.col("text"), width).alias("fp"))
     prints = written(prints, "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
-    return _named(prints, classes, fingerprint_links(classes.select("fp")))
+    return _named(prints, classes, fingerprint_links(classes.select("fp"), chunk_rows))
 
 
 def _named(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,8 +330,8 @@ def sketch_of(text: str | None, width: int = WIDTH) -> tuple[int, list[int], byt
 
 def _similar_links(min_similarity: float):
     def run(batches):
-        for frame in whole_groups(batches, ["band", "key"]):
-            keys = frame[["band", "key"]].to_numpy(np.int64)
+        for frame in whole_groups(batches, [*_BAND_KEYS, "low", "high"]):
+            keys = frame[[*_BAND_KEYS, "low", "high"]].to_numpy(np.int64)
             edge = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
             size = np.diff(np.append(np.flatnonzero(edge), len(keys)))
             several = np.repeat(size > 1, size)
@@ -337,7 +359,9 @@ def _similar_links(min_similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, width: int = WIDTH, min_similarity: float = MIN_SIMILARITY, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """(doc_id, fp, component_id): groups of texts whose shingle sets are similar, for every row.
 
     Two texts that have ``min_similarity`` (Jaccard) share one of 16 bands of three minima with
@@ -357,7 +381,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, min_similarity: float
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), one)
     classes = written(classes.select("fp", "doc_id", "s.bands", "s.sketch"), "classes")
     groups = classes.select("fp", "sketch", F.posexplode("bands").alias("band", "key"))
-    groups = groups.repartition("band", "key").sortWithinPartitions("band", "key")
+    groups = dealt_groups(groups, _BAND_KEYS, chunk_rows)
     links = groups.mapInPandas(_similar_links(min_similarity), "a bigint, b bigint").distinct()
     return _named(prints.select("doc_id", "fp"), classes.select("fp", "doc_id"), links)
 
