@@ -70,7 +70,7 @@ amounts as (
   select *, regexp_replace(coalesce(budget_text, ''), '[^0-9]', '', 'g') as digits from prefs),
 parsed as (
   select *, case when digits = '' then 700
-    else coalesce(try_cast(digits as bigint), 9223372036854775807) end as amount
+    else try_cast(digits as bigint) end as amount
   from amounts),
 labelled as (
   select *, case when amount <= 700 then 'Under 700' when amount <= 2000 then '700 to 2000'
@@ -399,7 +399,7 @@ select v.cafe_id, name,
   {CARD_PLACE} || ' · ' || budget || ' · ' || atmosphere || ' atmosphere · Noise: ' || noise_level as caption,
   concat_ws(' · ', replace(purpose_tags, ',', ', '), budget_label) as tags,
   cast(a.ai_recommendation_score as varchar) || '/10' as ai_score,
-  {', '.join(f"cast({c} as varchar) || '/10' as show_{c.removesuffix('_score')}" for c in vocab.SCORE_COLS)},
+  {', '.join(f"cast(cast({c} as double) as varchar) || '/10' as show_{c.removesuffix('_score')}" for c in vocab.SCORE_COLS)},
   ai_summary as summary, num_reviews as reviews,
   coalesce(cast(avg_review_rating as varchar), 'N/A') as rating
 from venues v join analysis a using (cafe_id)""",
@@ -509,3 +509,34 @@ select query_id, rank, vec_id, {scaled_round('sim', 9)} as similarity from best
 select vec_id, e.label, {scaled_round('list_cosine_similarity(cast(embedding as double[]), direction)', 9)} as similarity
 from embeddings e join directions d on d.label = e.label""",
 }
+
+
+def with_text_keys(sql: str) -> str:
+    return sql.replace(S.VENUES_SQL, S.TEXT_VENUES_SQL).replace(S.REVIEWS_SQL, S.TEXT_REVIEWS_SQL)
+
+
+_OWN_LABELS = """own_venues as (
+  select * exclude (budget_label), case when cafe_id % 9 = 0 then 'Terrace deal' else budget_label end as budget_label
+  from venues),
+own_prefs as (
+  select * exclude (label), case user_id % 5 when 1 then '' when 2 then 'Any' when 3 then 'Terrace deal'
+    when 4 then 'Under 700' end as label
+  from labelled)"""
+_FITS = """label = budget_label
+  and (user_id % 2 <> 0 or cafe_id in (select cafe_id from venues where outdoor_seating))
+  and (user_id % 3 <> 1 or cafe_id in (select cafe_id from venues where noise_level = 'Low'))
+  and (user_id % 5 >= 2 or cafe_id in (select cafe_id from venues where free_wifi))"""
+ORACLES |= {
+    "text_keys": with_text_keys(f"""with {VENUES}, {REVIEWS}, {STATS}, {SENTENCES}, {COUNTS}, {SUMMARY}
+select v.cafe_id, coalesce(num_reviews, 0) as num_reviews, avg_review_rating, ai_summary
+from venues v left join stats using (cafe_id) left join summaries using (cafe_id)"""),
+    "text_keys_recommend": with_text_keys(f"""with {RECOMMEND}, {matches()}
+select * replace (concat('U', user_id) as user_id) from matches"""),
+    "recommend_budget_any": f"""with {VENUES}, {PREFS}, {_OWN_LABELS},
+{ENCODED.replace('from venues', 'from own_venues').replace('from labelled', 'from own_prefs')},
+{matches("coalesce(label, '') in ('', 'Any') or label = budget_label")} select * from matches""",
+    "submit_form_facets": f"""with {RECOMMEND}, {matches(_FITS)}
+select user_id, rank, cafe_id, match_score from matches""",
+    "venue_features_list_tags": ORACLES["venue_features"],
+    "enrich_aspects": f"with {FULL} select cafe_id, name, aspect_sentiment_10, num_reviews from full_analysis",
+}

@@ -286,7 +286,9 @@ def analysis_json(spark, d):
 
 def _report(part: str) -> Query:
     def run(spark, d):
-        report = vl.venue_report(S.venues(spark, d), analysis(spark, d), S.reviews(spark, d))
+        report = vl.report_of(
+            S.venues(spark, d), S.reviews(spark, d), S.lexicon(spark), aspects=S.ASPECTS, rules=S.RULES
+        )
         return getattr(report, part)
 
     return run
@@ -347,6 +349,53 @@ def recommend_enriched(spark, d):
     )
 
 
+def text_keys(spark, d):
+    """Keys that are text, from the reviews to the summary."""
+    reviews = S.reviews(spark, d, text_keys=True)
+    v = vl.with_review_stats(vl.clean_venues(S.raw_venues(spark, d, text_keys=True)), vl.review_stats(reviews))
+    return v.join(vl.summarize(reviews), "cafe_id", "left").select("cafe_id", "num_reviews", "avg_review_rating", "ai_summary")
+
+
+def text_keys_recommend(spark, d):
+    venues = vl.clean_venues(S.raw_venues(spark, d, text_keys=True))
+    prefs = S.prefs(spark, d).withColumn("user_id", F.concat(F.lit("U"), "user_id"))
+    return vl.recommend(venues, prefs)
+
+
+def recommend_budget_any(spark, d):
+    """Budgets that are null, empty, 'Any', or a label that only some venues have."""
+    own = F.when(F.col("cafe_id") % 9 == 0, "Terrace deal").otherwise(F.col("budget_label"))
+    u = F.col("user_id") % 5
+    asked = F.when(u == 1, "").when(u == 2, "Any").when(u == 3, "Terrace deal").when(u == 4, "Under 700")
+    return vl.recommend(
+        S.venues(spark, d).withColumn("budget_label", own), S.prefs(spark, d).withColumn("budget", asked), match_budget=True
+    )
+
+
+def submit_form_facets(spark, d):
+    """Every user with check boxes of their own."""
+    u = F.col("user_id")
+    prefs = S.prefs(spark, d).withColumns({"want_outdoor": u % 2 == 0, "want_quiet": F.when(u % 3 > 0, u % 3 == 1), "want_wifi": u % 5 < 2})
+    out = vl.submit_form(S.venues(spark, d), prefs, light_analysis(spark, d))
+    return out.select("user_id", "rank", "cafe_id", "match_score")
+
+
+def venue_features_list_tags(spark, d):
+    """Tags that are stored as a list."""
+    v = S.raw_venues(spark, d).withColumn("purpose_tags", F.split("purpose_tags", "[,|]"))
+    return _places(vl.encode_venues(vl.clean_venues(v)), "cafe_id")
+
+
+def enrich_aspects(spark, d):
+    entry = F.transform(
+        F.array_sort(F.map_entries("aspect_sentiment_10")),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
+    )
+    return vl.enrich(S.venues(spark, d), analysis(spark, d)).select(
+        "cafe_id", "name", joined(entry, ",").alias("aspect_sentiment_10"), "num_reviews"
+    )
+
+
 def submit_form(spark, d):
     out = vl.submit_form(
         S.venues(spark, d), S.prefs(spark, d), light_analysis(spark, d), outdoor=True, wifi=True
@@ -429,6 +478,12 @@ QUERIES: dict[str, Query] = {
     "recommend_enriched": recommend_enriched,
     "submit_form": submit_form,
     "match_counts": match_counts,
+    "text_keys": text_keys,
+    "text_keys_recommend": text_keys_recommend,
+    "recommend_budget_any": recommend_budget_any,
+    "submit_form_facets": submit_form_facets,
+    "venue_features_list_tags": venue_features_list_tags,
+    "enrich_aspects": enrich_aspects,
     "vector_knn": vector_knn,
     "vector_cosine": vector_cosine,
 }

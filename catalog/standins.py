@@ -41,6 +41,13 @@ select doc_id as review_id, case when doc_id % 97 = 96 then -1 else doc_id % 50
 from documents
 """
 
+#: The same tables with keys that are text.
+TEXT_VENUES_SQL = VENUES_SQL.replace("p_partkey as cafe_id", "concat('V', cast(p_partkey as string)) as cafe_id")
+TEXT_REVIEWS_SQL = REVIEWS_SQL.replace("doc_id as review_id", "concat('R', cast(doc_id as string)) as review_id").replace(
+    "case when doc_id % 97 = 96 then -1 else doc_id % 50 end as cafe_id",
+    "case when doc_id % 97 = 96 then 'none' else concat('V', cast(doc_id % 50 as string)) end as cafe_id",
+)
+
 PREFS_SQL = """
 select c_custkey as user_id,
   case c_nationkey % 7 when 0 then 'Minimal' when 1 then 'Heritage' when 2 then 'Rooftop' when 3 then 'Luxury'
@@ -84,17 +91,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(VENUES_SQL.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+def raw_venues(spark: SparkSession, sf_dir: str, text_keys: bool = False) -> DataFrame:
+    return spark.sql((TEXT_VENUES_SQL if text_keys else VENUES_SQL).replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
 
 
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_venues(raw_venues(spark, sf_dir))
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviews(spark: SparkSession, sf_dir: str, text_keys: bool = False) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    return spark.sql(REVIEWS_SQL.replace("from documents", "from {docs}"), docs=docs)
+    return spark.sql((TEXT_REVIEWS_SQL if text_keys else REVIEWS_SQL).replace("from documents", "from {docs}"), docs=docs)
 
 
 def prefs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,3 +189,32 @@ def test_filters_reach_the_scan(spark, tmp_path, tables):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(cafe_id), EqualTo(cafe_id,1)" in text or "In(cafe_id" in text
     assert "review_text" not in text.split("ReadSchema")[1]
+
+
+def test_nothing_is_lost_silently_at_the_sources(spark, tmp_path):
+    typed = "cafe_id,review_id,rating,review_text\nC001,R1,4.5,good\nC002,R2,,bad\n"
+    (tmp_path / "r.csv").write_text(typed)
+    with pytest.raises(Exception, match="is no bigint: [CR]"):
+        vl.read_reviews(spark, str(tmp_path / "r.csv")).collect()
+    rows = vl.read_reviews(spark, str(tmp_path / "r.csv"), schema=schemas.text_keys(schemas.REVIEWS)).collect()
+    assert sorted((r.cafe_id, r.review_id, r.rating) for r in rows) == [("C001", "R1", 4.5), ("C002", "R2", None)]
+    spark.createDataFrame([("C1", "R1", 4.0, "x")], "cafe_id string, review_id string, rating double, review_text string").write.parquet(
+        str(tmp_path / "r")
+    )
+    assert vl.read_reviews(spark, str(tmp_path / "r"), "parquet").first()["cafe_id"] == "C1"
+    (tmp_path / "r.json").write_text('{"cafe_id": 1, "review_id": 2, "rating": "four", "review_text": "x"}\n')
+    with pytest.raises(Exception, match="rating is no double: four"):
+        vl.read_reviews(spark, str(tmp_path / "r.json"), "json").collect()
+
+
+def test_numbers_of_reviews_do_not_change(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("cafe_id,rating,review_text\n" + "".join(f"{j},4,text {i} {j}\n" for j in range(5)))
+    reviews = vl.read_reviews(spark, str(tmp_path))
+    first = {r.review_text: r.review_id for r in reviews.collect()}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert {r.review_text: r.review_id for r in reviews.repartition(5).collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(set(first.values())) == 15

@@ -153,4 +153,4 @@ def test_cosine(spark):
 def test_vocabularies():
     assert len(vocab.ATMOSPHERES) + len(vocab.PURPOSES) + len(vocab.SCORE_COLS) + 1 == 18
     assert math.isclose(sum(vocab.COMPOSITE_WEIGHTS.values()), 1.0)
-    assert set(vocab.BUDGET_RANGE_MAP) == set(vocab.BUDGET_MAP) == set(vocab.BUDGET_LABELS)
+    assert set(vocab.BUDGET_MAP) == set(vocab.BUDGET_LABELS)

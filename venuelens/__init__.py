@@ -6,6 +6,7 @@ from venuelens.functions.clean import (
     normalize_tags,
     parse_budget_amount,
     parse_flags,
+    tag_list,
     tags_array,
     with_budget_label,
 )
@@ -43,7 +44,7 @@ from venuelens.plans.analysis import analyze, duplicate_keys, enrich
 from venuelens.plans.cards import venue_card
 from venuelens.plans.dashboard import board, dashboard_kpis
 from venuelens.plans.recommendations import match_counts, recommend_enriched, submit_form
-from venuelens.plans.report import VenueReport, venue_report
+from venuelens.plans.report import VenueReport, report_of, venue_report
 from venuelens.sources.tables import (
     analysis_to_json,
     clean_venues,

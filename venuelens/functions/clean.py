@@ -6,11 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venuelens import vocab
 
-_BIGGEST = 2**63 - 1
-
 
 def parse_flag(col: Column) -> Column:
     """``true``/``false`` in any case become a boolean, everything else null."""
@@ -41,6 +40,9 @@ def with_budget_label(df: DataFrame) -> DataFrame:
 
 
 def normalize_tags(df: DataFrame, col: str = "purpose_tags") -> DataFrame:
+    """One separator in tags that are text; lists stay as they are."""
+    if isinstance(df.schema[col].dataType, T.ArrayType):
+        return df
     return df.withColumn(col, F.replace(F.col(col), F.lit("|"), F.lit(",")))
 
 
@@ -49,18 +51,26 @@ def tags_array(col: Column) -> Column:
     return F.transform(F.split(col, "[,|]"), lambda t: F.trim(t))
 
 
+def tag_list(df: DataFrame, col: str = "purpose_tags") -> Column:
+    """The tags of ``df`` as a list, whether they are stored as text or as a list."""
+    if isinstance(df.schema[col].dataType, T.ArrayType):
+        return F.transform(F.col(col), lambda t: F.trim(t))
+    return tags_array(F.col(col))
+
+
 def parse_budget_amount(col: Column) -> Column:
     """The digits of a text as a number; 700 when there is none.
 
-    A number beyond BIGINT is kept as the largest BIGINT, so that it stays "Above 2000".
+    A number beyond BIGINT gives null; its bucket is the highest.
     """
     digits = F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), "[^0-9]", "")
     return F.when(digits == "", F.lit(vocab.DEFAULT_BUDGET_AMOUNT).cast("bigint")).otherwise(
-        F.coalesce(digits.try_cast("bigint"), F.lit(_BIGGEST))
+        digits.try_cast("bigint")
     )
 
 
 def budget_bucket(amount: Column) -> Column:
+    """The label of an amount; null is an amount beyond BIGINT."""
     low, mid, high = vocab.BUDGET_LABELS
     return (
         F.when(amount <= vocab.LOW_BUDGET_LIMIT, low)

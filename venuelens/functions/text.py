@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 WORD = r"([a-zA-Z']+)"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Sentences end at whitespace after one of three marks.
+_BREAK = rf"(?U)(?<=[.!?]){SPACE}+"
 # --- end of fixed values -----------------------------------------------------
 
 _EDGES = rf"(?U)\A{SPACE}+|{SPACE}+\z"
-_BREAK = rf"(?U)(?<=[.!?]){SPACE}+"
 _GAP = rf"(?U){SPACE}+"
 _PUNCT = "".join("\\" + c for c in ASCII_PUNCTUATION)
 _INNER = rf"[^{_PUNCT}\s\x1c-\x1f]"
@@ -78,19 +79,25 @@ def _span() -> Column:
     return F.lit(_SPAN).cast("decimal(10,0)")
 
 
-def position(review_id: Column, offset: Column) -> Column:
+def position(review_id: Column, offset: Column, text_key: bool = False) -> Column:
     """``(review_id, offset)`` as one number that sorts the same way.
 
     A fixed-width number keeps ``min(position)`` in hash aggregation, where a struct
-    would force a sort of all rows.
+    would force a sort of all rows.  A key that is text needs the struct.
     """
+    if text_key:
+        return F.struct(review_id.alias("review_id"), offset.alias("offset"))
     base = (review_id.cast("decimal(19,0)") * _span()).cast("decimal(30,0)")
     return (base + offset.cast("decimal(10,0)")).cast("decimal(30,0)")
 
 
-def position_offset(pos: Column) -> Column:
+def position_offset(pos: Column, text_key: bool = False) -> Column:
+    if text_key:
+        return pos["offset"]
     return F.pmod(pos, _span()).cast("int")
 
 
-def position_review(pos: Column) -> Column:
+def position_review(pos: Column, text_key: bool = False) -> Column:
+    if text_key:
+        return pos["review_id"]
     return ((pos - F.pmod(pos, _span())) / _span()).cast("bigint")

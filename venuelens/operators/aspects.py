@@ -109,19 +109,22 @@ def aspect_by_review(
 ) -> DataFrame:
     """Mean sentence sentiment per (review, aspect): only aspects the review touches.
 
-    Each touched sentence is scored once.  One exchange by ``review_id`` serves both
-    groupings above it; partitioning by venue would put a popular venue into one task.
-    What a sentence touches travels with its tokens as bits, not as an array.
+    Each touched sentence is scored once, in the task that cut it: its tokens are combined
+    there, and only keys, bits and sums are shuffled, never a text.  The sum over
+    sentences is exact (decimal), so it does not depend on the partitioning.
     """
     chunks = _chunks(aspects)
-    touched = aspect_sentences(reviews, aspects).repartition("review_id")
+    touched = aspect_sentences(reviews, aspects)
     scored = score_sentences(touched, lexicon, carry=["cafe_id", *chunks], **scoring)
     return (
         scored.select(
             "cafe_id", "review_id", F.explode(_from_bits(chunks)).alias("aspect"), "compound"
         )
         .groupBy("cafe_id", "review_id", "aspect")
-        .agg(F.count("*").alias("n_sentences"), F.avg("compound").alias("compound"))
+        .agg(
+            F.count("*").alias("n_sentences"),
+            (F.sum(F.col("compound").cast("decimal(12,4)")).cast("double") / F.count("*")).alias("compound"),
+        )
     )
 
 

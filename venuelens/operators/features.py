@@ -13,7 +13,7 @@ from venuelens.functions.clean import (
     budget_bucket,
     budget_fraction,
     parse_budget_amount,
-    tags_array,
+    tag_list,
     with_budget_label,
 )
 from venuelens.functions.scores import unit_score
@@ -38,19 +38,19 @@ def encode_venues(venues: DataFrame) -> DataFrame:
     df = with_budget_label(venues)
     parts = (
         _one_hot(F.col("atmosphere"), vocab.ATMOSPHERES)
-        + _multi_hot(tags_array(F.col("purpose_tags")), vocab.PURPOSES)
+        + _multi_hot(tag_list(df), vocab.PURPOSES)
         + [unit_score(F.col(c)) for c in vocab.SCORE_COLS]
         + [budget_fraction(F.col("budget_label"))]
     )
     return df.withColumn("features", F.array(*parts))
 
 
-def complete_prefs(prefs: DataFrame) -> DataFrame:
+def complete_prefs(prefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Preferences with one column per setting and the defaults filled in.
 
     A budget label comes from ``budget`` if there, else from the amount written in
     ``budget_text``, else it is the middle one.  Priorities are flat columns or fields of
-    a ``priorities`` struct.
+    a ``priorities`` struct.  ``keep`` names further columns to carry along.
     """
     cols = set(prefs.columns)
     if "budget" in cols:
@@ -80,6 +80,7 @@ def complete_prefs(prefs: DataFrame) -> DataFrame:
         text("purpose").alias("purpose"),
         label.alias("budget"),
         *[priority(n, d).alias(n) for n, d in vocab.PRIORITY_DEFAULTS.items()],
+        *keep,
     )
 
 

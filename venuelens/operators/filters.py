@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelens import vocab
@@ -50,8 +50,8 @@ def venue_names(venues: DataFrame) -> DataFrame:
 def venues_by_name(venues: DataFrame, *names: str) -> DataFrame:
     """The first venue (smallest ``cafe_id``) of each name; of all names when none is given."""
     wanted = venues.filter(F.col("name").isin(*names)) if names else venues
-    first = wanted.groupBy("name").agg(F.min("cafe_id").alias("cafe_id")).select("cafe_id")
-    return wanted.join(first, "cafe_id", "left_semi")
+    first = Window.partitionBy("name").orderBy("cafe_id")
+    return wanted.withColumn("place_by_name", F.row_number().over(first)).filter("place_by_name = 1").drop("place_by_name")
 
 
 def reviews_of(reviews: DataFrame, *cafe_ids) -> DataFrame:

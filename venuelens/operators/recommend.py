@@ -4,7 +4,8 @@ Scoring every user against every venue grows with the product of both tables.  T
 exact reductions keep it away from that:
 
 1. Venues with equal features get equal similarity for everybody, so of each set of
-   copies only the ``k`` smallest ids can ever be chosen.
+   copies only the ``k`` smallest ids can ever be chosen.  Users with equal preferences
+   get equal matches, so each distinct set of preferences is ranked once.
 2. Venues are grouped into blocks: budget label, known atmosphere, set of known purposes,
    and coarse score bins.  The number of blocks has a fixed bound that does not depend on
    the data.  The range of each component of the normalised vectors in a block bounds its
@@ -21,16 +22,17 @@ from __future__ import annotations
 
 from functools import reduce
 from math import ceil
-from operator import add
+from operator import add, mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuelens import vocab
-from venuelens.functions.clean import budget_fraction, tags_array, with_budget_label
+from venuelens.functions.clean import budget_fraction, tag_list, with_budget_label
 from venuelens.functions.scores import distance_to_similarity, percent, unit_score
 from venuelens.operators.features import complete_prefs
 from venuelens.operators.filters import budget_filter as keep_label
+from venuelens.operators.filters import facet_condition
 from venuelens.session import task_count
 
 MAX_SCORE = 10.0
@@ -41,9 +43,12 @@ MAX_BLOCKS = 200_000
 
 _SCORES = [f"s{i}" for i in range(len(vocab.SCORE_COLS))]
 _WEIGHTS = [f"p{i}" for i in range(len(vocab.PRIORITIES))]
-_USER = ["user_id", "u_atmosphere", "u_purpose", *_WEIGHTS, "u_budget", "u_norm", "scope"]
-_ANY_SCOPE = 0
-_NO_SCOPE = -1
+_SHAPE = ["u_atmosphere", "u_purpose", *_WEIGHTS, "u_budget", "u_norm", "scope", "need"]
+_USER = ["u_key", *_SHAPE]
+#: The scope of users who ask for no label of their own.
+_ANY_SCOPE = ""
+#: Columns with the users' own check boxes (``wifi`` alone is a priority), and what they ask for.
+FACETS = {"want_outdoor": "outdoor", "want_quiet": "quiet", "want_wifi": "wifi"}
 
 
 def _index(col: Column, values: list[str], absent: int = 0) -> Column:
@@ -81,14 +86,21 @@ def _block_id(width: float) -> Column:
     return out
 
 
-def distinct_venue_vectors(venues: DataFrame, k: int) -> DataFrame:
+def path_bound(widths: tuple[float, ...]) -> int:
+    """The largest possible number of paths through the block levels, for one label in three bits of facets."""
+    first = block_bound(widths[0])
+    return reduce(mul, [_bins(w) ** len(vocab.SCORE_COLS) for w in widths[1:]], first)
+
+
+def distinct_venue_vectors(venues: DataFrame, k: int, own_labels: bool = False, facets: bool = False) -> DataFrame:
     """One row per distinct feature vector, with the ``k`` smallest ids that carry it.
 
     The rank limit is applied per task before the shuffle, so a vector shared by a third
-    of all venues moves at most ``k`` rows per task.
+    of all venues moves at most ``k`` rows per task.  ``own`` is the label as text if labels
+    are compared, ``bits`` the facets that a venue has if users ask for some.
     """
     df = with_budget_label(venues)
-    tags = F.coalesce(tags_array(F.col("purpose_tags")), F.array().cast("array<string>"))
+    tags = F.coalesce(tag_list(df), F.array().cast("array<string>"))
     mask = _sum(
         [
             F.when(F.array_contains("tags", p), F.lit(2**i)).otherwise(F.lit(0))
@@ -97,13 +109,15 @@ def distinct_venue_vectors(venues: DataFrame, k: int) -> DataFrame:
     )
     coded = df.withColumn("tags", tags).select(
         "cafe_id",
+        (F.coalesce("budget_label", F.lit(_ANY_SCOPE)) if own_labels else F.lit(_ANY_SCOPE)).alias("own"),
+        (_bits(_facet_tests()) if facets else F.lit(0)).alias("bits"),
         _index(F.col("budget_label"), vocab.BUDGET_LABELS).alias("label"),
         _index(F.col("atmosphere"), vocab.ATMOSPHERES).alias("v_atmosphere"),
         mask.alias("v_purposes"),
         *[unit_score(F.col(c)).alias(s) for c, s in zip(vocab.SCORE_COLS, _SCORES)],
         budget_fraction(F.col("budget_label")).alias("v_budget"),
     )
-    key = ["label", "v_atmosphere", "v_purposes", *_SCORES, "v_budget"]
+    key = ["own", "bits", "label", "v_atmosphere", "v_purposes", *_SCORES, "v_budget"]
     first = Window.partitionBy(*key).orderBy("cafe_id")
     squared = _sum(
         [(F.when(F.col("v_atmosphere") > 0, 1).otherwise(0) + F.bit_count("v_purposes")).cast("double")]
@@ -157,16 +171,24 @@ def _bound(upper: bool) -> Column:
     return _sum(terms)
 
 
-def _users(prefs: DataFrame, match_budget: bool) -> DataFrame:
+def _facet_tests() -> list[Column]:
+    return [facet_condition(**{name: True}) for name in FACETS.values()]
+
+
+def _bits(tests: list[Column]) -> Column:
+    return _sum([F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)])
+
+
+def _users(prefs: DataFrame, match_budget: bool, match_facets: bool) -> DataFrame:
     if match_budget and "budget" in prefs.columns:
         # No label of one's own asks for any budget; the vector takes the middle one for both.
         prefs = prefs.withColumn("budget", F.coalesce(F.col("budget"), F.lit(vocab.ANY_BUDGET)))
-    df = complete_prefs(prefs)
-    label = _index(F.col("budget"), vocab.BUDGET_LABELS, absent=_NO_SCOPE)
-    scope = label if match_budget else F.lit(_ANY_SCOPE)
+    asked = tuple(c for c in FACETS if match_facets and c in prefs.columns)
+    df = complete_prefs(prefs, asked)
+    scope = F.lit(_ANY_SCOPE)
     if match_budget:
-        anything = (F.col("budget") == "") | (F.col("budget") == vocab.ANY_BUDGET)
-        scope = F.when(anything, F.lit(_ANY_SCOPE)).otherwise(label)
+        scope = F.when(F.col("budget") == vocab.ANY_BUDGET, F.lit(_ANY_SCOPE)).otherwise(F.col("budget"))
+    need = _bits([F.col(c) if c in asked else F.lit(False) for c in FACETS])
     purpose = F.lit(0)
     for i, p in enumerate(vocab.PURPOSES):
         purpose = F.when(F.col("purpose") == p, F.lit(2**i)).otherwise(purpose)
@@ -177,6 +199,7 @@ def _users(prefs: DataFrame, match_budget: bool) -> DataFrame:
         *[F.col(p).alias(w) for p, w in zip(vocab.PRIORITIES, _WEIGHTS)],
         budget_fraction(F.col("budget")).alias("u_budget"),
         scope.alias("scope"),
+        need.alias("need"),
     )
     known = F.when(F.col("u_atmosphere") > 0, 1).otherwise(0) + F.when(
         F.col("u_purpose") > 0, 1
@@ -186,7 +209,8 @@ def _users(prefs: DataFrame, match_budget: bool) -> DataFrame:
         + [F.col(w) * F.col(w) for w in _WEIGHTS]
         + [F.col("u_budget") * F.col("u_budget")]
     )
-    return coded.withColumn("u_norm", F.sqrt(squared)).select(*_USER)
+    shaped = coded.withColumn("u_norm", F.sqrt(squared))
+    return shaped.select("user_id", F.md5(F.to_json(F.struct(*_SHAPE))).alias("u_key"), *_SHAPE)
 
 
 def _narrow(candidates: DataFrame, blocks: DataFrame, on: str | list[str], k: int) -> DataFrame:
@@ -198,10 +222,10 @@ def _narrow(candidates: DataFrame, blocks: DataFrame, on: str | list[str], k: in
     proven = (
         candidates.join(blocks, on)
         .filter(F.col("n_venues") >= k)
-        .groupBy("user_id")
+        .groupBy("u_key")
         .agg(F.max(_bound(upper=False)).alias("found"))
     )
-    raised = candidates.join(proven, "user_id", "left").withColumn(
+    raised = candidates.join(proven, "u_key", "left").withColumn(
         "limit", F.greatest("limit", "found")
     )
     reachable = F.col("limit").isNull() | (_bound(upper=True) >= F.col("limit") - F.lit(MARGIN))
@@ -224,69 +248,84 @@ def recommend(
     method: str = "cosine",
     match_budget: bool = False,
     widths: tuple[float, ...] = (5.0,),
+    match_facets: bool = False,
 ) -> DataFrame:
     """``(user_id, rank, cafe_id, similarity, match_score)``, at most ``k`` rows per user.
 
     ``budget_label`` keeps only venues with that label for everybody (``None`` or
     ``'Any'``: all); ``match_budget`` keeps for each user the venues with the user's own
-    label.  ``method='knn'`` ranks by cosine distance and adds ``distance``.  Chosen by
+    label, compared as text; null, ``''`` and ``'Any'`` ask for any.  ``match_facets`` keeps the
+    venues that fit the user's own check boxes, the columns ``FACETS`` of ``prefs`` where there.  ``method='knn'`` ranks by cosine distance and adds ``distance``.  Chosen by
     the unrounded similarity, ranked by the rounded ``match_score``; ties go to the
     smaller ``cafe_id``.  Venues with a null score are not ranked.
 
-    ``widths`` are the score-bin widths of the block levels, coarse to fine.  The first
-    level is broadcast and its size is checked; further levels, worthwhile from some
-    millions of distinct venues on, are joined on the block above.
+    ``widths`` are the score-bin widths of the block levels, coarse to fine; a level is joined
+    on the block above.  Levels of at most ``MAX_BLOCKS`` summaries are broadcast, and others
+    are joined by shuffle; the first one's size is checked.
     """
     if method not in ("cosine", "knn"):
         raise ValueError(f"unknown method: {method}")
     if block_bound(widths[0]) > MAX_BLOCKS:
         raise ValueError(f"first bin width {widths[0]} allows more than {MAX_BLOCKS} blocks")
 
-    vectors = distinct_venue_vectors(keep_label(with_budget_label(venues), budget_label), k)
-    levels = [f"block{i}" for i in range(len(widths))]
-    vectors = vectors.withColumns({b: _block_id(w) for b, w in zip(levels, widths)})
-
-    scopes = F.array(F.lit(_ANY_SCOPE), F.col("label")) if match_budget else F.array(F.lit(_ANY_SCOPE))
-    first_level = _block_summaries(vectors, levels[:1]).withColumn(
-        "scope", F.explode(F.array_distinct(scopes))
+    venues = keep_label(with_budget_label(venues), budget_label)
+    vectors = distinct_venue_vectors(venues, k, match_budget, match_facets)
+    blocks = [f"block{i}" for i in range(len(widths))]
+    vectors = vectors.withColumns({b: _block_id(w) for b, w in zip(blocks, widths)})
+    levels = ["own", "bits", *blocks]
+    labels = _own_labels(venues) if match_budget else 1
+
+    def sized(summaries: DataFrame, depth: int, copies: int = 1) -> DataFrame:
+        """Broadcast only below a proven number of rows."""
+        most = path_bound(widths[:depth]) * labels * copies * (8 if match_facets else 1)
+        return F.broadcast(summaries) if most <= MAX_BLOCKS else summaries
+
+    # A block is seen by users of its label and by those without one, and by users who
+    # need no more facets than it has.
+    needs = F.filter(F.sequence(F.lit(0), F.col("bits")), lambda s: s.bitwiseAND(F.col("bits")) == s)
+    first_level = (
+        _block_summaries(vectors, levels[:3])
+        .withColumn("scope", F.explode(F.array_distinct(F.array(F.lit(_ANY_SCOPE), F.col("own")))))
+        .withColumn("need", F.explode(needs))
     )
+    users = _users(prefs, match_budget, match_facets)
     candidates = (
-        _users(prefs, match_budget)
-        .repartition(task_count(prefs.sparkSession), "user_id")
+        users.drop("user_id")
+        .dropDuplicates(["u_key"])
+        .repartition(task_count(prefs.sparkSession), "u_key")
         .withColumn("limit", F.lit(None).cast("double"))
     )
-    # Each user looks up the block summaries of every atmosphere: at most
+    # Each set of preferences looks up the block summaries of every atmosphere: at most
     # block_bound(widths[0]) of them per scope, whatever the number of venues.
     atmospheres = F.sequence(F.lit(0), F.lit(len(vocab.ATMOSPHERES)))
     candidates = _narrow(
         candidates.withColumn("v_atmosphere", F.explode(atmospheres)),
-        F.broadcast(first_level),
-        ["scope", "v_atmosphere"],
+        sized(first_level, 1, 16 if match_facets else 2),
+        ["scope", "need", "v_atmosphere"],
         k,
-    ).select(*_USER, "limit", *levels[:1])
-    for depth in range(1, len(levels)):
+    ).select(*_USER, "limit", *levels[:3])
+    for depth in range(2, len(blocks) + 1):
         # blocks of one level need not nest in those above: a finer block is its whole path
-        finer = _block_summaries(vectors, levels[: depth + 1])
-        candidates = _narrow(candidates, finer, levels[:depth], k).select(
-            *_USER, "limit", *levels[: depth + 1]
-        )
+        path = levels[: depth + 2]
+        finer = sized(_block_summaries(vectors, path), depth)
+        candidates = _narrow(candidates, finer, path[:-1], k).select(*_USER, "limit", *path)
 
-    best_vectors = Window.partitionBy("user_id").orderBy(
+    best_vectors = Window.partitionBy("u_key").orderBy(
         F.col("order_value"), F.element_at("cafe_ids", 1)
     )
     similarity = _dot() / (F.col("v_norm") * F.col("u_norm"))
     order_value = -F.col("similarity") if method == "cosine" else F.lit(1.0) - F.col("similarity")
     scored = (
-        candidates.select(*[c for c in _USER if c != "scope"], *levels)
+        candidates.select(*[c for c in _USER if c not in ("scope", "need")], *levels)
         .join(vectors, levels)
-        .select("user_id", "cafe_ids", similarity.alias("similarity"))
+        .select("u_key", "cafe_ids", similarity.alias("similarity"))
         .withColumn("order_value", order_value)
         .withColumn("place", F.row_number().over(best_vectors))
         .filter(F.col("place") <= k)
     )
-    chosen = Window.partitionBy("user_id").orderBy("order_value", "cafe_id")
+    chosen = Window.partitionBy("u_key").orderBy("order_value", "cafe_id")
     picked = (
-        scored.select("user_id", "order_value", "similarity", F.explode("cafe_ids").alias("cafe_id"))
+        scored.select("u_key", "order_value", "similarity", F.explode("cafe_ids").alias("cafe_id"))
         .withColumn("place", F.row_number().over(chosen))
         .filter(F.col("place") <= k)
     )
@@ -294,18 +333,25 @@ def recommend(
         picked = picked.withColumn("distance", F.col("order_value")).withColumn(
             "similarity", distance_to_similarity(F.col("distance"))
         )
-    shown = Window.partitionBy("user_id").orderBy(
+    shown = Window.partitionBy("u_key").orderBy(
         F.col("match_score").desc(), F.col("similarity").desc(), "cafe_id"
     )
     extra = ["distance"] if method == "knn" else []
-    return picked.withColumn("match_score", percent(F.col("similarity"))).select(
-        "user_id",
+    ranked = picked.withColumn("match_score", percent(F.col("similarity"))).select(
+        "u_key",
         F.row_number().over(shown).alias("rank"),
         "cafe_id",
         "similarity",
         *extra,
         "match_score",
     )
+    return users.select("user_id", "u_key").join(ranked, "u_key").drop("u_key")
+
+
+def _own_labels(venues: DataFrame) -> int:
+    """Labels beyond the known ones, and one; counted up to ``MAX_BLOCKS`` for the size of broadcasts."""
+    other = venues.select("budget_label").where(~F.col("budget_label").isin(vocab.BUDGET_LABELS)).distinct()
+    return 1 + other.limit(MAX_BLOCKS).count()
 
 
 def attach_venues(matches: DataFrame, venues: DataFrame) -> DataFrame:

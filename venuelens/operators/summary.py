@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from venuelens import vocab
 from venuelens.functions import text as X
-from venuelens.operators.terms import not_stopword, sentences, term_counts
+from venuelens.operators.terms import has_text_key, not_stopword, sentences, term_counts
 
 
 def distinct_sentences(reviews: DataFrame, min_tokens: int = 4) -> DataFrame:
@@ -19,16 +19,16 @@ def distinct_sentences(reviews: DataFrame, min_tokens: int = 4) -> DataFrame:
     inside each map task, so a sentence that makes up a third of all rows costs one row
     per task.
     """
-    first_at = F.col("first_at")
+    first_at, text_key = F.col("first_at"), has_text_key(reviews)
     return (
         sentences(reviews)
         .filter(X.has_tokens(F.col("sentence"), min_tokens))
         .groupBy("cafe_id", F.lower("sentence").alias("key"))
-        .agg(F.min(X.position(F.col("review_id"), F.col("sent_pos"))).alias("first_at"))
+        .agg(F.min(X.position(F.col("review_id"), F.col("sent_pos"), text_key)).alias("first_at"))
         .select(
             "cafe_id",
-            X.position_review(first_at).alias("review_id"),
-            X.position_offset(first_at).alias("sent_pos"),
+            X.position_review(first_at, text_key).alias("review_id"),
+            X.position_offset(first_at, text_key).alias("sent_pos"),
             "key",
         )
     )

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venuelens import vocab
 from venuelens.functions import text as X
@@ -29,6 +30,10 @@ def words(reviews: DataFrame) -> DataFrame:
     )
 
 
+def has_text_key(reviews: DataFrame) -> bool:
+    return isinstance(reviews.schema["review_id"].dataType, T.StringType)
+
+
 def not_stopword(word: Column, stopwords: Iterable[str]) -> Column:
     return ~word.isin(*stopwords)
 
@@ -47,7 +52,7 @@ def term_counts(
     )
     return kept.groupBy("cafe_id", "word").agg(
         F.count("*").alias("n"),
-        F.min(X.position(F.col("review_id"), F.col("word_pos"))).alias("first_at"),
+        F.min(X.position(F.col("review_id"), F.col("word_pos"), has_text_key(reviews))).alias("first_at"),
     )
 
 

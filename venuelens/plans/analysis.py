@@ -83,12 +83,13 @@ def analyze(
 
 def enrich(venues: DataFrame, analysis: DataFrame) -> DataFrame:
     """Venues with the analysis columns the dashboard and the cards show."""
-    return venues.join(
-        analysis.select(
-            "cafe_id", "ai_recommendation_score", "ai_summary", "num_reviews", "avg_review_rating"
-        ),
-        "cafe_id",
-    )
+    return venues.join(shown_analysis(analysis), "cafe_id")
+
+
+def shown_analysis(analysis: DataFrame) -> DataFrame:
+    """The analysis columns to show; the aspect map is there unless the analysis has none."""
+    shown = ["cafe_id", "ai_recommendation_score", "ai_summary", "num_reviews", "avg_review_rating"]
+    return analysis.select(*shown, *[c for c in ("aspect_sentiment_10",) if c in analysis.columns])
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

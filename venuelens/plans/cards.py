@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venuelens import vocab
 
@@ -16,17 +17,19 @@ def venue_card(enriched: DataFrame) -> DataFrame:
     """One row of display values per venue (or per match, if ``match_score`` is there)."""
     cols = set(enriched.columns)
     place = F.concat_ws(", ", "area", "location")
+    listed = isinstance(enriched.schema["purpose_tags"].dataType, T.ArrayType)
+    tags = F.array_join("purpose_tags", ", ") if listed else F.replace("purpose_tags", F.lit(","), F.lit(", "))
     shown = {
         "caption": F.concat(
             F.concat_ws(" · ", place, "budget", "atmosphere"),
             F.lit(" atmosphere · Noise: "),
             F.coalesce("noise_level", F.lit("")),
         ),
-        "tags": F.concat_ws(" · ", F.replace("purpose_tags", F.lit(","), F.lit(", ")), "budget_label"),
+        "tags": F.concat_ws(" · ", tags, "budget_label"),
         "ai_score": _score_text("ai_recommendation_score"),
         **{
             "show_" + c.removesuffix("_score"): F.concat(
-                F.col(c).cast("decimal(4,1)").cast("string"), F.lit("/10")
+                F.col(c).cast("double").cast("string"), F.lit("/10")
             )
             for c in vocab.SCORE_COLS
         },

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuelens.operators.filters import facet_filter
-from venuelens.operators.recommend import attach_venues, recommend
+from venuelens.operators.recommend import FACETS, attach_venues, recommend
+from venuelens.plans.analysis import shown_analysis
 
 
 def recommend_enriched(
@@ -14,10 +15,7 @@ def recommend_enriched(
 ) -> DataFrame:
     """Matches with the venue's columns and its analysis; ``rank`` carries the order."""
     matches = recommend(venues, prefs, k, **options)
-    kept = analysis.select(
-        "cafe_id", "ai_recommendation_score", "ai_summary", "num_reviews", "avg_review_rating"
-    )
-    return attach_venues(matches, venues).join(kept, "cafe_id")
+    return attach_venues(matches, venues).join(shown_analysis(analysis), "cafe_id")
 
 
 def submit_form(
@@ -29,9 +27,13 @@ def submit_form(
     wifi: bool = False,
     k: int = 5,
 ) -> DataFrame:
-    """What submitting the form gives: facet filters, own budget only, five matches."""
+    """What submitting the form gives: facet filters, own budget only, five matches.
+
+    The switches hold for all users; columns ``want_outdoor``, ``want_quiet`` and
+    ``want_wifi`` of ``prefs`` are each user's own boxes.
+    """
     pool = facet_filter(venues, outdoor=outdoor, quiet=quiet, wifi=wifi)
-    return recommend_enriched(pool, prefs, analysis, k, match_budget=True)
+    return recommend_enriched(pool, prefs, analysis, k, match_budget=True, match_facets=any(c in prefs.columns for c in FACETS))
 
 
 def match_counts(matches: DataFrame) -> DataFrame:

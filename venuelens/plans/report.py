@@ -11,6 +11,7 @@ from venuelens import vocab
 from venuelens.operators.filters import venues_by_name
 from venuelens.operators.reshape import aspect_rows, score_profile
 from venuelens.operators.reviews import review_listing
+from venuelens.plans.analysis import analyze
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,13 @@ class VenueReport:
     reviews: DataFrame
 
 
+def report_of(venues: DataFrame, reviews: DataFrame, lexicon: DataFrame | None, *names: str, **options) -> VenueReport:
+    """The report with an analysis of the chosen venues' reviews only."""
+    chosen = venues_by_name(venues, *names)
+    own = reviews.join(chosen.select("cafe_id"), "cafe_id", "left_semi")
+    return venue_report(chosen, analyze(chosen, own, lexicon, **options), own)
+
+
 def venue_report(
     venues: DataFrame, analysis: DataFrame, reviews: DataFrame, *names: str
 ) -> VenueReport:

@@ -6,8 +6,6 @@ from pyspark.sql import types as T
 
 from venuelens.vocab import FLAG_COLS, PRIORITIES, SCORE_COLS
 
-SCORE_TYPE = T.DecimalType(6, 3)
-
 #: Venue files as delivered: the flags are still free text.
 VENUES_RAW = T.StructType(
     [
@@ -20,7 +18,7 @@ VENUES_RAW = T.StructType(
         T.StructField("purpose_tags", T.StringType()),
         T.StructField("noise_level", T.StringType()),
         *[T.StructField(c, T.StringType()) for c in FLAG_COLS],
-        *[T.StructField(c, SCORE_TYPE) for c in SCORE_COLS],
+        *[T.StructField(c, T.DoubleType()) for c in SCORE_COLS],
         T.StructField("overall_rating", T.DoubleType()),
     ]
 )
@@ -35,6 +33,15 @@ REVIEWS = T.StructType(
     ]
 )
 
+#: Keys that may be text as well as numbers.
+KEYS = ("cafe_id", "review_id", "user_id")
+
+
+def text_keys(schema: T.StructType) -> T.StructType:
+    """The same schema with its keys as text."""
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in KEYS else f for f in schema.fields])
+
+
 PREFS = T.StructType(
     [
         T.StructField("user_id", T.LongType()),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from venuelens import schemas
 from venuelens.functions.clean import normalize_tags, parse_flags, with_budget_label
+from venuelens.session import written
 
 #: Quoted text with doubled quotes and line breaks, as spreadsheet tools write it.
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
@@ -15,16 +16,44 @@ CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UT
 
 def _read(spark: SparkSession, path, fmt: str, schema: T.StructType) -> DataFrame:
     if fmt == "json":
-        return spark.read.schema(schema).json(path)
-    if fmt == "csv":
+        # Read as text, so that a value that does not fit is noticed.
+        stored = spark.read.schema(_as_text(schema)).json(path)
+    elif fmt == "csv":
         # Only the header is looked at: columns are found by name, in any order, and
         # cast to the declared types.
         stored = spark.read.options(**CSV_OPTIONS).csv(path)
     else:
         stored = spark.read.format(fmt).load(path)
-    return stored.select(
-        [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name in stored.columns]
-    )
+    return typed(stored, schema)
+
+
+def _as_text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
+def typed(stored: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` that ``stored`` has, in the declared types; nothing is lost silently.
+
+    A value that does not fit its type fails the job and is named in the message; blanks and
+    ``nan`` are missing numbers.  Keys that are stored as text in a typed file stay text; for
+    keys that are text in a CSV or JSON file give ``schemas.text_keys(schema)``.
+    """
+    all_text = all(isinstance(f.dataType, T.StringType) for f in stored.schema.fields)
+
+    def cast(f: T.StructField):
+        raw, here = F.col(f.name), stored.schema[f.name].dataType
+        if here == f.dataType or isinstance(here, T.ArrayType):
+            return raw
+        if f.name in schemas.KEYS and isinstance(here, T.StringType) and not all_text:
+            return raw
+        if isinstance(f.dataType, T.StringType):
+            return raw.cast("string").alias(f.name)
+        value = raw.try_cast(f.dataType)
+        missing = raw.isNull() | F.lower(F.trim(raw.cast("string"))).isin("", "nan", "null", "none")
+        told = F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), raw.cast("string"))
+        return F.when(missing, F.lit(None)).otherwise(F.coalesce(value, F.raise_error(told).cast(f.dataType))).alias(f.name)
+
+    return stored.select([cast(f) for f in schema.fields if f.name in stored.columns])
 
 
 def read_venues(
@@ -40,12 +69,12 @@ def read_reviews(
     """Reviews.
 
     A multi-line CSV file is read by one task: convert large files to parquet once and
-    work from there.  A file without ``review_id`` gets numbers in file order; with
-    several such files they are stable only once written, so convert those first.
+    work from there.  A file without ``review_id`` gets numbers in file order, which are
+    written once with the reviews, so that every reader sees the same ones.
     """
     df = _read(spark, path, fmt, schema)
     if "review_id" not in df.columns:
-        df = df.select(F.monotonically_increasing_id().alias("review_id"), "*")
+        df = written(df.select(F.monotonically_increasing_id().alias("review_id"), "*"), "reviews")
     return _require(df, schema)
 
 
@@ -66,11 +95,14 @@ def clean_venues(raw: DataFrame) -> DataFrame:
 
 
 def load(
-    spark: SparkSession, venues_path, reviews_path, fmt: str = "csv"
+    spark: SparkSession, venues_path, reviews_path, fmt: str = "csv", text_keys: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Cleaned venues and reviews."""
-    return clean_venues(read_venues(spark, venues_path, fmt)), read_reviews(
-        spark, reviews_path, fmt
+    """Cleaned venues and reviews; with ``text_keys`` the keys in a text file are text."""
+    venues, reviews = schemas.VENUES_RAW, schemas.REVIEWS
+    if text_keys:
+        venues, reviews = schemas.text_keys(venues), schemas.text_keys(reviews)
+    return clean_venues(read_venues(spark, venues_path, fmt, venues)), read_reviews(
+        spark, reviews_path, fmt, reviews
     )
 
 

@@ -14,7 +14,6 @@ PURPOSES = ["Study", "Date", "Friends", "Solo", "Work"]
 BUDGET_LABELS = ["Under 700", "700 to 2000", "Above 2000"]
 BUDGET_SYMBOLS = {"₹": "Under 700", "₹₹": "700 to 2000", "₹₹₹": "Above 2000"}
 BUDGET_MAP = {"Under 700": 1, "700 to 2000": 2, "Above 2000": 3}
-BUDGET_RANGE_MAP = {"Under 700": "₹", "700 to 2000": "₹₹", "Above 2000": "₹₹₹"}
 DEFAULT_BUDGET_ORDINAL = 2
 DEFAULT_BUDGET_AMOUNT = 700
 LOW_BUDGET_LIMIT = 700
