@@ -186,7 +186,11 @@ def modifiers(source: str) -> str:
             f"else {scalar}-{r.capitals}e0 end) else {scalar} end)"
         )
         lifted = f"({value} + case when b{i} <> 0 then {loud}*{damp}e0 else 0e0 end)"
-        turned = f"(case when g{i} then {lifted}*({r.negation}e0) else {lifted} end)"
+        so, doubt = ((" or ".join(f"coalesce(t{k} in ({w}), false)" for k in range(1, i)) or "false") for w in ("'so','this'", "'doubt'"))
+        turned = (
+            f"{lifted} * case when t{i} = 'never' and ({so}) then {r.never_so}e0 when t{i} = 'without' and ({doubt}) then 1e0 "
+            f"when g{i} then ({r.negation}e0) else 1e0 end"
+        )
         steps.append(
             f"step{i} as (select *, case when p{i} then {turned} else {value} end as v{i} "
             f"from {'looked' if i == 1 else f'step{i - 1}'})"
@@ -195,7 +199,7 @@ def modifiers(source: str) -> str:
     lags = ", ".join(
         f"lag({col}, {i}) over look as {name}{i}"
         for i in (1, 2, 3)
-        for col, name in (("boost", "b"), ("negates", "g"), ("shouted", "u"), ("plain", "p"))
+        for col, name in (("boost", "b"), ("negates", "g"), ("shouted", "u"), ("plain", "p"), ("token", "t"))
     )
     squeezed, rounded = compound("signed")
     return f"""{sentence_tokens(source)},
@@ -220,13 +224,21 @@ cued as (
   select c.*, valence, valence is null as plain, {boost} as boost,
     c.token in {in_list(r.negators)} or contains(c.token, {lit(r.negation_mark)}) as negates
   from cues c left join lexicon l on l.token = c.token),
-looked as (
-  select *, case when shouted then (case when valence > 0 then valence + {r.capitals}e0
-      else valence - {r.capitals}e0 end) else valence end as v0, {lags}
+seen as (
+  select *, lead(valence) over look as next_valence, {lags}
   from cued window look as (partition by review_id, sent_pos order by tok_at)),
+own as (
+  select *, case when t1 = 'no' or t2 = 'no' or (t3 = 'no' and t1 in ('or', 'nor')) then valence * ({r.negation}e0)
+    when token = 'no' and valence is not null and next_valence is not null then 0e0 else valence end as w
+  from seen),
+looked as (
+  select *, case when shouted then (case when w > 0 then w + {r.capitals}e0 else w - {r.capitals}e0 end) else w end as v0
+  from own),
 {', '.join(steps)},
 counted as (
-  select *, case when boost <> 0 then 0e0 else coalesce(v3, 0e0) end as c from step3),
+  select *, case when boost <> 0 then 0e0 else coalesce(v3, 0e0) * case
+      when t1 = 'least' and p1 and coalesce(t2 not in ('at', 'very'), true) then ({r.negation}e0) else 1e0 end end as c
+  from step3),
 totals as (
   select cafe_id, review_id, sent_pos, emphasis,
     sum(case when contrast_at > 0 and tok_at < contrast_at then c * {r.before_contrast}e0
@@ -427,6 +439,8 @@ select review_id, sent_pos, cafe_id, compound from compounds""",
   from reviews), {LEXICON}, {modifiers('whole')}
 select review_id, cafe_id, compound from compounds""",
     "aspect_mentions": f"""with {REVIEWS}, {SENTENCES}, {MENTIONS}
+select cafe_id, review_id, sent_pos, aspect from mentions""",
+    "aspect_mentions_table": f"""with {REVIEWS}, {SENTENCES}, {MENTIONS}
 select cafe_id, review_id, sent_pos, aspect from mentions""",
     "aspect_by_review": f"""with {REVIEWS}, {SENTENCES}, {ASPECTS}
 select cafe_id, review_id, aspect, n_sentences, {scaled_round('compound', 10)} as compound from per_review""",

@@ -212,6 +212,11 @@ def aspect_mentions(spark, d):
     return vl.aspect_mentions(S.reviews(spark, d), S.ASPECTS)
 
 
+def aspect_mentions_table(spark, d):
+    rows = [(aspect, word) for aspect, words in S.ASPECTS.items() for word in words]
+    return vl.aspect_mentions_from_table(S.reviews(spark, d), spark.createDataFrame(rows, "aspect string, keyword string"))
+
+
 def _aspects(spark, d):
     return vl.aspect_by_review(S.reviews(spark, d), S.lexicon(spark), S.ASPECTS, rules=S.RULES)
 
@@ -457,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "sentence_sentiment_modifiers": sentence_sentiment_modifiers,
     "text_sentiment": text_sentiment,
     "aspect_mentions": aspect_mentions,
+    "aspect_mentions_table": aspect_mentions_table,
     "aspect_by_review": aspect_by_review,
     "aspect_by_venue": aspect_by_venue,
     "aspect_map": aspect_map,

@@ -13,6 +13,14 @@ from venuelens.operators.aspects import aspect_mentions_from_table
 LEXICON = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("hardly", 0.4)]
 
 
+def test_no_with_a_valence_only_turns_what_follows(spark):
+    lexicon = spark.createDataFrame([("good", 1.9), ("no", -1.2)], "token string, valence double")
+    texts = {"no good here": 1.9 * -0.74, "no x here": -1.2, "x no": -1.2}
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    scored = vl.score_sentences(spark.createDataFrame(rows, "review_id bigint, sent_pos int, sentence string"), lexicon)
+    assert [r.compound for r in scored.orderBy("review_id").collect()] == [squeeze(v) for v in texts.values()]
+
+
 @pytest.fixture(scope="module")
 def lexicon(spark):
     return spark.createDataFrame(LEXICON, "token string, valence double")
@@ -35,7 +43,18 @@ CASES = {
     "not good": 1.9 * -0.74,
     "wasn't x y good": 1.9 * -0.74,
     "not very good": (1.9 + 0.293) * -0.74,
-    "never so good": (1.9 + 0.293) * -0.74,
+    "never so good": (1.9 + 0.293) * 1.25,
+    "never this x good": 1.9 * 1.25,
+    "never good": 1.9 * -0.74,
+    "without doubt good": 1.9,
+    "without any doubt good": 1.9,
+    "without x good": 1.9 * -0.74,
+    "least good": 1.9 * -0.74,
+    "at least good": 1.9,
+    "no good": 1.9 * -0.74,
+    "no x good": 1.9 * -0.74,
+    "no x or good": 1.9 * -0.74,
+    "no x y good": 1.9,
     "GOOD coffee": 1.9 + 0.733,
     "GOOD COFFEE": 1.9,
     "BAD coffee": -2.5 - 0.733,
@@ -159,7 +178,8 @@ def test_one_exchange_per_review_and_no_python(spark, tmp_path, lexicon, reviews
         plan = plan_of(vl.aspect_by_review(spark.read.parquet(path), lexicon))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("BroadcastHashJoin") == 4
+    # the token, its three predecessors, and the word after "no"
+    assert plan.count("BroadcastHashJoin") == 5
     exchanges = re.findall(r"(?<!Broadcast)Exchange\n[^\n]*\n(?:[^\n]+\n)*", plan) + re.findall(r"(?<!Broadcast)Exchange hash[^\n]*", plan)
     assert exchanges and not any("sentence#" in e or "review_text" in e for e in exchanges)
     assert "EvalPython" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan

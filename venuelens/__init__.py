@@ -17,6 +17,7 @@ from venuelens.operators.aspects import (
     aspect_by_venue,
     aspect_map,
     aspect_mentions,
+    aspect_mentions_from_table,
 )
 from venuelens.operators.composite import composite_score
 from venuelens.operators.features import encode_prefs, encode_venues

@@ -12,9 +12,12 @@ from venuelens import vocab
 from venuelens.functions.scores import score_to_ten
 from venuelens.operators.sentiment import score_sentences
 from venuelens.operators.terms import sentences
+from venuelens.session import broadcast_if_small
 
 
 _BITS = 62
+#: A keyword table up to this size is broadcast (some 50 MB); a larger one is joined by shuffle.
+MAX_BROADCAST_KEYWORDS = 500_000
 
 
 def mentions_any(lowered: Column, keywords: list[str]) -> Column:
@@ -78,27 +81,21 @@ def aspect_mentions_from_table(reviews: DataFrame, keywords: DataFrame) -> DataF
 
     Every keyword is met as a run of characters, so each sentence is cut into the
     character runs of the keyword lengths in use and joined on the run: an equi-join,
-    whatever the number of keywords.
+    whatever the number of keywords.  Up to ``MAX_BROADCAST_KEYWORDS`` keywords are
+    broadcast, so runs that are no keyword go before anything is shuffled; a larger table
+    is met by a shuffle of the distinct runs of each sentence.  The lengths in use are
+    read once; there are no more of them than the longest keyword has characters.
     """
-    keyed = keywords.select("aspect", F.lower("keyword").alias("run"))
-    lengths = keyed.agg(
-        F.array_sort(F.collect_set(F.length("run"))).alias("lengths")
-    )
-    lowered = sentences(reviews).select(
-        "cafe_id", "review_id", "sent_pos", F.lower("sentence").alias("lowered")
-    )
-    sized = lowered.join(F.broadcast(lengths)).select(
-        "cafe_id", "review_id", "sent_pos", "lowered", F.explode("lengths").alias("size")
-    )
+    keyed = keywords.select("aspect", F.lower("keyword").alias("run")).filter(F.length("run") > 0).distinct()
+    lengths = sorted(r["size"] for r in keyed.select(F.length("run").alias("size")).distinct().collect())
+    place = ["cafe_id", "review_id", "sent_pos"]
+    lowered = sentences(reviews).select(*place, F.lower("sentence").alias("lowered"))
     # a look-ahead finds overlapping runs in one pass over the sentence
-    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("size").cast("string"), F.lit("}))"))
-    runs = sized.select(
-        "cafe_id",
-        "review_id",
-        "sent_pos",
-        F.explode(F.array_distinct(F.regexp_extract_all("lowered", pattern, F.lit(1)))).alias("run"),
-    )
-    return runs.join(keyed, "run").select("cafe_id", "review_id", "sent_pos", "aspect").distinct()
+    found = [F.regexp_extract_all("lowered", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    found = F.concat(*found) if found else F.array().cast("array<string>")
+    runs = lowered.select(*place, F.explode(F.array_distinct(found)).alias("run"))
+    keyed = broadcast_if_small(keyed, MAX_BROADCAST_KEYWORDS)
+    return runs.join(keyed, "run").select(*place, "aspect").distinct()
 
 
 def aspect_by_review(

@@ -3,14 +3,15 @@
 The lexicon is the caller's: ``(token, valence)``, tokens in lower case and unique.  No
 word list of any sentiment package is shipped.  The rules follow the published
 description of a rule-based lexicon scorer (Hutto & Gilbert, ICWSM 2014); left out are
-emoji descriptions, multi-word idioms and the special treatment of "least", "no",
-"never so" and "without doubt".
+emoji descriptions and multi-word idioms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,7 @@ class SentimentRules:
     contrast: str = "but"
     capitals: float = 0.733
     negation: float = -0.74
+    never_so: float = 1.25
     damping: tuple[float, ...] = (1.0, 0.95, 0.9)
     before_contrast: float = 0.5
     after_contrast: float = 1.5
@@ -140,14 +142,36 @@ def _negates(token: Column, rules: SentimentRules) -> Column:
     return token.isin(*rules.negators) | F.contains(token, F.lit(rules.negation_mark))
 
 
+def _turn(distance: int, rules: SentimentRules) -> Column:
+    """The factor of the word ``distance`` places back: "never so" and "never this" lift,
+    "without doubt" leaves as it is, other negations turn."""
+    word, nearer = F.col(f"cue{distance}"), [F.lower(f"raw{d}") for d in range(1, distance)]
+    turn = F.when(_negates(word, rules), F.lit(rules.negation)).otherwise(F.lit(1.0))
+    if nearer:
+        follows = [reduce(or_, [F.coalesce(n.isin(*w), F.lit(False)) for n in nearer]) for w in (["so", "this"], ["doubt"])]
+        turn = (
+            F.when((word == "never") & follows[0], F.lit(rules.never_so))
+            .when((word == "without") & follows[1], F.lit(1.0))
+            .otherwise(turn)
+        )
+    return turn
+
+
+def _has_no_before() -> Column:
+    """A "no" one or two places back, or three back before "or" and "nor"."""
+    one, two, three = (F.lower(f"raw{d}") for d in (1, 2, 3))
+    return F.coalesce(one == "no", F.lit(False)) | F.coalesce(two == "no", F.lit(False)) | F.coalesce(
+        (three == "no") & one.isin("or", "nor"), F.lit(False)
+    )
+
+
 def _after_cue(value: Column, cue: Column, rules: SentimentRules) -> Column:
     """A valence after one preceding word: lifted by a degree word, turned by a negation."""
     boost = _booster(cue["word"], rules.boosters)
     scalar = _flip(boost, value)
     loud = F.when(cue["loud"], _away_from_zero(scalar, rules.capitals, value)).otherwise(scalar)
     lifted = value + F.when(boost != 0, loud * cue["damping"]).otherwise(F.lit(0.0))
-    turned = F.when(_negates(cue["word"], rules), lifted * F.lit(rules.negation)).otherwise(lifted)
-    return F.when(cue["word"].isNotNull() & cue["plain"], turned).otherwise(value)
+    return F.when(cue["word"].isNotNull() & cue["plain"], lifted * cue["turn"]).otherwise(value)
 
 
 def score_with_modifiers(
@@ -185,10 +209,13 @@ def score_with_modifiers(
     ).select(
         *KEYS, *carry, *facts, "at", "raw", F.lower("raw").alias("token"),
         *[F.get("tokens", F.col("at") - F.lit(d)).alias(f"raw{d}") for d in distances],
+        F.when(F.lower("raw") == "no", F.lower(F.get("tokens", F.col("at") + F.lit(1)))).alias("after_no"),
     )
     row = exploded.join(lexicon, "token", "left")
     known = broadcast_if_small(
-        lexicon.filter(F.col("token").isin(*rules.boosters) | _negates(F.col("token"), rules)),
+        lexicon.filter(
+            F.col("token").isin(*rules.boosters, "least", "never", "without") | _negates(F.col("token"), rules)
+        ),
         MAX_BROADCAST_TOKENS,
     )
     for d in distances:
@@ -197,6 +224,10 @@ def score_with_modifiers(
         cue = known.select(F.col("token").alias(f"cue{d}"), F.lit(True).alias(f"known{d}"))
         row = row.withColumn(f"cue{d}", seen).join(cue, f"cue{d}", "left")
 
+    # "no" before a sentiment word has no valence of its own; only "no" looks ahead
+    ahead = lexicon.select(F.col("token").alias("after_no"), F.lit(True).alias("is_cue"))
+    row = row.join(ahead, "after_no", "left")
+
     # One fold over the cues, worked out for sentiment words only.  Written out as
     # columns, the steps would make the generated method too long to be compiled.
     cues = F.array(
@@ -206,17 +237,24 @@ def score_with_modifiers(
                 F.col(f"known{d}").isNull().alias("plain"),
                 (F.col("mixed") & _is_upper(F.col(f"raw{d}"))).alias("loud"),
                 F.lit(damping).alias("damping"),
+                _turn(d, rules).alias("turn"),
             )
             for d, damping in enumerate(rules.damping, start=1)
         ]
     )
-    valence = F.col("valence")
+    valence = (
+        F.when(_has_no_before(), F.col("valence") * F.lit(rules.negation))
+        .when(F.col("is_cue"), F.lit(0.0))
+        .otherwise(F.col("valence"))
+    )
     shouted = F.col("mixed") & _is_upper(F.col("raw"))
     start = F.when(shouted, _away_from_zero(valence, rules.capitals, valence)).otherwise(valence)
+    least = (F.col("cue1") == "least") & F.col("known1").isNull() & ~F.coalesce(F.lower("raw2").isin("at", "very"), F.lit(False))
     is_booster = F.col("token").isin(*rules.boosters)
     counted = F.when(
-        valence.isNotNull() & ~is_booster,
-        F.aggregate(cues, start, lambda value, cue: _after_cue(value, cue, rules)),
+        F.col("valence").isNotNull() & ~is_booster,
+        F.aggregate(cues, start, lambda value, cue: _after_cue(value, cue, rules))
+        * F.when(least, F.lit(rules.negation)).otherwise(F.lit(1.0)),
     ).otherwise(F.lit(0.0))
     row = row.select(*KEYS, *carry, "emphasis", "at", "contrast_at", counted.alias("counted"))
     counted = F.col("counted")
