@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a test item."""
-    blocks = decontaminate.seeded_blocks(docs, table(spark, sf_dir, "benchmark"))
+    blocks = list(decontaminate.item_blocks(table(spark, sf_dir, "benchmark")))
     return docs.where(~decontaminate.holds_item(F.col("text"), blocks)) if blocks else docs
 
 

@@ -285,6 +285,22 @@ def test_edited_copies_are_found_and_others_left(spark, odd):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_heavily_edited_copies_equal_alignment_of_whole_texts(spark):
+    rng = random.Random(12)
+    item = words(rng, 40)
+    docs = [(k, " ".join([*words(rng, 50), *[w if i % k else f"x{i}" for i, w in enumerate(item)], *words(rng, 50)])) for k in (3, 4, 5, 6, 8)]
+    docs += [(100 + i, docs[1][1]) for i in range(60)]
+    items = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in docs) and min(r.score for r in got) >= 0.5
+    for _ in range(300):
+        item = [f"w{rng.randrange(8)}" for _ in range(rng.randrange(10, 25))]
+        text = [x for w in item for x in rng.choice([[w], [w], [w, "y"], [w, "y", "y"], ["x"], []])] + ["p", "p"]
+        block = decontaminate.Items([(1, " ".join(item))])
+        score = decontaminate.align(block.words[0], block.numbers(text))[0]
+        assert [m[1] for m in block.matches(" ".join(text), 0.5)] == [score / (2 * len(item))] * (score >= len(item))
+
+
 # -- vectors, packing --------------------------------------------------------------
 
 

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds of two words, then Smith-Waterman alignment of words.
 
-The test items are a stated query set, taken in blocks of bounded size.  A first scan of
-the corpus counts in how many documents each n-gram of the items occurs.  The seeds of an
-item are its rare n-grams: those in no more documents than the item's median n-gram (a
-passage that was copied often raises all its n-grams alike, so it keeps its seeds).  A
-second scan looks seeds up in every document, takes the window around each hit, and aligns
-item and window word by word, so edited and paraphrased copies still score.  Only counts
-and hits leave the scans; no text is shuffled.
+The test items are a stated query set, taken in blocks of bounded size.  One scan of the
+corpus looks up every two neighbouring words of an item in each document, as neighbours or
+with one word between them.  An alignment of score ``S`` to an item of ``n`` words holds at
+least ``(2 S - n) / 3 - 1`` such seeds, whose places differ by ``2 n - S`` at most; where
+fewer lie that close together the score can't be reached, and no other place is left out.
+The window around the rest is aligned with the item word by word, so edited and
+paraphrased copies still score.  Only hits leave the scan; no text is shuffled.
 
 The score of an alignment is its Smith-Waterman score over the score of a perfect copy.
 
@@ -17,6 +17,7 @@ give the hits of each, with one row per (doc_id, item_id), the best; without ite
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -26,7 +27,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED_WORDS = 3
 MIN_SCORE = 0.5
 MIN_WORDS = 5
 #: Characters of item texts that one scan takes.
@@ -71,10 +71,20 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
     return best
 
 
+def needed(n_words: int, min_score: float) -> int:
+    """Smith-Waterman score from which an item of so many words counts as copied."""
+    return math.ceil(min_score * _MATCH * n_words - 1e-9)
+
+
+def seeds_of(n_words: int, min_score: float) -> int:
+    """Seeds that an alignment of the needed score holds at least."""
+    return max(1, -(-(2 * needed(n_words, min_score) - n_words) // 3) - 1)
+
+
 class Items:
-    """A block of test items: words as numbers, and where each n-gram stands."""
+    """A block of test items: words as numbers, and where each pair of neighbours stands."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed_words: int = SEED_WORDS):
+    def __init__(self, rows: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
         self.ids, self.words = [], []
         for item_id, text in rows:
@@ -82,30 +92,26 @@ class Items:
             if found:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in found]))
-        self.grams: dict[int, np.ndarray] = {}
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in sorted({min(seed_words, len(w)) for w in self.words}):
-            keys, item, at = [], [], []
-            for i, w in enumerate(self.words):
-                if min(seed_words, len(w)) == size:
-                    k = self.keys(w, size)
-                    keys.append(k)
-                    item.append(np.full(len(k), i))
-                    at.append(np.arange(len(k)))
-            keys, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
-            order = np.argsort(keys, kind="stable")
-            self._set(size, keys[order], item[order], at[order])
-
-    def _set(self, size: int, keys: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
-        self.grams[size], first = np.unique(keys, return_index=True)
-        self.postings[size] = (np.append(first, len(keys)), item, at)
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        keys, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, w in enumerate(self.words):
+            if len(w) < MIN_WORDS:
+                self.short.setdefault(tuple(w.tolist()), []).append(i)
+                continue
+            keys.append(self.keys(w[:-1], w[1:]))
+            item.append(np.full(len(w) - 1, i))
+            at.append(np.arange(len(w) - 1))
+        keys, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
+        order = np.argsort(keys, kind="stable")
+        self.grams, first = np.unique(keys[order], return_index=True)
+        self.first, self.item, self.at = np.append(first, len(keys)), item[order], at[order]
 
     @staticmethod
-    def keys(words: np.ndarray, size: int) -> np.ndarray:
-        """A 64-bit key of every run of ``size`` words."""
-        key = np.zeros(max(0, len(words) - size + 1), np.uint64)
-        for i in range(size):
-            key = (key ^ words[i : i + len(key)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    def keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """A 64-bit key of every pair of words."""
+        key = np.zeros(len(left), np.uint64)
+        for words in (left, right):
+            key = (key ^ words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         return key
 
@@ -113,71 +119,72 @@ class Items:
         get = self.vocab.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, places in ``words``, numbers of the grams there)."""
-        known = words >= 0
-        for size, grams in self.grams.items():
-            if len(words) < size or not len(grams):
-                continue
-            whole = reduce(np.logical_and, [known[i : len(words) - size + 1 + i] for i in range(size)])
-            at = np.flatnonzero(whole)
-            if len(at):
-                runs = words[at[:, None] + np.arange(size)]
-                key = np.zeros(len(at), np.uint64)
-                for i in range(size):
-                    key = (key ^ runs[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                number = np.searchsorted(grams, key).clip(max=len(grams) - 1)
-                hit = grams[number] == key
-                yield size, at[hit], number[hit]
-
-    def keep_rare(self, counts: dict[tuple[int, int], int]) -> None:
-        """Leave each item the n-grams that no more documents hold than its median n-gram."""
-        for size, (first, item, at) in self.postings.items():
-            n_docs = np.repeat([counts.get((size, g), 0) for g in range(len(self.grams[size]))], np.diff(first))
-            keep = np.zeros(len(item), bool)
-            order = np.argsort(item, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-                keep[part] = n_docs[part] <= np.median(n_docs[part])
-            keys = np.repeat(self.grams[size], np.diff(first))
-            self._set(size, keys[keep], item[keep], at[keep])
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and where they would start in ``words``, of every seed."""
+        items, starts = [], []
+        for gap in (1, 2):
+            place = np.flatnonzero((words[:-gap] >= 0) & (words[gap:] >= 0))
+            key = self.keys(words[place], words[place + gap])
+            number = np.searchsorted(self.grams, key).clip(max=len(self.grams) - 1)
+            hit = self.grams[number] == key
+            place, number = place[hit], number[hit]
+            lengths = self.first[number + 1] - self.first[number]
+            where = np.repeat(self.first[number], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            items.append(self.item[where])
+            starts.append(np.repeat(place, lengths) - self.at[where])
+        return np.concatenate(items), np.concatenate(starts)
+
+    def candidates(self, words: np.ndarray, min_score: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that have as many seeds as the needed score takes, and where these would start, sorted."""
+        item, start = self.hits(words)
+        item, place, count = np.unique(item, return_inverse=True, return_counts=True)
+        enough = count >= [seeds_of(len(self.words[i]), min_score) for i in item]
+        start, place = start[enough[place]], place[enough[place]]
+        order = np.lexsort([start, place])
+        edges = np.flatnonzero(np.diff(place[order])) + 1
+        if enough.any():
+            yield from zip(item[enough].tolist(), np.split(start[order], edges), strict=True)
 
     def matches(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int, int, int]]:
         """(item_id, score, matched words, words of the item, bounds in ``text``), the best of each item."""
         found = words_of(text)
         words = self.numbers(found)
-        places: dict[int, list[np.ndarray]] = {}
-        for size, at, number in self.hits(words):
-            first, item, begin = self.postings[size]
-            lengths = first[number + 1] - first[number]
-            where = np.repeat(first[number], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            starts = np.repeat(at, lengths) - begin[where]
-            for i in np.unique(item[where]):
-                places.setdefault(int(i), []).append(starts[item[where] == i])
+        best: dict[int, tuple[int, int, int, int]] = {}
+        if len(words) < MIN_WORDS:
+            for i in self.short.get(tuple(words.tolist()), []):
+                best[i] = (_MATCH * len(words), len(words), 0, len(words))
+        if len(words) > 1 and len(self.grams):
+            for i, starts in self.candidates(words, min_score):
+                if at := self._best(self.words[i], words, starts, min_score):
+                    best[i] = at
         out = []
-        spans = None
-        for i, starts in places.items():
-            item = self.words[i]
-            if len(item) < MIN_WORDS and len(words) != len(item):
-                continue
-            starts = np.unique(np.concatenate(starts))
-            slack = len(item) // 4 + 4
-            cuts = np.flatnonzero(np.diff(starts) > len(item) + 2 * slack) + 1
-            best = (0, 0, 0, 0)
-            for group in np.split(starts, cuts):
-                low = max(0, int(group[0]) - slack)
-                high = min(len(words), int(group[-1]) + len(item) + slack)
-                score, matched, begin, end = align(item, words[low:high])
-                if score > best[0]:
-                    best = (score, matched, low + begin, low + end)
-            value = best[0] / (_MATCH * len(item))
-            if value >= (min_score if len(item) >= MIN_WORDS else 1.0):
-                spans = spans or [m.span() for m in _WORD.finditer((text or "").lower())]
-                out.append((self.ids[i], value, best[1], len(item), spans[best[2]][0], spans[best[3] - 1][1]))
+        spans = [m.span() for m in _WORD.finditer((text or "").lower())] if best else []
+        for i, (score, matched, begin, end) in best.items():
+            n = len(self.words[i])
+            out.append((self.ids[i], score / (_MATCH * n), matched, n, spans[begin][0], spans[end - 1][1]))
         return out
 
-
-def _blocks(items: DataFrame) -> Iterator[Items]:
+    @staticmethod
+    def _best(item: np.ndarray, words: np.ndarray, starts: np.ndarray, min_score: float) -> tuple[int, int, int, int] | None:
+        """The best alignment of an item that reaches the needed score, from its sorted seeds."""
+        need = needed(len(item), min_score)
+        slack = max(0, _MATCH * len(item) - need)
+        seeds = seeds_of(len(item), min_score)
+        close = np.flatnonzero(starts[seeds - 1 :] - starts[: len(starts) - seeds + 1] <= slack)
+        if not len(close):
+            return None
+        starts = starts[np.unique(close[:, None] + np.arange(seeds))]
+        best = (0, 0, 0, 0)
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > len(item) + 2 * slack) + 1):
+            low = max(0, int(group[0]) - slack)
+            high = min(len(words), int(group[-1]) + len(item) + slack)
+            score, matched, begin, end = align(item, words[low:high])
+            if score > best[0]:
+                best = (score, matched, low + begin, low + end)
+        return best if best[0] >= need else None
+
+
+def item_blocks(items: DataFrame) -> Iterator[Items]:
     """The items in blocks of about ``BLOCK_CHARS`` characters, dealt by a hash; null ids or texts have no words."""
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -189,26 +196,6 @@ def _blocks(items: DataFrame) -> Iterator[Items]:
             yield block
 
 
-def seeded_blocks(docs: DataFrame, items: DataFrame) -> list[Items]:
-    """The blocks of items, each with the rare n-grams of its items as seeds, counted over all of ``docs``."""
-    blocks = list(_blocks(items))
-    for block in blocks:
-
-        def count(batches, block=block):
-            totals = {size: np.zeros(len(grams), np.int64) for size, grams in block.grams.items()}
-            for batch in batches:
-                for text in batch["text"]:
-                    for size, _, number in block.hits(block.numbers(words_of(text))):
-                        totals[size][np.unique(number)] += 1
-            for size, total in totals.items():
-                found = np.flatnonzero(total)
-                yield pd.DataFrame({"size": size, "gram": found, "n": total[found]})
-
-        counted = docs.select(F.col("text")).mapInPandas(count, "size int, gram bigint, n bigint").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-        block.keep_rare({(r["size"], r["gram"]): r["n"] for r in counted.toLocalIterator()})
-    return blocks
-
-
 def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document and item that it holds a copy of: doc_id, item_id, score, n_matched, n_words, start, end.
 
@@ -224,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
 
         return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text")).mapInPandas(search, _HITS)
 
-    parts = [scan(block) for block in seeded_blocks(docs, items)]
+    parts = [scan(block) for block in item_blocks(items)]
     if not parts:
         parts = [docs.sparkSession.createDataFrame([], _HITS)]
     hits = reduce(DataFrame.union, parts)
