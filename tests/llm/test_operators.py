@@ -301,6 +301,20 @@ def test_heavily_edited_copies_equal_alignment_of_whole_texts(spark):
         assert [m[1] for m in block.matches(" ".join(text), 0.5)] == [score / (2 * len(item))] * (score >= len(item))
 
 
+def test_short_items_need_more_than_a_shared_phrase(spark):
+    rng = random.Random(13)
+    docs, items, copies = [], [], set()
+    for n in (5, 6, 7, 8, 9):
+        item = words(rng, n)
+        items.append((n, " ".join(item)))
+        made = {0: item, 1: [*item[:2], "x", *item[3:]], 2: item[:3], 3: item[-3:]}
+        docs += [(10 * n + k, " ".join([*words(rng, 30), *part, *words(rng, 30)])) for k, part in made.items()]
+        copies |= {(10 * n, n), (10 * n + 1, n)}
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == copies
+
+
 # -- vectors, packing --------------------------------------------------------------
 
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 MIN_SCORE = 0.5
 MIN_WORDS = 5
+#: Items of fewer words need a higher score.
+SHORT_WORDS = 10
 #: Characters of item texts that one scan takes.
 BLOCK_CHARS = 16_000_000
 
@@ -72,8 +74,15 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
 
 
 def needed(n_words: int, min_score: float) -> int:
-    """Smith-Waterman score from which an item of so many words counts as copied."""
-    return math.ceil(min_score * _MATCH * n_words - 1e-9)
+    """Smith-Waterman score from which an item of so many words counts as copied.
+
+    Of under ``SHORT_WORDS`` words one may be replaced, or two from 8 words on, so that a shared phrase is no copy.
+    """
+    least = math.ceil(min_score * _MATCH * n_words - 1e-9)
+    if n_words >= SHORT_WORDS:
+        return least
+    replaced = 1 if n_words < 8 else 2
+    return max(least, _MATCH * (n_words - replaced) + _MISS * replaced)
 
 
 def seeds_of(n_words: int, min_score: float) -> int:
