@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,12 @@ def seeds_of(n_words: int, min_score: float) -> int:
     return max(1, -(-(2 * needed(n_words, min_score) - n_words) // 3) - 1)
 
 
+def reachable(item: np.ndarray, window: np.ndarray) -> int:
+    """No alignment scores more: item words in the window all match, each other one between them costs one."""
+    total = np.cumsum(np.where(np.isin(item, window), _MATCH, _MISS))
+    return int((total - np.minimum.accumulate(np.concatenate([[0], total[:-1]]))).max())
+
+
 class Items:
     """A block of test items: words as numbers, and where each pair of neighbours stands."""
 
@@ -101,6 +108,7 @@ class Items:
             if found:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in found]))
+        self.least: dict[float, np.ndarray] = {}
         self.short: dict[tuple[int, ...], list[int]] = {}
         keys, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
@@ -125,12 +133,11 @@ class Items:
         return key
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.vocab.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and where they would start in ``words``, of every seed."""
-        items, starts = [], []
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every seed: the item, where it would start in ``words``, and the seed's place in it."""
+        items, starts, begins = [], [], []
         for gap in (1, 2):
             place = np.flatnonzero((words[:-gap] >= 0) & (words[gap:] >= 0))
             key = self.keys(words[place], words[place + gap])
@@ -140,19 +147,23 @@ class Items:
             lengths = self.first[number + 1] - self.first[number]
             where = np.repeat(self.first[number], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             items.append(self.item[where])
-            starts.append(np.repeat(place, lengths) - self.at[where])
-        return np.concatenate(items), np.concatenate(starts)
-
-    def candidates(self, words: np.ndarray, min_score: float) -> Iterator[tuple[int, np.ndarray]]:
-        """Items that have as many seeds as the needed score takes, and where these would start, sorted."""
-        item, start = self.hits(words)
-        item, place, count = np.unique(item, return_inverse=True, return_counts=True)
-        enough = count >= [seeds_of(len(self.words[i]), min_score) for i in item]
-        start, place = start[enough[place]], place[enough[place]]
-        order = np.lexsort([start, place])
-        edges = np.flatnonzero(np.diff(place[order])) + 1
-        if enough.any():
-            yield from zip(item[enough].tolist(), np.split(start[order], edges), strict=True)
+            begins.append(self.at[where])
+            starts.append(np.repeat(place, lengths) - begins[-1])
+        return np.concatenate(items), np.concatenate(starts), np.concatenate(begins)
+
+    def candidates(self, words: np.ndarray, min_score: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Items that have as many seeds as the needed score takes, where these would start, sorted, and their places."""
+        item, start, begin = self.hits(words)
+        if min_score not in self.least:
+            self.least[min_score] = np.array([seeds_of(len(w), min_score) for w in self.words])
+        item_of, place, count = np.unique(item, return_inverse=True, return_counts=True)
+        enough = (count >= self.least[min_score][item_of])[place]
+        item, start, begin = item[enough], start[enough], begin[enough]
+        order = np.lexsort([start, item])
+        item, start, begin = item[order], start[order], begin[order]
+        edges = np.flatnonzero(np.diff(item, prepend=-1)).tolist()
+        for low, high in zip(edges, [*edges[1:], len(item)], strict=False):
+            yield int(item[low]), start[low:high], begin[low:high]
 
     def matches(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int, int, int]]:
         """(item_id, score, matched words, words of the item, bounds in ``text``), the best of each item."""
@@ -163,8 +174,8 @@ class Items:
             for i in self.short.get(tuple(words.tolist()), []):
                 best[i] = (_MATCH * len(words), len(words), 0, len(words))
         if len(words) > 1 and len(self.grams):
-            for i, starts in self.candidates(words, min_score):
-                if at := self._best(self.words[i], words, starts, min_score):
+            for i, starts, begins in self.candidates(words, min_score):
+                if at := self._best(self.words[i], words, starts, begins, min_score):
                     best[i] = at
         out = []
         spans = [m.span() for m in _WORD.finditer((text or "").lower())] if best else []
@@ -174,20 +185,27 @@ class Items:
         return out
 
     @staticmethod
-    def _best(item: np.ndarray, words: np.ndarray, starts: np.ndarray, min_score: float) -> tuple[int, int, int, int] | None:
-        """The best alignment of an item that reaches the needed score, from its sorted seeds."""
+    def _best(item: np.ndarray, words: np.ndarray, starts: np.ndarray, begins: np.ndarray, min_score: float) -> tuple[int, int, int, int] | None:
+        """The best alignment of an item that reaches the needed score, from its seeds sorted by start."""
         need = needed(len(item), min_score)
         slack = max(0, _MATCH * len(item) - need)
         seeds = seeds_of(len(item), min_score)
         close = np.flatnonzero(starts[seeds - 1 :] - starts[: len(starts) - seeds + 1] <= slack)
         if not len(close):
             return None
-        starts = starts[np.unique(close[:, None] + np.arange(seeds))]
+        kept = np.unique(close[:, None] + np.arange(seeds))
+        starts, begins = starts[kept], begins[kept]
         best = (0, 0, 0, 0)
-        for group in np.split(starts, np.flatnonzero(np.diff(starts) > len(item) + 2 * slack) + 1):
-            low = max(0, int(group[0]) - slack)
-            high = min(len(words), int(group[-1]) + len(item) + slack)
-            score, matched, begin, end = align(item, words[low:high])
+        edges = np.flatnonzero(np.diff(starts, prepend=starts[0] - slack - 1) > slack).tolist()
+        for first, last in zip(edges, [*edges[1:], len(starts)], strict=True):
+            if len(set(begins[first:last].tolist())) < seeds:
+                continue
+            low = max(0, int(starts[first]) - slack)
+            high = min(len(words), int(starts[last - 1]) + len(item) + slack)
+            window = words[low:high]
+            if reachable(item, window) < need:
+                continue
+            score, matched, begin, end = align(item, window)
             if score > best[0]:
                 best = (score, matched, low + begin, low + end)
         return best if best[0] >= need else None
