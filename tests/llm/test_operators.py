@@ -179,6 +179,25 @@ def test_near_copies_by_similarity_leave_one(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.near_duplicates(odd).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("chunk_rows", [simhash.CHUNK_ROWS, 4])
+def test_similar_groups_equal_exact_jaccard(spark, chunk_rows):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(24):
+        base = words(rng, 100)
+        texts += [base, *[[*base[:-k], *words(rng, k)] for k in (8, 9, 10, 11, 12, 13, 16, 20)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, chunk_rows=chunk_rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_lines_equal_the_oracle(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
