@@ -278,6 +278,25 @@ def test_licenses_match_whole_units_only(spark, odd):
     assert all(re.search(licenses.KEYWORDS, text) for _, text in licenses.KNOWN)
 
 
+def test_license_files_of_several_paragraphs(spark):
+    mit, bsd = licenses.KNOWN[7][1], licenses.KNOWN[11][1]
+    parts = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\r\n\r\nTHE")
+    clauses = bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n \n3. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2024 Someone\n\n" + parts),
+        (2, "Some prose first.\n\nThe MIT License (MIT)\n\n" + parts + "\n\nAnd after."),
+        (3, "BSD 3-Clause License\r\n\r\n" + clauses),
+        (4, "Intro\n\n" + clauses + "\n\nOutro"),
+        (5, "Intro\n\n" + parts + " more words in the last paragraph\n\nOutro"),
+        (6, "Intro\n\n" + parts.rsplit("\n", 1)[0] + "\n\nOutro"),
+    ]
+    known = licenses.known_licenses(spark)
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), known).collect()
+    assert sorted((r.doc_id, r.license_id, r.level, r.position) for r in got) == [
+        (1, "MIT", "document", 0), (2, "MIT", "paragraphs", 2), (3, "BSD-3-Clause", "document", 0), (4, "BSD-3-Clause", "paragraphs", 1),
+    ]
+
+
 def test_alignment_equals_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(50):

@@ -1,13 +1,13 @@
 """License scans: canonical digests of whole texts, joined to those of known licences.
 
-A unit of text (a whole document, a paragraph, or a line) is brought to a canonical form:
-lower case, equivalent spellings made equal, copyright lines and punctuation gone, single
-spaces.  Its digest is joined to the digests of the known licences, so a unit matches only
+A unit of text (a whole document, a run of paragraphs, a paragraph, or a line) is brought to a
+canonical form: lower case, equivalent spellings made equal, title and copyright lines and
+punctuation gone, single spaces.  Its digest is joined to the digests of the known licences, so a unit matches only
 if its entire text does.
 
 Edge cases: null and empty texts match nothing; a unit that is a copyright line only has an
 empty canonical form and matches nothing; a document of one line or paragraph is reported once,
-as a document, and a paragraph of one line as a line; repeated rows give repeated hits; known texts with one canonical form all match.
+as a document, and a paragraph of one line as a line; a text of title lines only keeps them; repeated rows give repeated hits; known texts with one canonical form all match.
 """
 
 from __future__ import annotations
@@ -87,16 +87,26 @@ SPELLINGS = [
     ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"),
     ("copyright owner", "copyright holder"), ("https://", "http://"), ("&", "and"),
 ]
+TITLE = (
+    r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|x11|0bsd|((new|modified|simplified|revised) )?bsd([ -]([0-9]|zero)[ -]clause)?|([0-9]|zero)[ -]clause bsd)"
+    r"( licen[sc]e)?( \([a-z0-9 -]{1,20}\))?[^a-z0-9\n]*$"
+)
+#: Words by which the start of a run of paragraphs is looked up.
+START_WORDS = 4
 KEYWORDS = "(?i)licen[sc]e|permission|redistribut|public domain"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, equal spellings, no copyright lines, words separated by single spaces."""
+def canonical(text: Column, lone_titles: bool = True) -> Column:
+    """Lower case, equal spellings, no title or copyright lines, words separated by single spaces.
+
+    ``lone_titles``: a text of nothing else keeps its title.
+    """
     low = F.lower(text)
     low = F.regexp_replace(low, r"(?m)^[^a-z0-9\n]*(copyright( \(c\)| ©|:)?|\(c\)|©)[^a-z0-9\n]*[0-9]{4}[^\n]*$", " ")
     low = F.regexp_replace(low, r"all rights reserved", " ")
     low = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, low)
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+    plain, bare = (F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")) for x in (low, F.regexp_replace(low, TITLE, " ")))
+    return F.when(F.rlike(low, F.lit(TITLE)) & ((bare != "") | F.lit(not lone_titles)), bare).otherwise(plain)
 
 
 def known_licenses(spark: SparkSession, rows: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -107,16 +117,18 @@ def known_licenses(spark: SparkSession, rows: list[tuple[str, str]] = KNOWN) ->
 def scan_licenses(docs: DataFrame, known: DataFrame, keywords: str | None = KEYWORDS) -> DataFrame:
     """(doc_id, license_id, level, position, digest) of every unit whose entire text is a known licence.
 
-    ``level``: document, paragraph or line; ``position`` counts paragraphs or lines from 0.
+    ``level``: document, paragraphs (several in a row, at the first of them), paragraph or line;
+    ``position`` counts paragraphs or lines from 0.
     ``keywords``: a pattern that every known text meets, to spare other units the work; null for none.
     """
     one = known.where("text is not null and license_id is not null")
-    one = one.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    one = one.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+    one = one.select("license_id", F.sha2("form", 256).alias("digest"), _start(F.col("form")).alias("start"), F.size(F.split("form", " ")).alias("n")).distinct()
     one = broadcast_if_small(one, BROADCAST_ROWS)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text"))
     rows = rows.where(F.rlike("text", F.lit(keywords))) if keywords else rows
-    paragraphs, by_line = F.split("text", r"\n[\x20\t]*\n", -1), F.split("text", "\n", -1)
+    paragraphs, by_line = F.split("text", r"\n[\x20\t\r]*\n", -1), F.split("text", "\n", -1)
 
     def units(level: str, parts: Column, several_lines: bool = False) -> Column:
         """The parts as units, none if there is one only, which is the wider unit itself."""
@@ -129,4 +141,26 @@ def scan_licenses(docs: DataFrame, known: DataFrame, keywords: str | None = KEYW
     found = rows.select("doc_id", F.explode(F.concat(whole, units("paragraph", paragraphs, True), units("line", by_line))).alias("u"))
     form = found.select("doc_id", "u.level", "u.position", canonical(F.col("u.unit")).alias("form")).where("form <> ''")
     hashed = form.select("doc_id", "level", "position", F.sha2("form", 256).alias("digest"))
-    return hashed.join(one, "digest").select("doc_id", "license_id", "level", "position", "digest")
+    columns = ["doc_id", "license_id", "level", "position", "digest"]
+    return hashed.join(one, "digest").select(columns).union(_runs(rows.select("doc_id", paragraphs.alias("parts")), one).select(columns))
+
+
+def _start(form: Column) -> Column:
+    return F.substring_index(form, " ", START_WORDS)
+
+
+def _runs(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Known texts that are cut into several paragraphs in a row, but not the whole document, of (doc_id, parts)."""
+    forms = F.transform("parts", lambda x, i: F.struct(i.cast("bigint").alias("position"), canonical(x, lone_titles=False).alias("form")))
+    rows = rows.where(F.size("parts") > 1).select("doc_id", F.filter(forms, lambda p: p["form"] != "").alias("parts"))
+    rows = rows.select("doc_id", F.col("parts.position").alias("positions"), F.col("parts.form").alias("forms"))
+    starts = F.transform("forms", lambda x, i: F.struct((i + 1).alias("at"), _start(F.array_join(F.slice("forms", i + 1, START_WORDS), " ")).alias("start")))
+    known = F.broadcast(one.agg(F.collect_set("start").alias("known")))
+    found = rows.crossJoin(known).withColumn("s", F.explode(F.filter(starts, lambda s: F.array_contains("known", s["start"]))))
+    found = found.select("doc_id", "positions", "forms", "s.at", "s.start").join(one, "start")
+    run = F.array_join(F.slice("forms", F.col("at"), F.col("n")), " ")
+    found = found.withColumn("run", run).withColumn("head", F.expr("substring_index(run, ' ', n)")).where(F.sha2("head", 256) == F.col("digest"))
+    most = F.least(F.col("n"), F.size("forms") - F.col("at") + 1)
+    ends = F.filter(F.sequence(F.lit(1), most), lambda j: F.array_join(F.slice("forms", F.col("at"), j), " ") == F.col("head"))
+    found = found.withColumn("n_parts", F.get(ends, F.lit(0))).where((F.size(ends) > 0) & (F.col("n_parts") > 1) & (F.col("n_parts") < F.size("forms")))
+    return found.select("doc_id", "license_id", F.lit("paragraphs").alias("level"), F.get("positions", F.col("at") - 1).alias("position"), "digest")
