@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuelens.llm import decontaminate, language, licenses, lines, nearest, packing, pii, quality, simhash, toxicity
+from venuelens.llm import (
+    audit,
+    decontaminate,
+    language,
+    licenses,
+    lines,
+    nearest,
+    packing,
+    pii,
+    quality,
+    simhash,
+    tokencounts,
+    toxicity,
+)
 from venuelens.llm.common import crc_rest, table
+from venuelens.session import shared_folder
 
 #: A document is taken as class 1 from this score on.
 THRESHOLD = 0.7
+#: A text of more tokens is over the limit.
+TOKEN_LIMIT = 512
 
 
 def tokenizer_path() -> str:
@@ -81,6 +99,17 @@ def op10_lines(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op13_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The cache belongs to the folder of the tables: a second run over the same tables finds its counts stored."""
+    cache = f"{shared_folder(spark).rstrip('/')}/token-counts/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    counted = tokencounts.token_counts(table(spark, d, "documents"), tokenizer_path(), cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +121,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
+    "op11_audit": op11_audit,
+    "op13_tokens": op13_tokens,
 }
 
 _OP10_SQL = r"""
@@ -112,4 +143,53 @@ select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256
 from marked group by doc_id
 """
-ORACLES: dict[str, str] = {"op10_lines": _OP10_SQL}
+
+_OP11_SQL = r"""
+with recursive read as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from documents
+),
+firsts as (select text, min(doc_id) as least from read group by text),
+marks as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels where doc_id is not null group by doc_id
+),
+failed as (
+  select r.part, coalesce(m.good, 0) as good, coalesce(m.toxic, 0) as toxic,
+    (case when len(words) < 200 then 1 else 0 end)
+    + (case when 100 * list_unique(words) < 50 * len(words) then 2 else 0 end)
+    + (case when 100 * length(regexp_replace(r.text, '[^A-Z]', '', 'g')) > 2 * length(r.text) then 4 else 0 end)
+    + (case when regexp_matches(r.text, '[#$%&*|]') then 8 else 0 end)
+    + (case when r.doc_id > f.least then 16 else 0 end) as mask
+  from read r join firsts f on r.text = f.text left join marks m on r.doc_id = m.doc_id
+),
+cells as (
+  select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by part, mask
+),
+letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) l(letter, bit)),
+orders as (
+  select letter as path, bit as used from letters
+  union all
+  select path || letter, used + bit from orders join letters on (used & bit) = 0
+),
+steps as (
+  select path as filter_order, i as step, substr(path, i, 1) as letter, l.bit,
+    coalesce((select sum(b.bit) from letters b where contains(substr(path, 1, i - 1), b.letter)), 0)::bigint as applied
+  from orders, range(1, 6) r(i), letters l where length(path) = 5 and l.letter = substr(path, i, 1)
+),
+counted as (
+  select c.part, s.filter_order, s.step, s.letter,
+    coalesce(sum(n) filter ((mask & (applied | bit)) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter ((mask & bit) <> 0 and (mask & applied) = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter ((mask & bit) <> 0 and (mask & applied) <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter ((mask & bit) <> 0 and (mask & applied) = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter ((mask & bit) <> 0 and (mask & applied) = 0), 0)::bigint as toxic_lost
+  from steps s cross join cells c group by all
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, letter))::bigint as shapley
+from counted
+"""
+ORACLES: dict[str, str] = {"op10_lines": _OP10_SQL, "op11_audit": _OP11_SQL}
