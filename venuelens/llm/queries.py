@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from venuelens.llm import (
     audit,
+    collocations,
     decontaminate,
     language,
     licenses,
@@ -103,6 +104,10 @@ def op11_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents"))
+
+
 def op13_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The cache belongs to the folder of the tables: a second run over the same tables finds its counts stored."""
     cache = f"{shared_folder(spark).rstrip('/')}/token-counts/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
@@ -122,6 +127,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
     "op11_audit": op11_audit,
+    "op12_collocations": op12_collocations,
     "op13_tokens": op13_tokens,
 }
 
@@ -192,4 +198,65 @@ select part, filter_order, step::int as step, kept, removed, redundant, unique_f
   (sum(removed) over (partition by part, letter))::bigint as shapley
 from counted
 """
-ORACLES: dict[str, str] = {"op10_lines": _OP10_SQL, "op11_audit": _OP11_SQL}
+_OP12_SQL = r"""
+with pieces as (
+  select lang, piece, row_number() over () as place
+  from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+  )
+),
+words as (
+  select lang, place, pos, word from (
+    select lang, place, unnest(w) as word, unnest(range(len(w))) as pos
+    from (select *, string_split_regex(piece, '[\x20\x09]+') as w from pieces)
+  ) where word <> ''
+),
+rows as (
+  select lang, word as w1, lead(word, 1) over p as w2, lead(word, 2) over p as w3, lead(word, 3) over p as w4,
+    lead(word, 4) over p as w5
+  from words window p as (partition by place order by pos)
+),
+counts as (
+  select lang, k, phrase, count(*) as f
+  from (
+    select lang, 1 as k, w1 as phrase from rows
+    union all select lang, 2, w1 || ' ' || w2 from rows
+    union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from rows
+    union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 from rows
+    union all select lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 from rows
+  )
+  where phrase is not null group by lang, k, phrase
+),
+totals as (select lang, sum(f) as n from counts where k = 1 group by lang),
+frequent as (select *, string_split(phrase, ' ') as w from counts where f >= 100),
+covered as (
+  select lang, part, max(f) as longer
+  from (
+    select lang, f, array_to_string(w[i:i + m - 1], ' ') as part
+    from (select *, unnest(range(1, k - m + 2)) as i from frequent, range(2, 5) r(m) where m < k)
+  )
+  group by lang, part
+),
+cuts as (
+  select c.lang, c.phrase, c.f as a, p.f as l, q.f as r, t.n, c.cut,
+    (1000::hugeint * c.f::hugeint * t.n::hugeint) // (p.f::hugeint * q.f::hugeint) as score
+  from (select *, unnest(range(1, k)) as cut from frequent where k > 1) c
+  join counts p on p.lang = c.lang and p.phrase = array_to_string(c.w[1:cut], ' ')
+  join counts q on q.lang = c.lang and q.phrase = array_to_string(c.w[cut + 1:], ' ')
+  join totals t on t.lang = c.lang
+),
+lowest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+),
+ranked as (
+  select l.*, row_number() over (partition by l.lang order by score desc, a desc, l.phrase) as rank
+  from lowest l left join covered v on v.lang = l.lang and v.part = l.phrase
+  where coalesce(v.longer, 0) < a
+)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n,
+  score::bigint as score
+from ranked where rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op10_lines": _OP10_SQL, "op11_audit": _OP11_SQL, "op12_collocations": _OP12_SQL}
