@@ -105,8 +105,10 @@ def _read(frame: pd.DataFrame) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for lang, words, codes in _read(frame):
+            if not words:
+                continue
             counts = np.bincount(codes, minlength=len(words) + 1)[1:]
-            yield pd.DataFrame({"lang": lang, "phrase": [w.decode() for w in words], "f": counts})
+            yield pd.DataFrame({"lang": [lang] * len(words), "phrase": [w.decode() for w in words], "f": counts})
 
 
 # -- windows that may be frequent ----------------------------------------------------
