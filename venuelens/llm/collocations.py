@@ -45,7 +45,8 @@ FILTER_BITS = 26
 BLOCK_PHRASES = 1 << 18
 
 _BATCH_BYTES = 1 << 20
-_WINDOWS = 1 << 22
+#: Windows that a task holds before it sums them.
+_WINDOWS = 1 << 19
 _SEEN = 1 << 19
 #: Languages whose word totals are broadcast, at most; more are joined by a shuffle.
 _LANGS = 100_000
