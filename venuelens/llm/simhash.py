@@ -23,7 +23,6 @@ a null component_id).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -124,21 +123,18 @@ class _Forest:
         self.root = lead[self.root]
 
 
-def trie_links(
-    values: np.ndarray, starts: np.ndarray, budget: int = BUDGET, accept: Callable | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, starts: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all values of a group within ``budget`` bits, as places in ``values``.
 
     ``values``: unsigned, in groups that begin at ``starts``, sorted in each.
-    ``accept``: a further test of pairs, given two arrays of places.  A node of a group's
-    trie is a range of the sorted values with a common prefix; pairs of nodes that wait are
-    kept in parts of bounded size, the deepest first.
+    A node of a group's trie is a range of the sorted values with a common prefix; pairs of
+    nodes that wait are kept in parts of bounded size, the deepest first.
     """
     n = len(values)
     forest = _Forest(n)
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
     near = np.flatnonzero(group[1:] == group[:-1])
-    _link(values, near, near + 1, forest, budget, accept)
+    _link(values, near, near + 1, forest, budget)
     ends = np.append(starts[1:], n)
     # A pair of nodes: ranges [a0, a1) and [b0, b1), differing bits so far.
     pairs = np.stack([starts, ends, starts, ends, np.zeros_like(starts)])[:, ends - starts > 1]
@@ -147,7 +143,7 @@ def trie_links(
         bit, pairs = waiting.pop()
         pairs = pairs[:, ~_connected(forest.root, pairs)]
         small = ((pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= 64) | (bit < 0)
-        _compare(values, pairs[:, small], forest, budget, accept)
+        _compare(values, pairs[:, small], forest, budget)
         below = _children(values, bit, pairs[:, ~small], budget)
         for at in range(0, below.shape[1], _CHUNK):
             waiting.append((bit - 1, below[:, at : at + _CHUNK]))
@@ -183,16 +179,12 @@ def _connected(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (root[a0] == root[b0])
 
 
-def _link(values: np.ndarray, a: np.ndarray, b: np.ndarray, forest: _Forest, budget: int, accept: Callable | None) -> None:
+def _link(values: np.ndarray, a: np.ndarray, b: np.ndarray, forest: _Forest, budget: int) -> None:
     hit = (np.bitwise_count(values[a] ^ values[b]) <= budget) & (forest.root[a] != forest.root[b])
-    a, b = a[hit], b[hit]
-    if accept is not None and len(a):
-        good = accept(a, b)
-        a, b = a[good], b[good]
-    forest.connect(a, b)
+    forest.connect(a[hit], b[hit])
 
 
-def _compare(values: np.ndarray, pairs: np.ndarray, forest: _Forest, budget: int, accept: Callable | None) -> None:
+def _compare(values: np.ndarray, pairs: np.ndarray, forest: _Forest, budget: int) -> None:
     """Compare the leaves of small pairs of nodes."""
     for at in range(0, pairs.shape[1], _CHUNK // 4):
         a0, a1, b0, b1, _ = pairs[:, at : at + _CHUNK // 4]
@@ -202,7 +194,7 @@ def _compare(values: np.ndarray, pairs: np.ndarray, forest: _Forest, budget: int
         width = (b1 - b0)[which]
         a = a0[which] + place // width
         b = b0[which] + place % width
-        _link(values, a[a < b], b[a < b], forest, budget, accept)
+        _link(values, a[a < b], b[a < b], forest, budget)
 
 
 def dealt_groups(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
@@ -222,7 +214,7 @@ def dealt_groups(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame
     return dealt.repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high")
 
 
-_COMBO_KEYS, _BAND_KEYS = (["combo", "block"], ["band", "key"])
+_COMBO_KEYS = ["combo", "block"]
 
 
 def _group_links(batches):
@@ -281,174 +273,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, chunk_rows: int = CHUNK_ROW
     return _named(prints, classes, fingerprint_links(classes.select("fp"), chunk_rows))
 
 
-def _named(prints: DataFrame, classes: DataFrame, links: DataFrame, key: str = "fp") -> DataFrame:
-    """Each row of ``prints`` (doc_id, ``key``) with the smallest doc_id of its component."""
-    roots = components(links).withColumnRenamed("node", key)
-    placed = classes.join(roots, key, "left").select(key, "doc_id", F.coalesce("root", key).alias("root"))
+def _named(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each row of ``prints`` (doc_id, fp) with the smallest doc_id of its component."""
+    roots = components(links).withColumnRenamed("node", "fp")
+    placed = classes.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_print = placed.join(named, "root").select(key, "component_id")
-    return prints.join(by_print, key).select("doc_id", "fp", "component_id")
+    by_print = placed.join(named, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-# -- near duplicates by similarity -----------------------------------------------
-
-#: Fingerprints of texts this similar differ in far more than three bits, so no block of
-#: bits need be equal.  Groups then are texts that share a band of minimal shingle hashes.
-WIDTH = 5
-MIN_SIMILARITY = 0.8
-WIDE_BUDGET = 20
-_MINIMA, _BANDS, _BAND_WIDTH = 128, 16, 3
-_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, _MINIMA, dtype=np.uint64) | np.uint64(1)
-#: Estimates from 128 minima have a deviation of 0.035 at 0.8; candidates may fall short by more than five of them.
-_SLACK = 0.2
-#: Members of a group of candidates whose whole shingle sets meet in one task, at most about twice this number.
-SET_ROWS = 1 << 12
-
-
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = _words(text)
-    return np.unique(shingle_hashes(words, width, 0, max(1, len(words) - width + 1)))
-
-
-def sketch_of(text: str | None, width: int = WIDTH) -> tuple[int, int, list[int], bytes]:
-    """Of the set of shingles: its digest, fingerprint, band keys, and one byte of each minimum."""
-    hashes = shingle_set(text, width)
-    ones, minima = np.zeros(64, np.int64), np.full(_MINIMA, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), _CHUNK):
-        ones += _ones(hashes[at : at + _CHUNK])
-    for part in np.array_split(hashes, max(1, len(hashes) // 2048)):
-        minima = np.minimum(minima, (part[:, None] * _FACTORS).min(axis=0))
-    used = minima[: _BANDS * _BAND_WIDTH].reshape(_BANDS, _BAND_WIDTH)
-    keys = np.zeros(_BANDS, np.uint64)
-    for column in used.T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(31)
-    return xxhash.xxh64_intdigest(hashes, SEED), _majority(ones, len(hashes)), keys.view(np.int64).tolist(), (minima >> np.uint64(40)).astype(np.uint8).tobytes()
-
-
-def _similar_links(min_similarity: float):
-    def run(batches):
-        for frame in whole_groups(batches, [*_BAND_KEYS, "low", "high"]):
-            keys = frame[[*_BAND_KEYS, "low", "high"]].to_numpy(np.int64)
-            edge = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
-            size = np.diff(np.append(np.flatnonzero(edge), len(keys)))
-            several = np.repeat(size > 1, size)
-            if not several.any():
-                continue
-            frame, edge = frame[several], edge[several]
-            values = frame["fp"].to_numpy(np.int64).view(np.uint64)
-            starts = np.flatnonzero(edge)
-            order = np.lexsort([values, np.cumsum(edge)])
-            values = values[order]
-            ids = frame["set_id"].to_numpy(np.int64)[order]
-            sketches = np.frombuffer(b"".join(frame["sketch"].iloc[order]), np.uint8).reshape(-1, _MINIMA)
-
-            def accept(a, b, sketches=sketches, values=values):
-                good = np.zeros(len(a), bool)
-                for at in range(0, len(a), _CHUNK):
-                    part = slice(at, at + _CHUNK)
-                    equal = (sketches[a[part]] == sketches[b[part]]).mean(axis=1)
-                    good[part] = (equal - 1 / 256) / (1 - 1 / 256) >= min_similarity - _SLACK
-                return good | (values[a] == values[b])
-
-            a, b = trie_links(values, starts, WIDE_BUDGET, accept)
-            yield pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-    return run
-
-
-def exact_links(sets: list[np.ndarray], min_similarity: float) -> Iterator[tuple[int, int]]:
-    """Links that connect all sets of distinct hashes whose Jaccard similarity is ``min_similarity`` or more.
-
-    From each set that is reached all not yet reached are compared, so no pair that could connect is left out.
-    """
-    size = np.array([len(x) for x in sets])
-    which = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-    ends = np.cumsum(size)
-    marked = np.zeros(int(which.max()) + 1, bool)
-    rest, flat = np.arange(len(sets)), which
-    while len(rest) > 1:
-        waiting = [int(rest[0])]
-        rest, flat = rest[1:], flat[size[rest[0]] :]
-        while waiting and len(rest):
-            one = waiting.pop()
-            own = which[ends[one] - size[one] : ends[one]]
-            marked[own] = True
-            starts = np.cumsum(size[rest]) - size[rest]
-            common = np.add.reduceat(marked[flat], starts, dtype=np.int64)
-            marked[own] = False
-            near = common >= min_similarity * (size[rest] + size[one] - common) - 1e-9
-            if near.any():
-                for other in rest[near].tolist():
-                    yield one, other
-                    waiting.append(other)
-                flat = flat[np.repeat(~near, size[rest])]
-                rest = rest[~near]
-
-
-def _exact_group_links(min_similarity: float):
-    def run(batches):
-        keys = ["root", "low", "high"]
-        for frame in whole_groups(batches, keys):
-            for _, group in frame.groupby(keys, sort=False):
-                ids = group["fp"].to_numpy(np.int64)
-                found = list(exact_links([np.frombuffer(x, np.uint64) for x in group["hashes"]], min_similarity))
-                a, b = np.array(found, np.int64).reshape(-1, 2).T
-                yield pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-    return run
-
-
-def similar_documents(
-    docs: DataFrame, width: int = WIDTH, min_similarity: float = MIN_SIMILARITY, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """(doc_id, fp, component_id): groups of texts whose shingle sets are similar, for every row.
-
-    Two texts that have ``min_similarity`` (Jaccard) share one of 16 bands of three minima with
-    probability 0.99999 at 0.8.  In a band's group the trie self-join drops pairs of fingerprints with over
-    ``WIDE_BUDGET`` differing bits, and a share of equal minima up to ``_SLACK`` lower makes candidates.  In
-    each component of candidates the whole shingle sets decide; texts with equal sets are one class.
-    """
-
-    @F.pandas_udf("set_id bigint, fp bigint, bands array<bigint>, sketch binary")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        rows = [sketch_of(x, width) for x in texts]
-        ids, prints = (np.array([r[i] for r in rows], np.uint64).view(np.int64) for i in (0, 1))
-        return pd.DataFrame({"set_id": ids, "fp": prints, "bands": [r[2] for r in rows], "sketch": [r[3] for r in rows]})
-
-    @F.pandas_udf("set_id bigint, hashes binary")
-    def whole_set(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(x, width) for x in texts]
-        ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"set_id": ids, "hashes": [x.tobytes() for x in sets]})
-
-    prints = docs.select(F.col("doc_id"), sketch(F.col("text")).alias("s")).select("doc_id", "s.*")
-    prints = written(prints, "sketches")
-    one = F.min(F.struct("fp", "bands", "sketch")).alias("s")
-    classes = prints.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), one)
-    classes = written(classes.select("set_id", "doc_id", "s.fp", "s.bands", "s.sketch"), "classes")
-    groups = classes.select("set_id", "fp", "sketch", F.posexplode("bands").alias("band", "key"))
-    groups = dealt_groups(groups, _BAND_KEYS, chunk_rows)
-    candidates = groups.mapInPandas(_similar_links(min_similarity), "a bigint, b bigint").distinct()
-    members = components(candidates).join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node")
-    members = written(members, "members")
-    wanted = broadcast_if_small(members.where("doc_id is not null").select("doc_id"), HOT_KEYS)
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(wanted, "doc_id", "left_semi").union(texts.where("doc_id is null"))
-    sets = texts.select(whole_set(F.col("text")).alias("s")).select("s.*")
-    sets = sets.join(members.select(F.col("node").alias("set_id"), "root"), "set_id").dropDuplicates(["set_id"])
-    sets = written(sets.select("root", F.col("set_id").alias("fp"), "hashes"), "shingle-sets")
-    links = dealt_groups(sets, ["root"], min(chunk_rows, SET_ROWS)).mapInPandas(_exact_group_links(min_similarity), "a bigint, b bigint")
-    return _named(prints.select("doc_id", "set_id", "fp"), classes.select("set_id", "doc_id"), links.distinct(), "set_id")
-
-
-def first_of_each_group(docs: DataFrame, width: int = WIDTH, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each group of similar texts, all columns kept.
+def first_of_each_group(docs: DataFrame, width: int = 3, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of each group of near duplicates, all columns kept.
 
     Repeated rows of one doc_id leave one; rows without doc_id can't be told apart and stay.
     """
-    found = similar_documents(docs, width, min_similarity)
+    found = near_duplicates(docs, width, chunk_rows)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.union(docs.where(F.col("doc_id").isNull()))
