@@ -189,6 +189,24 @@ def test_lines_equal_the_oracle(spark):
     assert sorted(map(tuple, got)) == sorted(cursor.fetchall())
 
 
+def test_lines_of_a_long_text_are_cut_in_one_pass(spark):
+    """Time follows the number of lines, whatever the number of drops."""
+    import time
+
+    shared = [f"shared line number {i:06d} that many documents hold" for i in range(16_000)]
+    own = [f"own {i}" for i in range(16_000)]
+    both = [x for pair in zip(shared, own, strict=True) for x in pair]
+    one = [shared[0], *(f"own line {i}" for i in range(32_000))]
+    docs = [(i, "\n".join(shared)) for i in range(10, 15)] + [(1, "\n".join(both)), (2, "\n".join(one))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.dedup_lines(frame).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[1].text == "\n".join(own) and got[1].n_dropped == 16_000
+    assert got[2].text == "\n".join(one[1:]) and got[2].n_lines == 32_001
+    assert got[14].text == "\n".join(shared) and got[10].text == ""
+
+
 def test_lines_on_odd_rows(spark, odd):
     line = "This line is shared by many documents, long enough."
     shared = spark.createDataFrame([(10 + i, f"  {line.upper()}\t\nown {i}", None, None, 1, i, "q") for i in range(5)], DOCS)

@@ -7,7 +7,8 @@ largest doc_id; texts are put together again by position.
 
 Only (document, position, hash) is shuffled to count; texts meet their dropped positions
 in one join by document.  The count is taken in two steps, so a line that a third of all
-documents hold is counted in the tasks that read it.
+documents hold is counted in the tasks that read it, and the join against the shared hashes is one
+that adaptive execution splits.  A text of any number of lines is cut in one pass over them.
 
 Edge cases: a null or empty text is one empty line and stays as it is (null becomes empty);
 rows with the same doc_id count as one document, each keeps its own lines; a row without doc_id
@@ -42,7 +43,7 @@ def _lines(text: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc_id, mark, drop): positions of the lines that a row loses; rows that lose none are absent.
+    """(doc_id, mark, drop): sorted positions of the lines that a row loses; rows that lose none are absent.
 
     ``mark`` is a hash of the text and tells rows with the same doc_id apart.
     """
@@ -64,8 +65,18 @@ def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents:
         .where(F.col("n") + F.col("unnamed") >= min_documents)
         .select("h1", "h2", "keeper")
     )
+    # Written, so that both sides of the join are plain shuffles, whose hot keys adaptive execution splits.
+    shared = written(shared, "shared-lines")
     lost = long_lines.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drop"))
+    return lost.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """``lines`` but for the sorted positions ``drop``, in time linear in both."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(drop, F.lit(1), F.size(drop) - 1))
+    gone = F.zip_with(drop, before, lambda p, q: F.concat(F.array_repeat(F.lit(False), p - q - 1), F.array(F.lit(True))))
+    marked = F.zip_with(lines, F.flatten(gone), lambda x, g: F.struct(x.alias("line"), F.coalesce(g, F.lit(False)).alias("gone")))
+    return F.filter(marked, lambda m: ~m["gone"])["line"]
 
 
 def dedup_lines(
@@ -80,8 +91,7 @@ def dedup_lines(
     lost = lost.select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("drop").alias(drop))
     same = docs["doc_id"].eqNullSafe(lost[key]) & (F.xxhash64(docs["text"]) == lost[mark])
     lines = _lines(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    text = F.array_join(_without(lines, F.col(drop)), "\n")
     full = docs.join(lost, same, "left")
     if counts:
         full = full.withColumn("n_lines", F.size(lines).cast("bigint"))
