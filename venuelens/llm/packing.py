@@ -58,12 +58,13 @@ class _Known(dict):
 class Encoder:
     """Whole texts to their ids, as little-endian unsigned 32-bit numbers; words are encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = _KNOWN):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.known = _Known()
+        self.most = most
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -74,16 +75,16 @@ class Encoder:
         pieces = [_PIECE.findall(x) if x and single_spaced(x) else [x] for x in texts]
         fresh = list(set().union(*pieces).difference(self.known))
         self.known.fresh = dict(zip(fresh, self._encode(fresh), strict=True))
-        if len(self.known) < _KNOWN:
+        if len(self.known) < self.most:
             self.known.update(self.known.fresh)
         return [b"".join(map(self.known.__getitem__, x)) for x in pieces]
 
 
-def _encoder(path: str) -> Encoder:
-    """The worker process's encoder, kept from task to task."""
+def _encoder(path: str, most: int) -> Encoder:
+    """The worker process's encoder, kept from task to task; files of one path are not told apart."""
     kept = sys.modules.setdefault("venuelens_encoders", types.ModuleType("venuelens_encoders")).__dict__
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, most)
     return kept[path]
 
 
@@ -93,12 +94,14 @@ def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, closing_id: int = CLOSING_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, closing_id: int = CLOSING_ID, known_words: int = _KNOWN
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32 bits), doc_tokens,
     sequence_id, offset (always 0: a piece fills its sequence).
 
     ``tokenizer``: path of the tokenizer's file on the executors.  ``max_length`` must be a
-    power of two.  A sequence id has the length's place in its top bits (longer first), then
+    power of two.  ``known_words``: words whose ids a worker keeps, at most (about 200 bytes each).  A sequence id has the length's place in its top bits (longer first), then
     the task, then a number in the task.
     """
     if max_length & (max_length - 1) or max_length < 1:
@@ -107,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, closing_
     levels = max_length.bit_length()
 
     def cut(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, known_words)
         task = TaskContext.get().partitionId()
         used = [0] * levels
         for doc_ids, texts in _parts(batches):
