@@ -41,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the documents that are left."""
-    return packing.pack(docs, tokenizer_path())
+    # Workers serve all stages one after another, so each keeps little.
+    return packing.pack(docs, tokenizer_path(), known_words=1 << 17)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
