@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from venuelens.llm.common import arrow_rows
 from venuelens.session import broadcast_if_small, written
 
 MIN_COUNT = 100
@@ -48,6 +49,8 @@ _BATCH_BYTES = 1 << 20
 #: Windows that a task holds before it sums them.
 _WINDOWS = 1 << 19
 _SEEN = 1 << 19
+#: Rows of an Arrow batch: texts, and batches of words of about a megabyte each.
+_TEXT_ROWS, _BATCH_ROWS = 1000, 4
 #: Languages whose word totals are broadcast, at most; more are joined by a shuffle.
 _LANGS = 100_000
 _BREAK = b"\xff"  # no byte of a UTF-8 text
@@ -98,6 +101,12 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield row(lang)
 
 
+def _read_all(batches: DataFrame, function, schema: str, reduced, name: str) -> DataFrame:
+    """One reading of all batches: ``reduced`` of the rows that ``function`` makes of them, written."""
+    with arrow_rows(batches.sparkSession, _BATCH_ROWS):
+        return written(reduced(batches.mapInPandas(function, schema)), name)
+
+
 def _read(frame: pd.DataFrame) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     for lang, vocabulary, codes in zip(frame["lang"], frame["vocabulary"], frame["codes"], strict=True):
         yield lang, vocabulary.split(), np.frombuffer(codes, np.int32)
@@ -237,19 +246,23 @@ def candidate_phrases(batches: DataFrame, frequent_words: DataFrame, min_count:
     passing = frequent_words.select(hashed("lang", "phrase").alias("h"))
     levels, bitmaps = [], [_bitmap(passing)]
     for length in range(2, longest + 1):
-        sums = batches.mapInPandas(_window_sums(length, bitmaps[-1]), "h bigint, f bigint")
-        passing = written(sums.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h"), "windows")
+        passing = _read_all(
+            batches, _window_sums(length, bitmaps[-1]), "h bigint, f bigint",
+            lambda x: x.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h"), "windows",
+        )
         if passing.isEmpty():
             break
         levels.append(passing)
         bitmaps.append(_bitmap(passing))
     if not levels:
         return frequent_words.select("lang", "phrase").limit(0)
-    found = batches.mapInPandas(_passing_phrases(bitmaps[1:]), "lang string, phrase string, h bigint").distinct()
     hashes = levels[0]
     for more in levels[1:]:
         hashes = hashes.union(more)
-    kept = written(found.join(hashes.distinct(), "h").select("lang", "phrase"), "candidates")
+    kept = _read_all(
+        batches, _passing_phrases(bitmaps[1:]), "lang string, phrase string, h bigint",
+        lambda x: x.distinct().join(hashes.distinct(), "h").select("lang", "phrase"), "candidates",
+    )
     for bitmap in bitmaps:
         bitmap.destroy()
     return kept
@@ -393,9 +406,11 @@ def exact_counts(batches: DataFrame, candidates: DataFrame, longest: int, block_
         if not parts:
             continue
         trie = spark.sparkContext.broadcast({x: bytes(data) for x, data in parts.items()})
-        sums = batches.mapInPandas(_trie_counts(trie, longest), "place bigint, f bigint").groupBy("place").agg(F.sum("f").alias("f"))
-        named = own.where("kind = 'phrase'").join(sums, "place").select("lang", "phrase", "f")
-        part = written(named, "phrase-counts")
+        sums = _read_all(
+            batches, _trie_counts(trie, longest), "place bigint, f bigint",
+            lambda x: x.groupBy("place").agg(F.sum("f").alias("f")), "state-counts",
+        )
+        part = own.where("kind = 'phrase'").join(sums, "place").select("lang", "phrase", "f")
         trie.destroy()
         counted = part if counted is None else counted.union(part)
     return counted if counted is not None else candidates.withColumn("f", F.lit(0).cast("bigint"))
@@ -440,12 +455,14 @@ def collocations(
     in every occurrence is left out.  Ties: larger ``a``, then the phrase in byte order.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    batches = rows.mapInPandas(_batches, "lang string, vocabulary binary, codes binary, n_words bigint")
-    batches = written(batches, "word-batches")
+    with arrow_rows(docs.sparkSession, _TEXT_ROWS):
+        batches = rows.mapInPandas(_batches, "lang string, vocabulary binary, codes binary, n_words bigint")
+        batches = written(batches, "word-batches")
     totals = batches.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    words = batches.mapInPandas(_word_counts, "lang string, phrase string, f bigint")
-    words = words.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-    words = written(words, "frequent-words")
+    words = _read_all(
+        batches, _word_counts, "lang string, phrase string, f bigint",
+        lambda x: x.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), "frequent-words",
+    )
     candidates = candidate_phrases(batches, words, min_count, longest)
     phrases = exact_counts(batches, candidates, longest, block_phrases).where(F.col("f") >= min_count)
     left = phrases.join(_covered(phrases), ["lang", "phrase"], "left").where(F.coalesce("longer", F.lit(0)) < F.col("f"))

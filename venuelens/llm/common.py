@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,21 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside.
+
+    Executors hold batches outside their heap, so rows of about a megabyte need small ones.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc_rest(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as empty text."""
     text = F.coalesce(key.cast("string"), F.lit(""))
