@@ -1,13 +1,15 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
 import venuelens as vl
 from venuelens import vocab
-from venuelens.operators.recommend import MAX_BLOCKS, block_bound
+from venuelens.operators import recommend as R
+from venuelens.operators.search_tree import build_tree, search_tree
 
 VENUE = (
     "cafe_id bigint, budget string, atmosphere string, purpose_tags string, noise_level string, "
@@ -93,7 +95,7 @@ def same(got_df, want):
 
 
 @pytest.mark.parametrize("copies", [0, 150])
-@pytest.mark.parametrize("widths", [(5.0,), (10.0,), (5.0, 2.0)])
+@pytest.mark.parametrize("widths", [None, (10.0,), (5.0, 2.0)])
 def test_against_every_pair(spark, copies, widths):
     rng = random.Random(11)
     venues, prefs = make_venues(rng, 450, copies), make_prefs(rng, 40)
@@ -186,10 +188,55 @@ def test_plan_meets_no_venue_without_a_key(spark):
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "EvalPython" not in plan
 
 
-def test_block_table_has_a_fixed_bound(spark):
-    assert block_bound(5.0) <= MAX_BLOCKS < block_bound(1.0)
+def test_number_of_blocks_is_bounded(spark, monkeypatch):
+    """The coarsest width fits whatever the data; finer ones are counted."""
+    assert R.block_bound(R.WIDTHS[-1]) <= R.MAX_BLOCKS < R.block_bound(R.WIDTHS[0])
+    rng = random.Random(20)
+    venues, prefs = make_venues(rng, 400), make_prefs(rng, 12)
+    v, p = spark.createDataFrame(venues, VENUE), spark.createDataFrame(prefs, PREF)
+    vectors = R.distinct_venue_vectors(v, 5)
+    assert R._first_width(vectors, None) == (0.5,)
+    monkeypatch.setattr(R, "MAX_BLOCKS", 330)
+    assert R._first_width(vectors, None)[0] > 0.5
     with pytest.raises(ValueError):
-        vl.recommend(spark.createDataFrame([], VENUE), spark.createDataFrame([], PREF), widths=(1.0,))
+        vl.recommend(v, p, widths=(0.5,))
+    monkeypatch.setattr(R, "CROWDED", 0)
+    assert len(R._first_width(vectors, None)) == 2
+    same(vl.recommend(v, p), brute(venues, prefs, 5))
+
+
+def test_tree_holds_the_best_and_opens_few_nodes():
+    """Against the largest bound of every block; users open a small share of the bounds."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(200, 10))
+    low = centres[rng.integers(0, 200, 30_000)] + rng.normal(scale=0.1, size=(30_000, 10))
+    high = low + rng.uniform(0, 0.02, low.shape)
+    count, marks = rng.integers(1, 4, len(low)), rng.integers(0, 16, len(low))
+    users = rng.normal(size=(60, 10))
+    asked = np.where(np.arange(60) % 3 == 0, 5, 0)
+    tree = build_tree(low, high, count, marks)
+    who, block, limit, looked = search_tree(tree, users, asked, 5)
+    assert looked < 0.05 * len(users) * len(low)
+    for u in range(60):
+        fits = (marks & asked[u]) == asked[u]
+        lower = np.where(users[u] >= 0, users[u] * low, users[u] * high).sum(axis=1)
+        upper = np.where(users[u] >= 0, users[u] * high, users[u] * low).sum(axis=1)
+        order = [i for i in np.argsort(-lower) if fits[i]]
+        kth = lower[order[int(np.searchsorted(np.cumsum(count[order]), 5))]]
+        mine = set(block[who == u].tolist())
+        assert limit[u] <= kth + 1e-12 and mine >= set(np.flatnonzero(fits & (upper >= kth)).tolist())
+        assert all(fits[i] for i in mine)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_tree_of_few_blocks(n):
+    low = np.arange(2.0 * n).reshape(n, 2)
+    tree = build_tree(low, low + 1, np.ones(n, int), np.zeros(n, int))
+    who, block, limit, _ = search_tree(tree, np.array([[1.0, -0.5], [0.0, 0.0]]), np.array([0, 0]), n + 1)
+    assert sorted(zip(who.tolist(), block.tolist(), strict=True)) == [(u, b) for u in (0, 1) for b in range(n)]
+    assert (limit == -np.inf).all()
+    who, *_ = search_tree(tree, np.ones((1, 2)), np.array([4]), 1)
+    assert not len(who)
 
 
 @pytest.mark.parametrize("grouped", [True, False])

@@ -7,12 +7,14 @@ exact reductions keep it away from that:
    copies only the ``k`` smallest ids can ever be chosen.  Users with equal preferences
    get equal matches, so each distinct set of preferences is ranked once.
 2. Venues are grouped into blocks: budget label, known atmosphere, set of known purposes,
-   and coarse score bins.  The number of blocks has a fixed bound that does not depend on
-   the data.  The range of each component of the normalised vectors in a block bounds its
-   similarity to any user from both sides.
-3. A block with ``k`` venues proves a lower limit for the user's k-th best similarity.
-   Only blocks whose upper bound reaches the best such limit are joined with their venues,
-   by an equi-join on the block.
+   facets and score bins, the bins as fine as at most ``MAX_BLOCKS`` blocks allow.  The range of
+   each component of the normalised vectors in a block bounds its similarity to any user from both sides.
+3. The blocks are the leaves of a tree of such bounds (``search_tree``), which is broadcast.  A
+   user opens only the nodes that may still hold one of the best ``k``; the blocks that are left
+   are joined with their venues, by an equi-join on the block.  Where blocks hold many vectors, a
+   finer level of blocks narrows them once more, joined by shuffle.
+
+Users who ask for a label of the caller's own meet only the blocks with that label, by a join.
 
 Nothing is dropped that could be chosen, whatever the data: where the bounds are loose,
 more pairs are scored.
@@ -22,8 +24,10 @@ from __future__ import annotations
 
 from functools import reduce
 from math import ceil
-from operator import add, mul
+from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +37,17 @@ from venuelens.functions.scores import distance_to_similarity, percent, unit_sco
 from venuelens.operators.features import complete_prefs
 from venuelens.operators.filters import budget_filter as keep_label
 from venuelens.operators.filters import facet_condition
-from venuelens.session import task_count
+from venuelens.operators.search_tree import MARGIN, build_tree, search_tree
+from venuelens.session import broadcast_if_small, task_count, written
 
 MAX_SCORE = 10.0
-#: Rounding may move a bound by about 1e-15; the margin keeps the pruning safe.
-MARGIN = 1e-9
-#: Largest table of block summaries that is broadcast.
-MAX_BLOCKS = 200_000
+#: Blocks of the first level, at most; their summaries are collected for the tree (some 200 bytes each).
+MAX_BLOCKS = 32_768
+#: Widths of the score bins that are tried for the first level, finest first; with the last one there
+#: are at most ``block_bound(10.0)`` blocks, whatever the data.
+WIDTHS = (0.5, 1.0, 2.0, 5.0, 10.0)
+#: Vectors in a block, on average, from which a finer level is added.
+CROWDED = 64
 
 _SCORES = [f"s{i}" for i in range(len(vocab.SCORE_COLS))]
 _WEIGHTS = [f"p{i}" for i in range(len(vocab.PRIORITIES))]
@@ -71,13 +79,14 @@ def block_bound(width: float) -> int:
     """The largest possible number of blocks at that bin width."""
     labels = len(vocab.BUDGET_LABELS) + 1
     atmospheres = len(vocab.ATMOSPHERES) + 1
-    return labels * atmospheres * 2 ** len(vocab.PURPOSES) * _bins(width) ** len(vocab.SCORE_COLS)
+    facets = 2 ** len(FACETS)
+    return labels * atmospheres * 2 ** len(vocab.PURPOSES) * facets * _bins(width) ** len(vocab.SCORE_COLS)
 
 
 def _block_id(width: float) -> Column:
-    """Label, atmosphere, purposes and score bins packed into one number, injectively."""
+    """Facets, label, atmosphere, purposes and score bins packed into one number, injectively."""
     bins = _bins(width)
-    out = F.col("label").cast("bigint")
+    out = F.col("bits").cast("bigint") * F.lit(len(vocab.BUDGET_LABELS) + 1) + F.col("label")
     out = out * F.lit(len(vocab.ATMOSPHERES) + 1) + F.col("v_atmosphere")
     out = out * F.lit(2 ** len(vocab.PURPOSES)) + F.col("v_purposes")
     for s in _SCORES:
@@ -86,12 +95,6 @@ def _block_id(width: float) -> Column:
     return out
 
 
-def path_bound(widths: tuple[float, ...]) -> int:
-    """The largest possible number of paths through the block levels, for one label in three bits of facets."""
-    first = block_bound(widths[0])
-    return reduce(mul, [_bins(w) ** len(vocab.SCORE_COLS) for w in widths[1:]], first)
-
-
 def distinct_venue_vectors(venues: DataFrame, k: int, own_labels: bool = False, facets: bool = False) -> DataFrame:
     """One row per distinct feature vector, with the ``k`` smallest ids that carry it.
 
@@ -145,11 +148,76 @@ def _block_summaries(vectors: DataFrame, blocks: list[str]) -> DataFrame:
     ranges = []
     for name, part in _components().items():
         ranges += [F.min(part).alias(f"lo_{name}"), F.max(part).alias(f"hi_{name}")]
-    return vectors.groupBy(*blocks, "label", "v_atmosphere", "v_purposes").agg(
+    return vectors.groupBy(*blocks, "bits", "label", "v_atmosphere", "v_purposes").agg(
         F.sum(F.size("cafe_ids")).alias("n_venues"), *ranges
     )
 
 
+def _first_width(vectors: DataFrame, widths: tuple[float, ...] | None) -> tuple[float, ...]:
+    """The widths asked for, or the finest first one that fits and a finer one for crowded blocks."""
+    tried = widths[:1] if widths else WIDTHS
+    counts = [F.approx_count_distinct(_block_id(w), 0.01).alias(f"w{i}") for i, w in enumerate(tried)]
+    found = vectors.agg(F.count("*").alias("n"), *counts).first()
+    # A tenth is left for the error of the count; the summaries are counted again before they are collected.
+    fits = [(w, found[f"w{i}"]) for i, w in enumerate(tried) if min(block_bound(w), 1.1 * found[f"w{i}"]) <= MAX_BLOCKS]
+    if not fits:
+        raise ValueError(f"first bin width {tried[-1]} gives more than {MAX_BLOCKS} blocks")
+    if widths:
+        return widths
+    width, blocks = fits[0]
+    return (width, width / 4) if found["n"] > CROWDED * blocks else (width,)
+
+
+def _layout_rows(hit: np.ndarray, atmosphere: np.ndarray, purposes: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
+    """Rows in the feature layout: ``hit`` at the places of the atmosphere and the purposes, then the rest."""
+    places = [atmosphere == i + 1 for i in range(len(vocab.ATMOSPHERES))]
+    places += [(purposes >> i) & 1 == 1 for i in range(len(vocab.PURPOSES))]
+    return np.stack([np.where(p, hit, 0.0) for p in places] + rest, axis=1)
+
+
+def _mark(bits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Facets and, above them, one bit for a label; no label bit where it is negative."""
+    return bits | np.where(label >= 0, 1 << (len(FACETS) + np.maximum(label, 0)), 0)
+
+
+def block_tree(vectors: DataFrame, block: str) -> dict | None:
+    """The search tree over the blocks of ``vectors``; ``ids`` are the blocks.  None without vectors."""
+    rows = _block_summaries(vectors, [block]).limit(MAX_BLOCKS + 1).toPandas()
+    if len(rows) > MAX_BLOCKS:
+        raise ValueError(f"more than {MAX_BLOCKS} blocks")
+    if not len(rows):
+        return None
+    sides = []
+    for side in ("lo", "hi"):
+        rest = [rows[f"{side}_{c}"].to_numpy(float) for c in [*_SCORES, "v_budget"]]
+        places = (rows[c].to_numpy(np.int64) for c in ("v_atmosphere", "v_purposes"))
+        sides.append(_layout_rows(rows[f"{side}_hit"].to_numpy(float), *places, rest))
+    marks = _mark(rows["bits"].to_numpy(np.int64), rows["label"].to_numpy(np.int64))
+    tree = build_tree(*sides, rows["n_venues"].to_numpy(np.int64), marks)
+    return tree | {"ids": rows[block].to_numpy(np.int64)}
+
+
+def user_rows(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The users' vectors, and the marks that they ask of a block."""
+    rest = [frame[c].to_numpy(float) for c in [*_WEIGHTS, "u_budget"]]
+    places = (frame[c].to_numpy(np.int64) for c in ("u_atmosphere", "u_purpose"))
+    vectors = _layout_rows(np.ones(len(frame)), *places, rest)
+    return vectors, _mark(frame["need"].to_numpy(np.int64), frame["asked_label"].to_numpy(np.int64))
+
+
+def _opened(tree, block: str, k: int):
+    """Each user once for every block that may hold one of the best ``k``, with the proven limit."""
+
+    def run(frames):
+        for frame in frames:
+            users, blocks, limits, _ = search_tree(tree.value, *user_rows(frame), k)
+            found = frame.iloc[users].reset_index(drop=True)
+            limit = np.where(np.isfinite(limits), limits, np.nan)[users]
+            yield found.assign(limit=limit, **{block: tree.value["ids"][blocks]})[[*_USER, "limit", block]]
+
+    return run
+
+
 def _matches() -> Column:
     """How many ones the user's and the venue's indicator parts share (0, 1 or 2)."""
     same = F.when(
@@ -210,7 +278,8 @@ def _users(prefs: DataFrame, match_budget: bool, match_facets: bool) -> DataFram
         + [F.col("u_budget") * F.col("u_budget")]
     )
     shaped = coded.withColumn("u_norm", F.sqrt(squared))
-    return shaped.select("user_id", F.md5(F.to_json(F.struct(*_SHAPE))).alias("u_key"), *_SHAPE)
+    key = F.concat_ws("-", F.xxhash64(*_SHAPE), F.xxhash64(F.lit(1), *_SHAPE))  # 128 bits
+    return shaped.select("user_id", key.alias("u_key"), *_SHAPE)
 
 
 def _narrow(candidates: DataFrame, blocks: DataFrame, on: str | list[str], k: int) -> DataFrame:
@@ -247,7 +316,7 @@ def recommend(
     budget_label: str | None = None,
     method: str = "cosine",
     match_budget: bool = False,
-    widths: tuple[float, ...] = (5.0,),
+    widths: tuple[float, ...] | None = None,
     match_facets: bool = False,
 ) -> DataFrame:
     """``(user_id, rank, cafe_id, similarity, match_score)``, at most ``k`` rows per user.
@@ -255,77 +324,81 @@ def recommend(
     ``budget_label`` keeps only venues with that label for everybody (``None`` or
     ``'Any'``: all); ``match_budget`` keeps for each user the venues with the user's own
     label, compared as text; null, ``''`` and ``'Any'`` ask for any.  ``match_facets`` keeps the
-    venues that fit the user's own check boxes, the columns ``FACETS`` of ``prefs`` where there.  ``method='knn'`` ranks by cosine distance and adds ``distance``.  Chosen by
-    the unrounded similarity, ranked by the rounded ``match_score``; ties go to the
-    smaller ``cafe_id``.  Venues with a null score are not ranked.
-
-    ``widths`` are the score-bin widths of the block levels, coarse to fine; a level is joined
-    on the block above.  Levels of at most ``MAX_BLOCKS`` summaries are broadcast, and others
-    are joined by shuffle; the first one's size is checked.
+    venues that fit the user's own check boxes, the columns ``FACETS`` of ``prefs`` where there.
+    ``method='knn'`` ranks by cosine distance and adds ``distance``.  Chosen by the unrounded
+    similarity, ranked by the rounded ``match_score``; ties go to the smaller ``cafe_id``.  Venues
+    with a null score are not ranked.
+
+    ``widths`` are the score-bin widths of the block levels, coarse to fine, by default as the
+    number of vectors asks for.  The first level is searched as a tree, of at most ``MAX_BLOCKS``
+    blocks; a further level is joined on the block above, by shuffle.
     """
     if method not in ("cosine", "knn"):
         raise ValueError(f"unknown method: {method}")
-    if block_bound(widths[0]) > MAX_BLOCKS:
-        raise ValueError(f"first bin width {widths[0]} allows more than {MAX_BLOCKS} blocks")
 
     venues = keep_label(with_budget_label(venues), budget_label)
-    vectors = distinct_venue_vectors(venues, k, match_budget, match_facets)
+    vectors = written(distinct_venue_vectors(venues, k, match_budget, match_facets), "venue-vectors")
+    widths = _first_width(vectors, widths)
     blocks = [f"block{i}" for i in range(len(widths))]
     vectors = vectors.withColumns({b: _block_id(w) for b, w in zip(blocks, widths)})
-    levels = ["own", "bits", *blocks]
-    labels = _own_labels(venues) if match_budget else 1
-
-    def sized(summaries: DataFrame, depth: int, copies: int = 1) -> DataFrame:
-        """Broadcast only below a proven number of rows."""
-        most = path_bound(widths[:depth]) * labels * copies * (8 if match_facets else 1)
-        return F.broadcast(summaries) if most <= MAX_BLOCKS else summaries
-
-    # A block is seen by users of its label and by those without one, and by users who
-    # need no more facets than it has.
-    needs = F.filter(F.sequence(F.lit(0), F.col("bits")), lambda s: s.bitwiseAND(F.col("bits")) == s)
-    first_level = (
-        _block_summaries(vectors, levels[:3])
-        .withColumn("scope", F.explode(F.array_distinct(F.array(F.lit(_ANY_SCOPE), F.col("own")))))
-        .withColumn("need", F.explode(needs))
-    )
     users = _users(prefs, match_budget, match_facets)
-    candidates = (
-        users.drop("user_id")
-        .dropDuplicates(["u_key"])
-        .repartition(task_count(prefs.sparkSession), "u_key")
-        .withColumn("limit", F.lit(None).cast("double"))
-    )
-    # Each set of preferences looks up the block summaries of every atmosphere: at most
-    # block_bound(widths[0]) of them per scope, whatever the number of venues.
-    atmospheres = F.sequence(F.lit(0), F.lit(len(vocab.ATMOSPHERES)))
-    candidates = _narrow(
-        candidates.withColumn("v_atmosphere", F.explode(atmospheres)),
-        sized(first_level, 1, 16 if match_facets else 2),
-        ["scope", "need", "v_atmosphere"],
-        k,
-    ).select(*_USER, "limit", *levels[:3])
+    distinct = users.drop("user_id").dropDuplicates(["u_key"])
+    distinct = distinct.repartition(task_count(prefs.sparkSession), "u_key")
+    label = _index(F.col("scope"), vocab.BUDGET_LABELS, -1)
+    distinct = distinct.withColumn("asked_label", label)
+
+    known = distinct.where((F.col("scope") == _ANY_SCOPE) | (F.col("asked_label") >= 0))
+    scored = _scored_by_tree(known, vectors, blocks, k)
+    own = vectors.where((F.col("label") == 0) & (F.col("own") != _ANY_SCOPE))
+    if match_budget and not own.isEmpty():
+        asking = distinct.where((F.col("scope") != _ANY_SCOPE) & (F.col("asked_label") < 0))
+        scored = scored.union(_scored_by_label(asking, own, blocks[0], k))
+    return _ranked(users, scored, k, method)
+
+
+def _similarity() -> Column:
+    return (_dot() / (F.col("v_norm") * F.col("u_norm"))).alias("similarity")
+
+
+def _scored_by_tree(users: DataFrame, vectors: DataFrame, blocks: list[str], k: int) -> DataFrame:
+    """(u_key, cafe_ids, similarity) of users who ask for a known label or any."""
+    spark = users.sparkSession
+    tree = block_tree(vectors, blocks[0])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in users.schema if f.name in _USER)
+    schema = f"{fields}, `limit` double, `{blocks[0]}` bigint"
+    if tree is None:
+        candidates = spark.createDataFrame([], schema)
+    else:
+        candidates = users.mapInPandas(_opened(spark.sparkContext.broadcast(tree), blocks[0], k), schema)
     for depth in range(2, len(blocks) + 1):
         # blocks of one level need not nest in those above: a finer block is its whole path
-        path = levels[: depth + 2]
-        finer = sized(_block_summaries(vectors, path), depth)
-        candidates = _narrow(candidates, finer, path[:-1], k).select(*_USER, "limit", *path)
+        path = blocks[:depth]
+        candidates = _narrow(candidates, _block_summaries(vectors, path), path[:-1], k).select(*_USER, "limit", *path)
+    return candidates.select(*_USER, *blocks).join(vectors, blocks).select("u_key", "cafe_ids", _similarity())
 
-    best_vectors = Window.partitionBy("u_key").orderBy(
-        F.col("order_value"), F.element_at("cafe_ids", 1)
-    )
-    similarity = _dot() / (F.col("v_norm") * F.col("u_norm"))
+
+def _scored_by_label(users: DataFrame, vectors: DataFrame, block: str, k: int) -> DataFrame:
+    """The same for users who ask for a label of the caller's own; they meet the blocks with that label."""
+    # A block is seen by users who need no more facets than it has.
+    needs = F.filter(F.sequence(F.lit(0), F.col("bits")), lambda s: s.bitwiseAND(F.col("bits")) == s)
+    summaries = _block_summaries(vectors, ["own", block]).withColumn("need", F.explode(needs))
+    summaries = broadcast_if_small(written(summaries.withColumnRenamed("own", "scope"), "label-blocks"), MAX_BLOCKS)
+    limited = users.withColumn("limit", F.lit(None).cast("double"))
+    candidates = _narrow(limited, summaries, ["scope", "need"], k).select(*_USER, block)
+    met = candidates.join(vectors.withColumnRenamed("own", "scope"), ["scope", block])
+    return met.select("u_key", "cafe_ids", _similarity())
+
+
+def _ranked(users: DataFrame, scored: DataFrame, k: int, method: str) -> DataFrame:
+    """The best ``k`` of each distinct set of preferences, then of each user."""
     order_value = -F.col("similarity") if method == "cosine" else F.lit(1.0) - F.col("similarity")
-    scored = (
-        candidates.select(*[c for c in _USER if c not in ("scope", "need")], *levels)
-        .join(vectors, levels)
-        .select("u_key", "cafe_ids", similarity.alias("similarity"))
-        .withColumn("order_value", order_value)
-        .withColumn("place", F.row_number().over(best_vectors))
-        .filter(F.col("place") <= k)
-    )
+    best_vectors = Window.partitionBy("u_key").orderBy(F.col("order_value"), F.element_at("cafe_ids", 1))
     chosen = Window.partitionBy("u_key").orderBy("order_value", "cafe_id")
     picked = (
-        scored.select("u_key", "order_value", "similarity", F.explode("cafe_ids").alias("cafe_id"))
+        scored.withColumn("order_value", order_value)
+        .withColumn("place", F.row_number().over(best_vectors))
+        .filter(F.col("place") <= k)
+        .select("u_key", "order_value", "similarity", F.explode("cafe_ids").alias("cafe_id"))
         .withColumn("place", F.row_number().over(chosen))
         .filter(F.col("place") <= k)
     )
@@ -348,12 +421,6 @@ def recommend(
     return users.select("user_id", "u_key").join(ranked, "u_key").drop("u_key")
 
 
-def _own_labels(venues: DataFrame) -> int:
-    """Labels beyond the known ones, and one; counted up to ``MAX_BLOCKS`` for the size of broadcasts."""
-    other = venues.select("budget_label").where(~F.col("budget_label").isin(vocab.BUDGET_LABELS)).distinct()
-    return 1 + other.limit(MAX_BLOCKS).count()
-
-
 def attach_venues(matches: DataFrame, venues: DataFrame) -> DataFrame:
     """The matched venues' own columns next to each match."""
     return matches.join(venues, "cafe_id")
