@@ -440,8 +440,20 @@ select review_id, sent_pos, cafe_id, compound from compounds""",
 select review_id, cafe_id, compound from compounds""",
     "aspect_mentions": f"""with {REVIEWS}, {SENTENCES}, {MENTIONS}
 select cafe_id, review_id, sent_pos, aspect from mentions""",
-    "aspect_mentions_table": f"""with {REVIEWS}, {SENTENCES}, {MENTIONS}
-select cafe_id, review_id, sent_pos, aspect from mentions""",
+    "aspect_mentions_table": f"""with {REVIEWS}, {SENTENCES}, {MENTIONS},
+keyword_table as (
+  select distinct substr(word, 1, 1) as aspect, word as keyword
+  from (select unnest(regexp_extract_all(lower(review_text), '[a-zA-Z'']+')) as word from reviews)
+  where length(word) between 6 and 12),
+pieces as (
+  select cafe_id, review_id, sent_pos, substr(s, from_char + 1, 211) as piece
+  from (select *, unnest(range(0, length(s), 200)) as from_char from (select *, lower(sentence) as s from sentences))),
+runs as (
+  select distinct cafe_id, review_id, sent_pos, substr(piece, i, n) as run
+  from (select *, unnest(range(1, length(piece) - n + 2)) as i from pieces, range(6, 13) r(n) where length(piece) >= n))
+select cafe_id, review_id, sent_pos, aspect from mentions
+union
+select cafe_id, review_id, sent_pos, aspect from runs join keyword_table on run = keyword""",
     "aspect_by_review": f"""with {REVIEWS}, {SENTENCES}, {ASPECTS}
 select cafe_id, review_id, aspect, n_sentences, {scaled_round('compound', 10)} as compound from per_review""",
     "aspect_by_venue": f"""with {REVIEWS}, {SENTENCES}, {ASPECTS}

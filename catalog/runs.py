@@ -213,8 +213,13 @@ def aspect_mentions(spark, d):
 
 
 def aspect_mentions_table(spark, d):
+    """The named keywords, and every word of 6 to 12 letters that some review holds, by its first letter."""
     rows = [(aspect, word) for aspect, words in S.ASPECTS.items() for word in words]
-    return vl.aspect_mentions_from_table(S.reviews(spark, d), spark.createDataFrame(rows, "aspect string, keyword string"))
+    reviews = S.reviews(spark, d)
+    words = reviews.select(F.explode(word_array(F.col("review_text"))).alias("keyword")).where(F.length("keyword").between(6, 12))
+    keywords = words.distinct().select(F.substring("keyword", 1, 1).alias("aspect"), "keyword")
+    named = spark.createDataFrame(rows, "aspect string, keyword string")
+    return vl.aspect_mentions_from_table(reviews, named.union(keywords))
 
 
 def _aspects(spark, d):

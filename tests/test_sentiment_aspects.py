@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -135,6 +137,50 @@ def test_keyword_table_equals_literal_keywords(spark, reviews_of):
     assert by_table.count() == vl.aspect_mentions(reviews).count()
 
 
+def test_many_overlapping_keywords_equal_plain_search(spark, reviews_of, monkeypatch):
+    """Nested and overlapping keywords of all lengths, in one automaton and in several."""
+    from venuelens.operators import aspects
+
+    rng = random.Random(22)
+    texts = ["".join(rng.choice("abAB é. ") for _ in range(200)) for _ in range(30)] + ["", "aé" * 5000]
+    words = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    table = [(f"A{i % 40}", w) for i, w in enumerate(words)] + [("A1", None), ("A2", ""), (None, "a"), ("A3", "a"), ("A4", "a")]
+    keywords = spark.createDataFrame(table, "aspect string, keyword string")
+    reviews = reviews_of(*((i, t) for i, t in enumerate(texts))).withColumn("lowered", F.lit("clash")).withColumn("aspect", F.lit(1))
+    sentences = vl.sentences(reviews).collect()
+    want = {(r.review_id, r.sent_pos, a) for r in sentences for a, w in table if a and w and w in r.sentence.lower()}
+    for rows in (aspects.AUTOMATON_ROWS, 20):
+        got = aspect_mentions_from_table(reviews, keywords, rows)
+        assert found(got) == want and got.count() == len(want)
+    none = aspect_mentions_from_table(reviews, keywords.limit(0))
+    assert none.count() == 0 and none.columns == got.columns
+
+
+def test_large_keys_and_null_venues_survive(spark):
+    rows = [(2**60 + 1, None, 1.0, "good coffee here"), (2**60 + 3, 2**61 + 5, 1.0, "cake")]
+    reviews = spark.createDataFrame(rows, "review_id bigint, cafe_id bigint, rating double, review_text string")
+    keywords = spark.createDataFrame([("drink", "COFFEE"), ("food", "ake")], "aspect string, keyword string")
+    got = {(r.cafe_id, r.review_id, r.aspect) for r in aspect_mentions_from_table(reviews, keywords).collect()}
+    assert got == {(None, 2**60 + 1, "drink"), (2**61 + 5, 2**60 + 3, "food")}
+
+
+def test_time_follows_the_text_not_the_keywords(spark, reviews_of):
+    """50,000 keywords cost hardly more than 50: each sentence is read once."""
+    rng = random.Random(23)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(20_000))
+    reviews = reviews_of(*((i, text) for i in range(4))).cache()
+    seconds = {}
+    for n in (50, 50_000):
+        rows = [(f"a{i % 9}", "".join(rng.choice("abcdefgh") for _ in range(5 + i % 9))) for i in range(n)]
+        table = spark.createDataFrame(rows, "aspect string, keyword string")
+        aspect_mentions_from_table(reviews, table).count()
+        began = time.perf_counter()
+        aspect_mentions_from_table(reviews, table).count()
+        seconds[n] = time.perf_counter() - began
+    reviews.unpersist()
+    assert seconds[50_000] < 20 * seconds[50] + 10
+
+
 def test_two_level_mean(spark, reviews_of):
     def scorer(df):
         value = F.regexp_extract("sentence", r"(\d\.\d)", 1).cast("double")

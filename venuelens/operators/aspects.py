@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 from operator import add, or_
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +15,13 @@ from venuelens import vocab
 from venuelens.functions.scores import score_to_ten
 from venuelens.operators.sentiment import score_sentences
 from venuelens.operators.terms import sentences
-from venuelens.session import broadcast_if_small
 
+# Functions for tasks travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BITS = 62
-#: A keyword table up to this size is broadcast (some 50 MB); a larger one is joined by shuffle.
-MAX_BROADCAST_KEYWORDS = 500_000
+#: Rows of a keyword table in one automaton, about (some 50 MB in a worker); a larger table gets several.
+AUTOMATON_ROWS = 100_000
 
 
 def mentions_any(lowered: Column, keywords: list[str]) -> Column:
@@ -76,26 +80,60 @@ def aspect_mentions(
     )
 
 
-def aspect_mentions_from_table(reviews: DataFrame, keywords: DataFrame) -> DataFrame:
+def _automaton_mentions(words, place: list[str]):
+    """Every sentence in one pass through the automaton of ``words``, each aspect once per sentence."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for keyword, aspects in words.value:
+            automaton.add_word(keyword, aspects)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, names = [], []
+            for i, text in enumerate(batch.column("lowered").to_pylist()):
+                touched = set()
+                for _, aspects in automaton.iter(text):
+                    touched.update(aspects)
+                rows += [i] * len(touched)
+                names += touched
+            if rows:
+                kept = [batch.column(c).take(pa.array(rows)) for c in place]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string())], names=[*place, "aspect"])
+
+    return run
+
+
+def aspect_mentions_from_table(
+    reviews: DataFrame, keywords: DataFrame, automaton_rows: int | None = None
+) -> DataFrame:
     """The same for a keyword table ``(aspect, keyword)`` that is too large for literals.
 
-    Every keyword is met as a run of characters, so each sentence is cut into the
-    character runs of the keyword lengths in use and joined on the run: an equi-join,
-    whatever the number of keywords.  Up to ``MAX_BROADCAST_KEYWORDS`` keywords are
-    broadcast, so runs that are no keyword go before anything is shuffled; a larger table
-    is met by a shuffle of the distinct runs of each sentence.  The lengths in use are
-    read once; there are no more of them than the longest keyword has characters.
+    The keywords are the patterns of an Aho-Corasick automaton, which finds all of them as substrings in
+    one pass over a sentence, whatever their number, lengths and overlaps.  The table is dealt by
+    hash into automata of about ``automaton_rows`` (``AUTOMATON_ROWS``) rows; each is broadcast and
+    meets all sentences.  With one automaton nothing is shuffled.  Null and empty keywords and null
+    aspects are left out.
     """
-    keyed = keywords.select("aspect", F.lower("keyword").alias("run")).filter(F.length("run") > 0).distinct()
-    lengths = sorted(r["size"] for r in keyed.select(F.length("run").alias("size")).distinct().collect())
+    spark = reviews.sparkSession
     place = ["cafe_id", "review_id", "sent_pos"]
+    keyed = keywords.select(F.col("aspect").cast("string").alias("aspect"), F.lower("keyword").alias("keyword"))
+    keyed = keyed.where((F.length("keyword") > 0) & F.col("aspect").isNotNull()).distinct()
+    parts = max(1, -(-keyed.count() // (automaton_rows or AUTOMATON_ROWS)))
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("keyword", "aspect"), F.lit(parts)))
     lowered = sentences(reviews).select(*place, F.lower("sentence").alias("lowered"))
-    # a look-ahead finds overlapping runs in one pass over the sentence
-    found = [F.regexp_extract_all("lowered", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    found = F.concat(*found) if found else F.array().cast("array<string>")
-    runs = lowered.select(*place, F.explode(F.array_distinct(found)).alias("run"))
-    keyed = broadcast_if_small(keyed, MAX_BROADCAST_KEYWORDS)
-    return runs.join(keyed, "run").select(*place, "aspect").distinct()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lowered.schema if f.name in place)
+    found = []
+    for part in range(parts):
+        words = dealt.where(F.col("part") == part).groupBy("keyword").agg(F.collect_list("aspect").alias("aspects"))
+        listed = [(r.keyword, tuple(r.aspects)) for r in words.toLocalIterator()]
+        if listed:
+            run = _automaton_mentions(spark.sparkContext.broadcast(listed), place)
+            found.append(lowered.mapInArrow(run, f"{schema}, `aspect` string"))
+    if not found:
+        return lowered.select(*place, F.lit("").alias("aspect")).limit(0)
+    return found[0] if len(found) == 1 else reduce(DataFrame.union, found).distinct()
 
 
 def aspect_by_review(
