@@ -26,6 +26,7 @@ of its own; other columns of ``docs`` are not read; an empty table gives no rows
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -274,63 +275,68 @@ def candidate_phrases(batches: DataFrame, frequent_words: DataFrame, min_count:
 class DoubleArray:
     """A trie of symbol sequences: the child of state ``s`` by symbol ``c`` is ``base[s] + c`` if ``check`` there is ``s``.
 
-    Symbols are positive; state 1 is the root; ``ends[i]`` is the state of the ``i``-th sequence.
+    Symbols are positive, frequent ones best small; state 1 is the root; ``ends[i]`` is the state of
+    the ``i``-th sequence.  Parents of many children are placed first, those of one child fill the gaps.
     """
 
     def __init__(self, sequences: list[list[int]]):
         longest = max(map(len, sequences), default=0)
-        rows = np.zeros((len(sequences), longest), np.int64)
+        rows = np.zeros((len(sequences), longest), np.int32)
         for k, sequence in enumerate(sequences):
             rows[k, : len(sequence)] = sequence
         width = int(rows.max(initial=0)) + 1
-        self.base, self.check = np.zeros(4 * width + 8, np.int64), np.full(4 * width + 8, -1, np.int64)
+        self.base, self.check = np.zeros(2 * width + 8, np.int32), np.full(2 * width + 8, -1, np.int32)
         self.check[:2] = 0
-        self._free, self._last = 2, 1
+        self._gap, self._last = 2, 1
         states, self.ends = np.ones(len(sequences), np.int64), np.ones(len(sequences), np.int64)
         for depth in range(longest):
             on = np.flatnonzero(rows[:, depth])
             edges, place = np.unique(states[on] * width + rows[on, depth], return_inverse=True)
             children = self._placed(edges // width, edges % width)
             states[on] = self.ends[on] = children[place]
-        self.base, self.check = (x[: self._last + 1].astype(np.int32) for x in (self.base, self.check))
+        self.base, self.check = self.base[: self._last + 1], self.check[: self._last + 1]
 
     def _placed(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """States for the edges, which are sorted by parent; parents with many children first."""
+        """States for the edges, which are sorted by parent."""
         children = np.zeros(len(parents), np.int64)
         starts = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
         sizes = np.diff(np.append(starts, len(parents)))
-        for at in np.argsort(-sizes, kind="stable"):
+        lone = starts[sizes == 1]
+        near, digits = 2, 0
+        for at in np.argsort(-sizes, kind="stable")[: len(sizes) - len(lone)]:
             part = slice(starts[at], starts[at] + sizes[at])
             parent, own = int(parents[part.start]), symbols[part]
-            base = self._fitting(own)
+            if int(sizes[at]).bit_length() != digits:  # smaller families fit where larger ones did not
+                near, digits = self._gap, int(sizes[at]).bit_length()
+            base, near = self._fitting(own, near)
             self.base[parent], children[part] = base, base + own
             self.check[children[part]] = parent
             self._last = max(self._last, int(children[part][-1]))
+        if len(lone):  # any free place does
+            self._reach(self._last + len(lone) + 1)
+            places = np.flatnonzero(self.check[self._gap :] < 0)[: len(lone)] + self._gap
+            self.base[parents[lone]], self.check[places] = places - symbols[lone], parents[lone]
+            children[lone] = places
+            self._gap, self._last = int(places[-1]) + 1, max(self._last, int(places[-1]))
         return children
 
-    def _fitting(self, symbols: np.ndarray) -> int:
-        """A base whose places for all the symbols are free: one of the first free places, or beyond the last used."""
-        least, most = int(symbols[0]), int(symbols[-1])
-        while self.check[self._free] >= 0:
-            self._free += 1
-            if self._free + 1 >= len(self.check):
-                self._extend(most)
-        free = np.flatnonzero(self.check[self._free : self._free + 512] < 0) + self._free
-        for place in free[:64]:
-            base = int(place) - least
-            if base + most + 2 >= len(self.check):
-                self._extend(most)
-            if (self.check[base + symbols] < 0).all():
-                return base
-        base = self._last + 1 - least
-        if base + most + 2 >= len(self.check):
-            self._extend(most)
-        return base
-
-    def _extend(self, most: int) -> None:
-        more = len(self.check) + 2 * most
-        self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-        self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
+    def _fitting(self, symbols: np.ndarray, near: int) -> tuple[int, int]:
+        """A base whose places for all the symbols are free, and where to look next; from place ``near`` on."""
+        apart = symbols - symbols[0]
+        while True:
+            stop = near + max(32, (1 << 8) // len(symbols))
+            self._reach(stop + int(apart[-1]))
+            places = np.flatnonzero(self.check[near:stop] < 0) + near
+            fits = np.flatnonzero((self.check[places[:, None] + apart] < 0).all(axis=1)) if len(places) else places
+            if len(fits):
+                return int(places[fits[0]]) - int(symbols[0]), near
+            near = stop
+
+    def _reach(self, place: int) -> None:
+        if place >= len(self.check):
+            more = place + len(self.check) // 2 + 1 - len(self.check)
+            self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
+            self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
 
 
 def state_counts(
@@ -362,7 +368,8 @@ def _build_trie(frame: pd.DataFrame) -> pd.DataFrame:
     """One block's double-array trie and the state of each phrase; a sequence is a language and its words."""
     phrases = [x.encode().split(b" ") for x in frame["phrase"]]
     langs = sorted(set(frame["lang"]))
-    words = sorted(set().union(*phrases))
+    uses = Counter(w for p in phrases for w in p)
+    words = sorted(uses, key=lambda w: (-uses[w], w))
     lang_symbols = {x: k for k, x in enumerate(langs, 1)}
     word_symbols = {x: k for k, x in enumerate(words, 1 + len(langs))}
     trie = DoubleArray([[lang_symbols[x], *map(word_symbols.__getitem__, p)] for x, p in zip(frame["lang"], phrases, strict=True)])
