@@ -161,6 +161,34 @@ def sentence_tokens(source: str) -> str:
   from {source})"""
 
 
+def merged_tokens(source: str) -> str:
+    """The tokens with the words of each phrase put together; every token stands between two blanks of its own."""
+    listed = sorted({" ".join(p.lower().split()) for p, _ in S.PHRASES if len(p.split()) > 1}, key=lambda p: (-len(p), p))
+    pattern = "|".join(p.replace(" ", "  ") for p in listed)
+    return f"""{sentence_tokens(source).replace('split_tokens as', 'single_tokens as', 1)},
+marked_phrases as (
+  select *, regexp_replace(' ' || array_to_string(toks, '  ') || ' ', ' ({pattern}) ', ' ' || chr(2) || '\\1' || chr(3) || ' ', 'gi') as line
+  from single_tokens),
+split_tokens as (
+  select * exclude (toks, line), list_filter(flatten(list_transform(string_split(line, chr(2)), lambda p:
+    case when contains(p, chr(3)) then list_concat([replace(split_part(p, chr(3), 1), '  ', ' ')], string_split(split_part(p, chr(3), 2), ' '))
+    else string_split(p, ' ') end)), lambda t: t <> '') as toks
+  from marked_phrases)"""
+
+
+#: Sentences with the symbols read as their descriptions, the longest symbol first.
+DESCRIBED = (
+    "described as (select * replace (case when regexp_matches(sentence, '[" + "".join(x[0] for x, _ in S.SYMBOLS)
+    + f"]') then regexp_replace(regexp_replace(regexp_replace("
+    + "replace(" * len(S.SYMBOLS) + "sentence"
+    + "".join(f", {lit(x)}, {lit(' ' + d + ' ')})" for x, d in sorted(S.SYMBOLS, key=lambda r: -len(r[0])))
+    + f", '{WS}+', ' ', 'g'), '^ ', ''), ' $', '') else sentence end as sentence) from sentences)"
+)
+PHRASE_LEXICON = "lexicon(token, valence) as (values " + ", ".join(
+    f"({lit(t)}, {v}e0)" for t, v in {**dict(S.LEXICON), **{" ".join(p.lower().split()): v for p, v in S.PHRASES}}.items()
+) + ")"
+
+
 def core(source: str) -> str:
     squeezed, rounded = compound("total")
     return f"""{sentence_tokens(source)},
@@ -433,6 +461,9 @@ select cafe_id, ai_summary from summaries""",
     "sentence_sentiment": f"""with {REVIEWS}, {SENTENCES}, {LEXICON}, {core('sentences')}
 select review_id, sent_pos, cafe_id, compound from compounds""",
     "sentence_sentiment_modifiers": f"""with {REVIEWS}, {SENTENCES}, {LEXICON}, {modifiers('sentences')}
+select review_id, sent_pos, cafe_id, compound from compounds""",
+    "sentence_sentiment_idioms": f"""with {REVIEWS}, {SENTENCES}, {DESCRIBED}, {PHRASE_LEXICON},
+{modifiers('described').replace(sentence_tokens('described'), merged_tokens('described'))}
 select review_id, sent_pos, cafe_id, compound from compounds""",
     "text_sentiment": f"""with {REVIEWS}, whole as (
   select cafe_id, review_id, 0 as sent_pos, regexp_replace(review_text, '^{WS}+|{WS}+$', '', 'g') as sentence

@@ -204,6 +204,13 @@ def sentence_sentiment_modifiers(spark, d):
     return vl.score_sentences(vl.sentences(S.reviews(spark, d)), S.lexicon(spark), rules=S.RULES)
 
 
+def sentence_sentiment_idioms(spark, d):
+    """Phrases that count as one word, and symbols that are read as their description."""
+    return vl.score_sentences(
+        vl.sentences(S.reviews(spark, d)), S.lexicon(spark), rules=S.RULES, phrases=S.phrases(spark), symbols=S.symbols(spark)
+    )
+
+
 def text_sentiment(spark, d):
     return vl.score_texts(S.reviews(spark, d), S.lexicon(spark), rules=S.RULES)
 
@@ -465,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "summary_text": summary_text,
     "sentence_sentiment": sentence_sentiment,
     "sentence_sentiment_modifiers": sentence_sentiment_modifiers,
+    "sentence_sentiment_idioms": sentence_sentiment_idioms,
     "text_sentiment": text_sentiment,
     "aspect_mentions": aspect_mentions,
     "aspect_mentions_table": aspect_mentions_table,

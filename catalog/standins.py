@@ -78,6 +78,13 @@ LEXICON = [
     ("for", 0.7), ("die", -2.4), ("que", 1.1), ("der", 0.5), ("la", 1.3), ("un", -0.8),
 ]
 
+#: Word sequences and letters of the corpus that stand for idioms and emoji; some overlap, one begins another.
+PHRASES = [
+    ("of the", -1.1), ("of the and", 2.2), ("the and of", 1.4), ("et  LA", 1.7), ("der und", -2.0), ("the of", 0.9),
+    ("les la", -1.3), ("und that", 2.6), ("that", 0.6),
+]
+SYMBOLS = [("ç", "der"), ("ß", "und that"), ("ßt", "la"), ("ê", "")]
+
 #: Modifier words that do occur in the corpus, so that every rule fires.
 RULES = SentimentRules(
     boosters={"le": 0.293, "is": 0.293, "les": -0.293, "und": -0.293},
@@ -112,3 +119,11 @@ def prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{t}', {v}D)" for t, v in LEXICON)
     return spark.sql(f"select * from values {rows} as l(token, valence)")
+
+
+def phrases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PHRASES, "phrase string, valence double")
+
+
+def symbols(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SYMBOLS, "symbol string, description string")

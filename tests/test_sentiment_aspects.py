@@ -91,6 +91,76 @@ def test_a_large_lexicon_is_joined_by_shuffle(spark, lexicon, monkeypatch):
     test_rules(spark, lexicon)
 
 
+PHRASES = [("kiss of death", -1.5), ("To  Die For", 3.0), ("to die", -2.9), ("die for good", 1.0), ("bad", 0.5), (None, 1.0), ("x y", None)]
+IDIOMS = {
+    "a kiss of death": -1.5,
+    "KISS of Death, really": -1.5,
+    "kiss of life": 0.0,
+    "to die for": 3.0,
+    "to die here": -2.9,
+    # from left to right: the words of the first match are used up
+    "to die for good": 3.0 + 1.9,
+    "die for good": 1.0,
+    "not to die for": 3.0 * -0.74,
+    "very much to die for": 3.0 + 0.293 * 0.95,
+    "good to die to die for bad": 1.9 - 2.9 + 3.0 + 0.5,
+    "TO DIE FOR cake": 3.0 + 0.733,
+    "x y": 0.0,
+    "good 😀": 1.9 + 3.1,
+    "😀😀": 2 * 3.1,
+    "not😀": 3.1 * -0.74,
+    "so 👍🏽 good": 1.9 + 0.293 * 0.95,
+    "☠ for": 3.0,
+}
+SYMBOLS = [("😀", "great"), ("👍", "bad"), ("👍🏽", "thumb"), ("☠", "to die"), ("", "bad"), (None, "bad")]
+
+
+def test_idioms_and_emoji(spark, lexicon):
+    rows = [(i, 0, s) for i, s in enumerate(IDIOMS)]
+    sentences = spark.createDataFrame(rows, "review_id bigint, sent_pos int, sentence string")
+    phrases = spark.createDataFrame(PHRASES, "phrase string, valence double")
+    symbols = spark.createDataFrame(SYMBOLS, "symbol string, description string")
+    scored = vl.score_sentences(sentences, lexicon, phrases=phrases, symbols=symbols)
+    got = {r["review_id"]: r["compound"] for r in scored.collect()}
+    for i, (sentence, total) in enumerate(IDIOMS.items()):
+        assert got[i] == pytest.approx(squeeze(total), abs=1e-9), sentence
+    core = vl.score_sentences(sentences.where("review_id = 7"), lexicon, rules=None, phrases=phrases)
+    assert core.first()["compound"] == squeeze(3.0)
+    plain = vl.score_sentences(sentences, lexicon, phrases=phrases.limit(0), symbols=symbols.limit(0))
+    assert sorted(plain.collect()) == sorted(vl.score_sentences(sentences, lexicon).collect())
+
+
+def test_phrases_are_merged_from_the_left_longest_first(spark):
+    """Against a plain scan, over few words that overlap a lot."""
+    from venuelens.operators.sentiment import merge_phrases
+
+    rng = random.Random(24)
+    phrases = sorted({" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(14)})
+    texts = [[rng.choice("abcABd") for _ in range(rng.randrange(0, 25))] for _ in range(300)]
+
+    def plain(tokens):
+        out, at = [], 0
+        while at < len(tokens):
+            n = max((len(p.split()) for p in phrases if [t.lower() for t in tokens[at : at + len(p.split())]] == p.split()), default=1)
+            out.append(" ".join(tokens[at : at + n]))
+            at += n
+        return out
+
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, tokens array<string>")
+    frame = frame.withColumn("lows", F.transform("tokens", F.lower))
+    got = dict(frame.select("i", merge_phrases(F.col("tokens"), F.col("lows"), phrases)).collect())
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_phrase_tables_are_bounded(spark, lexicon, monkeypatch):
+    from venuelens.operators import sentiment
+
+    monkeypatch.setattr(sentiment, "MAX_PHRASES", 2)
+    sentences = spark.createDataFrame([(1, 0, "x")], "review_id bigint, sent_pos int, sentence string")
+    with pytest.raises(ValueError):
+        vl.score_sentences(sentences, lexicon, phrases=spark.createDataFrame(PHRASES, "phrase string, valence double"))
+
+
 def test_core_ignores_modifiers(spark, lexicon):
     sentences = spark.createDataFrame([(1, 0, "NOT very good!")], "review_id bigint, sent_pos int, sentence string")
     assert vl.score_sentences(sentences, lexicon, rules=None).first()["compound"] == squeeze(1.9)

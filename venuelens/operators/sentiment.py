@@ -2,12 +2,17 @@
 
 The lexicon is the caller's: ``(token, valence)``, tokens in lower case and unique.  No
 word list of any sentiment package is shipped.  The rules follow the published
-description of a rule-based lexicon scorer (Hutto & Gilbert, ICWSM 2014); left out are
-emoji descriptions and multi-word idioms.
+description of a rule-based lexicon scorer (Hutto & Gilbert, ICWSM 2014).
+
+Idioms and emoji are the caller's as well.  Words that form a phrase of the table
+``(phrase, valence)`` count as one word with that valence: matches are by whole words in any case, from
+left to right, the longest first, and do not overlap.  A symbol of the table ``(symbol, description)``
+is read as the words that describe it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -73,6 +78,73 @@ KEYS = ["review_id", "sent_pos"]
 MAX_BROADCAST_TOKENS = 500_000
 
 
+#: Phrases, and symbols, that a table may hold: they become part of the plan.
+MAX_PHRASES = 20_000
+
+
+def _bounded(table: DataFrame, columns: list[str]) -> list[tuple]:
+    rows = table.select(*columns).dropna().distinct().limit(MAX_PHRASES + 1).collect()
+    if len(rows) > MAX_PHRASES:
+        raise ValueError(f"more than {MAX_PHRASES} rows of {columns}")
+    return [tuple(r) for r in rows]
+
+
+def normal_phrases(phrases: DataFrame) -> DataFrame:
+    """``(token, valence)``: phrases in lower case with single blanks, as the merged tokens are written."""
+    words = F.array_join(X.spaced_tokens(X.strip(F.lower("phrase"))), " ")
+    return phrases.select(words.alias("token"), F.col("valence").cast("double").alias("valence")).where("token <> ''")
+
+
+def describe_symbols(sentence: Column, names: dict[str, str]) -> Column:
+    """The text with each symbol of ``names`` read as its description, a word of its own; the longest symbol first."""
+    if not names:
+        return sentence
+    symbols = sorted(names, key=lambda x: (-len(x), x))
+    first = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted({x[0] for x in symbols})) + "]"
+    any_symbol = f"(?={first})(?:{'|'.join(''.join(f'\\x{{{ord(c):x}}}' for c in x) for x in symbols)})"
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    tokens = X.spaced_tokens(X.strip(F.regexp_replace(sentence, any_symbol, " $0 ")))
+    named = F.transform(tokens, lambda t: F.when(t.isin(symbols), F.element_at(table, t)).otherwise(t))
+    return F.when(F.rlike(sentence, F.lit(first)), X.strip(F.array_join(named, " "))).otherwise(sentence)
+
+
+def merge_phrases(tokens: Column, lows: Column, phrases: list[str]) -> Column:
+    """``tokens`` with the words of each phrase put together, blanks between them; ``lows`` are they in lower case.
+
+    Only tokens that begin some phrase are looked up, by a hash of first words, so the rest of a
+    sentence costs one lookup a token, whatever the number of phrases.
+    """
+    by_first: dict[str, list[list[str]]] = {}
+    for words in sorted(p.split(" ") for p in set(phrases)):
+        if len(words) > 1:
+            by_first.setdefault(words[0], []).append(words)
+    if not by_first:
+        return tokens
+    table = F.from_json(F.lit(json.dumps(by_first)), "map<string,array<array<string>>>")
+    starts = F.filter(
+        F.transform(lows, lambda t, i: F.struct(i.alias("at"), t.alias("first"))), lambda h: h["first"].isin(list(by_first))
+    )
+
+    def longest(h: Column) -> Column:
+        held = F.filter(F.element_at(table, h["first"]), lambda p: F.slice(lows, h["at"] + 1, F.size(p)) == p)
+        return F.coalesce(F.array_max(F.transform(held, lambda p: F.size(p))), F.lit(0))
+
+    def step(done: Column, h: Column) -> Column:
+        one = F.array_join(F.slice(tokens, h["at"] + 1, h["n"]), " ")
+        skipped = F.slice(tokens, done["end"] + 1, h["at"] - done["end"])
+        taken = F.struct((h["at"] + h["n"]).alias("end"), F.concat(done["out"], skipped, F.array(one)).alias("out"))
+        return F.when(h["at"] >= done["end"], taken).otherwise(done)
+
+    found = F.filter(
+        F.transform(starts, lambda h: F.struct(h["at"].alias("at"), longest(h).alias("n"))), lambda h: h["n"] > 0
+    )
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(
+        found, none, step, lambda done: F.concat(done["out"], F.slice(tokens, done["end"] + 1, F.size(tokens) - done["end"]))
+    )
+    return F.when(F.size(starts) > 0, rest).otherwise(tokens)
+
+
 def _is_upper(token: Column) -> Column:
     return (token == F.upper(token)) & (token != F.lower(token))
 
@@ -103,16 +175,21 @@ def with_compound(
     ).select(*KEYS, *carry, exact_round(F.col("squeezed"), 4).alias("compound"))
 
 
-def _with_tokens(sentences: DataFrame, carry: list[str]) -> DataFrame:
+def _with_tokens(sentences: DataFrame, carry: list[str], phrases: list[str]) -> DataFrame:
+    """``tokens`` as written and ``lows`` in lower case, phrases as one token."""
     bare = X.without_outer_punctuation(F.col("sentence"))
-    return sentences.select(*KEYS, *carry, "sentence", bare.alias("bare"))
+    cut = sentences.select(*KEYS, *carry, "sentence", bare.alias("bare")).select(
+        *KEYS, *carry, "sentence", X.spaced_tokens(F.col("bare")).alias("tokens"), X.spaced_tokens(F.lower("bare")).alias("lows")
+    )
+    if not phrases:
+        return cut
+    merged = cut.withColumn("tokens", merge_phrases(F.col("tokens"), F.col("lows"), phrases))
+    return merged.withColumn("lows", F.transform("tokens", F.lower))
 
 
-def score_core(sentences: DataFrame, lexicon: DataFrame, carry: list[str]) -> DataFrame:
+def score_core(sentences: DataFrame, lexicon: DataFrame, carry: list[str], phrases: list[str]) -> DataFrame:
     """Sum of the valences of known tokens, normalised; no modifier rule."""
-    exploded = _with_tokens(sentences, carry).select(
-        *KEYS, *carry, F.explode(X.spaced_tokens(F.lower("bare"))).alias("token")
-    )
+    exploded = _with_tokens(sentences, carry, phrases).select(*KEYS, *carry, F.explode("lows").alias("token"))
     totals = (
         exploded.join(lexicon, "token", "left")
         .groupBy(*KEYS, *carry)
@@ -175,7 +252,7 @@ def _after_cue(value: Column, cue: Column, rules: SentimentRules) -> Column:
 
 
 def score_with_modifiers(
-    sentences: DataFrame, lexicon: DataFrame, rules: SentimentRules, carry: list[str]
+    sentences: DataFrame, lexicon: DataFrame, rules: SentimentRules, carry: list[str], phrases: list[str]
 ) -> DataFrame:
     """All modifier rules, without a sort.
 
@@ -186,19 +263,16 @@ def score_with_modifiers(
     """
     distances = range(1, len(rules.damping) + 1)
     facts = ["emphasis", "mixed", "contrast_at"]
-    cut = _with_tokens(sentences, carry).select(
-        *KEYS, *carry, "sentence", "bare", X.spaced_tokens(F.col("bare")).alias("tokens")
-    )
+    cut = _with_tokens(sentences, carry, phrases)
     counted_uppers = cut.withColumn(
         "n_upper", F.size(F.filter("tokens", lambda t: _is_upper(t)))
     )
-    lows = X.spaced_tokens(F.lower("bare"))
     per_sentence = counted_uppers.select(
         *KEYS,
         *carry,
         punctuation_emphasis(F.col("sentence"), rules).alias("emphasis"),
         ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("tokens"))).alias("mixed"),
-        (F.array_position(lows, rules.contrast) - F.lit(1)).alias("contrast_at"),
+        (F.array_position("lows", rules.contrast) - F.lit(1)).alias("contrast_at"),
         "tokens",
     )
     exploded = per_sentence.select(
@@ -278,12 +352,16 @@ def score_sentences(
     rules: SentimentRules | None = DEFAULT_RULES,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     carry: list[str] | None = None,
+    phrases: DataFrame | None = None,
+    symbols: DataFrame | None = None,
 ) -> DataFrame:
     """``compound`` in [-1, 1] per sentence, keyed by ``(review_id, sent_pos)``.
 
     ``carry`` names columns to keep (by default every input column but the text).
     ``rules=None`` leaves the modifier rules out.  ``scorer`` replaces the lexicon by a
-    function that adds ``compound`` to a frame with a ``sentence`` column.
+    function that adds ``compound`` to a frame with a ``sentence`` column.  ``phrases`` (phrase,
+    valence) and ``symbols`` (symbol, description) hold idioms and emoji, at most ``MAX_PHRASES`` each;
+    phrases are unique but for case and blanks.
     """
     kept = [c for c in sentences.columns if c not in KEYS and c != "sentence"]
     carry = kept if carry is None else carry
@@ -291,10 +369,20 @@ def score_sentences(
         return scorer(sentences).select(*KEYS, *carry, "compound")
     if lexicon is None:
         raise ValueError("give a lexicon or a scorer")
-    lexicon = broadcast_if_small(lexicon.select("token", "valence"), MAX_BROADCAST_TOKENS)
+    lexicon = lexicon.select("token", "valence")
+    listed: list[str] = []
+    if symbols is not None:
+        names = {s: d for s, d in sorted(_bounded(symbols, ["symbol", "description"])) if s}
+        sentences = sentences.withColumn("sentence", describe_symbols(F.col("sentence"), names))
+    if phrases is not None:
+        valences = dict(sorted(_bounded(normal_phrases(phrases), ["token", "valence"])))
+        listed = list(valences)
+        own = sentences.sparkSession.createDataFrame(list(valences.items()), "token string, valence double")
+        lexicon = lexicon.join(F.broadcast(own), "token", "left_anti").unionByName(own)
+    lexicon = broadcast_if_small(lexicon, MAX_BROADCAST_TOKENS)
     if rules is None:
-        return score_core(sentences, lexicon, carry)
-    return score_with_modifiers(sentences, lexicon, rules, carry)
+        return score_core(sentences, lexicon, carry, listed)
+    return score_with_modifiers(sentences, lexicon, rules, carry, listed)
 
 
 def score_texts(reviews: DataFrame, lexicon: DataFrame | None = None, **options) -> DataFrame:
