@@ -263,6 +263,53 @@ def test_contexts_find_unseen_identifiers(spark, odd):
     assert pii.find_personal_data(odd).count() == len(ROWS) and pii.find_personal_data(odd.limit(0)).count() == 0
 
 
+def extras(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = pii.find_personal_data(docs, **options).collect()
+    texts = dict(rows)
+    return {(r.doc_id, texts[r.doc_id][x.start : x.end]) for r in found for x in r.extra}
+
+
+def test_finds_lead_to_contexts_without_seeds(spark):
+    """Seeds share "reach me at"; the handles found there are met again after "ping", where no seed ever is."""
+    rows = [(i, f"reach me at me{i}@mail.org") for i in range(9)]
+    rows += [(20 + i, f"reach me at zz{i}handle") for i in range(4)] + [(30 + i, f"then ping zz{i}handle now") for i in range(4)]
+    rows += [(40, "then ping qq7someone now"), (50, "room 12345678 here")]
+    got = {d: v for d, v in extras(spark, rows)}
+    assert all(got[20 + i] == got[30 + i] == f"zz{i}handle" for i in range(4)) and got[40] == "qq7someone" and 50 not in got
+    assert 40 not in {d for d, _ in extras(spark, rows, rounds=1)}
+
+
+def test_labels_of_secrets_are_seed_patterns(spark):
+    secrets = ["token = \"0123abcd4567\"", "API_KEY: sk-99887766", "my password = hunter2hunter2", "\"secret\" = a1b2c3d4"]
+    clean = ["version 2.0.1234 of it", "broken = 4567890123", "monkey: 12345678", "4111111111111112 x", "token = 123", "at 300.1.1.1 there"]
+    rows = [(i, f"some words {x} and more") for i, x in enumerate(secrets + clean)]
+    assert {d for d, _ in extras(spark, rows, rounds=1)} == set(range(len(secrets)))
+
+
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    found, planted = set(), set()
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pii.find_personal_data(docs).collect():
+        found |= {(r.doc_id, texts[r.doc_id][x.start : x.end]) for x in r.extra}
+    for i, text in texts.items():
+        planted |= {(i, m) for m in re.findall(r'token = "([0-9a-f]{40})"', text)}
+    assert planted and found == planted
+
+
+def test_places_of_matches_in_long_texts(spark):
+    """Linear time, and right places across the chunks that are summed apart."""
+    import time
+
+    long = " ".join(f"é{i} me{i}@mail.org 10.0.{i % 256}.{i % 250}" for i in range(16_000))
+    docs = spark.createDataFrame([(1, long)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    found = pii.find_personal_data(docs).first()
+    assert time.perf_counter() - began < 60
+    assert [tuple(x) for x in found.base] == list(plain_spans(long))
+
+
 def test_licenses_match_whole_units_only(spark, odd):
     mit = licenses.KNOWN[7][1]
     rows = [
