@@ -6,7 +6,8 @@ batches of word codes with the batch's own dictionary.  Then
 1. words are counted; those under the threshold can be part of no frequent phrase;
 2. level by level a window of ``k`` words is looked at only if both its windows of ``k - 1`` words
    may be frequent (Apriori).  Windows are counted by a 64-bit hash; a collision can only add to a
-   sum, so every frequent phrase is among the windows that pass.  The next level knows them as a bitmap of
+   sum, so every frequent phrase is among the windows that pass (two of them with one hash would be
+   taken for one; the chance is their number times that of all distinct windows over 2 ** 64).  The next level knows them as a bitmap of
    fixed size, where a false hit also only adds;
 3. the phrases that pass all levels are the candidates.  They are dealt by hash into blocks of about
    ``BLOCK_PHRASES``, and a task builds the double-array trie of a block over its words.  Each trie is
@@ -59,6 +60,10 @@ _TABLE = bytes(
     ord(_BREAK) if b in b".,;:!?\n\x0b\x0c\r" else ord(" ") if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 _BLOCK_BITS = 15
+#: States of a trie whose counts travel in one row.
+_STATES = 1 << 12
+#: Share of the batches that are read for the words of phrases first.
+_SHARE = 16
 
 
 # -- batches of words ----------------------------------------------------------------
@@ -257,16 +262,28 @@ def candidate_phrases(batches: DataFrame, frequent_words: DataFrame, min_count:
         bitmaps.append(_bitmap(passing))
     if not levels:
         return frequent_words.select("lang", "phrase").limit(0)
+    # Most phrases occur in any part of the texts, so a part names them; the rest then looks for those still without words.
+    first = F.pmod(F.xxhash64("codes"), F.lit(_SHARE)) == 0
+    named = _named(batches.where(first), levels, bitmaps[1:])
+    for bitmap in bitmaps:
+        bitmap.destroy()
+    rest = [written(x.join(named.select("h"), "h", "left_anti"), "unnamed") for x in levels]
+    bitmaps = [_bitmap(x) for x in rest]
+    named = named.union(_named(batches.where(~first), rest, bitmaps))
+    for bitmap in bitmaps:
+        bitmap.destroy()
+    return named.select("lang", "phrase").distinct()
+
+
+def _named(batches: DataFrame, levels: list[DataFrame], bitmaps: list) -> DataFrame:
+    """(lang, phrase, h) of the windows in ``batches`` whose hash is in ``levels``, of two words and more."""
     hashes = levels[0]
     for more in levels[1:]:
         hashes = hashes.union(more)
-    kept = _read_all(
-        batches, _passing_phrases(bitmaps[1:]), "lang string, phrase string, h bigint",
-        lambda x: x.distinct().join(hashes.distinct(), "h").select("lang", "phrase"), "candidates",
+    return _read_all(
+        batches, _passing_phrases(bitmaps), "lang string, phrase string, h bigint",
+        lambda x: x.distinct().join(hashes.distinct(), "h").select("lang", "phrase", "h"), "candidates",
     )
-    for bitmap in bitmaps:
-        bitmap.destroy()
-    return kept
 
 
 # -- exact counts by double-array tries -----------------------------------------------
@@ -380,26 +397,46 @@ def _build_trie(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _trie_counts(trie, longest: int):
-    """Rows (place, f): how often the tasks' texts reach each state of the broadcast trie."""
+    """Rows (block, counts): how often the task's texts reach each state of the broadcast trie, ``_STATES`` to a row."""
 
     def run(frames):
         parts = trie.value
         base, check = (np.frombuffer(parts[x], np.int32) for x in ("base", "check"))
         langs = {x: k for k, x in enumerate(json.loads(parts["langs"]), 1)}
         symbols = {x: k for k, x in enumerate(parts["words"].split(b" "), 1 + len(langs))}
-        counts = np.zeros(len(check), np.int64)
+        counts = np.zeros(-(-len(check) // _STATES) * _STATES, np.int64)
         for frame in frames:
             for lang, words, codes in _read(frame):
                 if lang in langs:
                     start = int(base[1]) + langs[lang]
                     own = np.array([0, *(symbols.get(w, 0) for w in words)], np.int64)
                     state_counts(base, check, start, own[codes], longest, counts)
-        places = np.flatnonzero(counts)
-        yield pd.DataFrame({"place": places, "f": counts[places]})
+        rows = counts.reshape(-1, _STATES)
+        blocks = np.flatnonzero(rows.any(axis=1))
+        if len(blocks):
+            yield pd.DataFrame({"block": blocks, "counts": [rows[i].tobytes() for i in blocks]})
 
     return run
 
 
+def _block_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (place, f) from blocks in order; one block's sum is held at a time."""
+    block, total = -1, np.zeros(_STATES, np.int64)
+
+    def rows() -> pd.DataFrame:
+        places = np.flatnonzero(total)
+        return pd.DataFrame({"place": block * _STATES + places, "f": total[places]})
+
+    for frame in frames:
+        for own, counts in zip(frame["block"].tolist(), frame["counts"], strict=True):
+            if own != block and block >= 0:
+                yield rows()
+                total = np.zeros(_STATES, np.int64)
+            block, total = own, total + np.frombuffer(counts, np.int64)
+    if block >= 0:
+        yield rows()
+
+
 def exact_counts(batches: DataFrame, candidates: DataFrame, longest: int, block_phrases: int = BLOCK_PHRASES) -> DataFrame:
     """(lang, phrase, f) for each candidate, from one reading of the batches per block of candidates."""
     spark = batches.sparkSession
@@ -414,8 +451,9 @@ def exact_counts(batches: DataFrame, candidates: DataFrame, longest: int, block_
             continue
         trie = spark.sparkContext.broadcast({x: bytes(data) for x, data in parts.items()})
         sums = _read_all(
-            batches, _trie_counts(trie, longest), "place bigint, f bigint",
-            lambda x: x.groupBy("place").agg(F.sum("f").alias("f")), "state-counts",
+            batches, _trie_counts(trie, longest), "block bigint, counts binary",
+            lambda x: x.repartition("block").sortWithinPartitions("block").mapInPandas(_block_sums, "place bigint, f bigint"),
+            "state-counts",
         )
         part = own.where("kind = 'phrase'").join(sums, "place").select("lang", "phrase", "f")
         trie.destroy()
