@@ -403,8 +403,11 @@ select cafe_id, name, area, location, budget, budget_label, atmosphere, purpose_
   array_to_string(l, '|') as tags, len(l) as n_tags, noise_level, {', '.join(vocab.FLAG_COLS)}, overall_rating
 from tagged""",
     "venues_csv": f"""with {VENUES} select cafe_id, name, budget_label, purpose_tags,
+  {', '.join(vocab.FLAG_COLS)}, cast(coffee_score as double) as coffee_score, overall_rating from venues""",
+    "venues_files": f"""with {VENUES} select cafe_id, name, budget_label, purpose_tags,
   {', '.join(vocab.FLAG_COLS)}, cast(coffee_score as double) as coffee_score, overall_rating from venues""",
     "reviews_csv": f"with {REVIEWS} select review_id, cafe_id, rating, review_text from reviews",
+    "reviews_files": f"with {REVIEWS} select review_id, cafe_id, rating, review_text from reviews",
     "budget_parse": f"with {PREFS} select user_id, budget_text, amount, label from labelled",
     "facet_filter": f"""with {VENUES} select cafe_id, name, noise_level from venues
 where outdoor_seating and noise_level = 'Low' and free_wifi""",

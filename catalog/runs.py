@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from venuelens import schemas, vocab
 from venuelens.functions.rounding import scaled_round
 from venuelens.functions.scores import get_or, omit_missing
 from venuelens.functions.text import spaced_token_count, word_array
+from venuelens.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +52,28 @@ def venues_csv(spark, d):
     )
 
 
+def _as_files(spark, df, name):
+    """Delivered files: quoted CSV with a header, several of them, in a new shared folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+def venues_files(spark, d):
+    """Venues read from delivered CSV files."""
+    path = _as_files(spark, S.raw_venues(spark, d), "venues-csv")
+    return vl.clean_venues(vl.read_venues(spark, path)).select(
+        "cafe_id", "name", "budget_label", "purpose_tags", *vocab.FLAG_COLS,
+        F.col("coffee_score").cast("double").alias("coffee_score"), "overall_rating",
+    )
+
+
+def reviews_files(spark, d):
+    """Reviews read from delivered CSV files, whose quoted texts hold line breaks."""
+    path = _as_files(spark, S.reviews(spark, d).select("review_id", "cafe_id", "rating", "review_text"), "reviews-csv")
+    return vl.read_reviews(spark, path).select("review_id", "cafe_id", "rating", "review_text")
+
+
 def reviews_csv(spark, d):
     """Every review as a quoted CSV line and back: quotes and line breaks survive."""
     r = S.reviews(spark, d).select("review_id", "cafe_id", "rating", "review_text")
@@ -444,6 +468,8 @@ QUERIES: dict[str, Query] = {
     "clean_venues": clean_venues,
     "venues_csv": venues_csv,
     "reviews_csv": reviews_csv,
+    "reviews_files": reviews_files,
+    "venues_files": venues_files,
     "budget_parse": budget_parse,
     "facet_filter": facet_filter,
     "facet_filter_any": facet_filter_any,

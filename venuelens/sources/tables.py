@@ -9,9 +9,7 @@ from pyspark.sql import types as T
 from venuelens import schemas
 from venuelens.functions.clean import normalize_tags, parse_flags, with_budget_label
 from venuelens.session import written
-
-#: Quoted text with doubled quotes and line breaks, as spreadsheet tools write it.
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+from venuelens.sources.quoted_csv import POSITION, read_quoted_csv
 
 
 def _read(spark: SparkSession, path, fmt: str, schema: T.StructType) -> DataFrame:
@@ -19,9 +17,8 @@ def _read(spark: SparkSession, path, fmt: str, schema: T.StructType) -> DataFram
         # Read as text, so that a value that does not fit is noticed.
         stored = spark.read.schema(_as_text(schema)).json(path)
     elif fmt == "csv":
-        # Only the header is looked at: columns are found by name, in any order, and
-        # cast to the declared types.
-        stored = spark.read.options(**CSV_OPTIONS).csv(path)
+        # Columns are found by name, in any order, and cast to the declared types.
+        return typed(read_quoted_csv(spark, path), schema, POSITION)
     else:
         stored = spark.read.format(fmt).load(path)
     return typed(stored, schema)
@@ -31,14 +28,14 @@ def _as_text(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
 
-def typed(stored: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of ``schema`` that ``stored`` has, in the declared types; nothing is lost silently.
+def typed(stored: DataFrame, schema: T.StructType, *carried: str) -> DataFrame:
+    """The columns of ``schema`` that ``stored`` has, in the declared types, and those ``carried``; nothing is lost silently.
 
     A value that does not fit its type fails the job and is named in the message; blanks and
     ``nan`` are missing numbers.  Keys that are stored as text in a typed file stay text; for
     keys that are text in a CSV or JSON file give ``schemas.text_keys(schema)``.
     """
-    all_text = all(isinstance(f.dataType, T.StringType) for f in stored.schema.fields)
+    all_text = all(isinstance(f.dataType, T.StringType) for f in stored.schema.fields if f.name not in carried)
 
     def cast(f: T.StructField):
         raw, here = F.col(f.name), stored.schema[f.name].dataType
@@ -53,7 +50,7 @@ def typed(stored: DataFrame, schema: T.StructType) -> DataFrame:
         told = F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), raw.cast("string"))
         return F.when(missing, F.lit(None)).otherwise(F.coalesce(value, F.raise_error(told).cast(f.dataType))).alias(f.name)
 
-    return stored.select([cast(f) for f in schema.fields if f.name in stored.columns])
+    return stored.select([cast(f) for f in schema.fields if f.name in stored.columns] + list(carried))
 
 
 def read_venues(
@@ -68,11 +65,13 @@ def read_reviews(
 ) -> DataFrame:
     """Reviews.
 
-    A multi-line CSV file is read by one task: convert large files to parquet once and
-    work from there.  A file without ``review_id`` gets numbers in file order, which are
-    written once with the reviews, so that every reader sees the same ones.
+    A CSV file without ``review_id`` gets numbers in file order, whatever tasks read it; in
+    other formats the numbers are written once with the reviews, so that every reader sees
+    the same ones.
     """
     df = _read(spark, path, fmt, schema)
+    if "review_id" not in df.columns and POSITION in df.columns:
+        df = df.withColumnRenamed(POSITION, "review_id")
     if "review_id" not in df.columns:
         df = written(df.select(F.monotonically_increasing_id().alias("review_id"), "*"), "reviews")
     return _require(df, schema)
