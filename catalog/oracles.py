@@ -558,6 +558,11 @@ from matches m left join stats s on s.cafe_id = m.cafe_id""",
   where outdoor_seating and noise_level = 'Low' and atmosphere = 'Luxury'),
 {matches('label = budget_label and cafe_id in (select pool_id from pool)')}
 select user_id, count(*) as n_matches from matches group by user_id""",
+    "match_counts_all": f"""with {VENUES}, {PREFS}, {ENCODED}, pool as (
+  select cafe_id as pool_id from venues
+  where outdoor_seating and noise_level = 'Low' and atmosphere = 'Luxury' and budget_label <> 'Above 2000'),
+{matches('label = budget_label and cafe_id in (select pool_id from pool)')}
+select p.user_id, count(m.user_id) as n_matches from prefs p left join matches m on m.user_id = p.user_id group by p.user_id""",
     "vector_knn": f"""with {MEANS}, pairs as (
   select d.label as query_id, vec_id,
     list_cosine_similarity(cast(embedding as double[]), direction) as sim

@@ -449,6 +449,12 @@ def match_counts(spark, d):
     return vl.match_counts(vl.recommend(pool, S.prefs(spark, d), match_budget=True))
 
 
+def match_counts_all(spark, d):
+    """The same for every user, zero for those whose budget no venue of the pool has."""
+    pool = vl.facet_filter(S.venues(spark, d), outdoor=True, quiet=True, atmosphere="Luxury").where("budget_label <> 'Above 2000'")
+    return vl.match_counts(vl.recommend(pool, S.prefs(spark, d), match_budget=True), S.prefs(spark, d))
+
+
 def vector_knn(spark, d):
     """The five stored vectors nearest to the mean direction of each label."""
     stored = S.table(spark, d, "embeddings")
@@ -523,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "recommend_enriched": recommend_enriched,
     "submit_form": submit_form,
     "match_counts": match_counts,
+    "match_counts_all": match_counts_all,
     "text_keys": text_keys,
     "text_keys_recommend": text_keys_recommend,
     "recommend_budget_any": recommend_budget_any,

@@ -161,6 +161,8 @@ def test_form(spark, tables, analysis):
     out = vl.submit_form(tables[0], prefs, analysis, outdoor=True, quiet=True)
     assert [(r["user_id"], r["cafe_id"]) for r in out.collect()] == [(1, 2)]
     assert [tuple(r) for r in vl.match_counts(out).collect()] == [(1, 1)]
+    everyone = prefs.select("user_id").union(prefs.select(F.lit(77).cast("bigint")))
+    assert sorted(map(tuple, vl.match_counts(out, everyone).collect()))[-1] == (77, 0)
 
 
 def test_report_takes_the_first_of_equal_names(tables, analysis):

@@ -36,6 +36,10 @@ def submit_form(
     return recommend_enriched(pool, prefs, analysis, k, match_budget=True, match_facets=any(c in prefs.columns for c in FACETS))
 
 
-def match_counts(matches: DataFrame) -> DataFrame:
-    """How many matches each user got (users without any do not appear)."""
-    return matches.groupBy("user_id").agg(F.count("*").alias("n_matches"))
+def match_counts(matches: DataFrame, prefs: DataFrame | None = None) -> DataFrame:
+    """How many matches each user got; with ``prefs`` also the users without any, who are shown "no match"."""
+    counts = matches.groupBy("user_id").agg(F.count("*").alias("n_matches"))
+    if prefs is None:
+        return counts
+    users = prefs.select("user_id").distinct()
+    return users.join(counts, "user_id", "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("bigint")))
