@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from venuelens import vocab
 from venuelens.functions import text as X
 from venuelens.operators.terms import has_text_key, not_stopword, sentences, term_counts
+from venuelens.session import broadcast_if_small, written
+
+#: Chosen sentences whose places are broadcast to look up their texts (some 50 MB); more are joined by shuffle.
+MAX_CHOSEN = 500_000
 
 
 def distinct_sentences(reviews: DataFrame, min_tokens: int = 4) -> DataFrame:
@@ -101,7 +105,9 @@ def summary_sentences(
             "score"
         ),
     )
-    return scored.join(reviews.select("review_id", "review_text"), "review_id").select(
+    # A few rows a venue, written and met where the reviews are read: no text is shuffled while they are few enough.
+    chosen = broadcast_if_small(written(scored, "summary-sentences"), MAX_CHOSEN)
+    return reviews.select("review_id", "review_text").join(chosen, "review_id").select(
         "cafe_id",
         "rank",
         "review_id",

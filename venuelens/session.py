@@ -57,10 +57,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables, one that every executor reaches.
 
     A cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder of the
-    warehouse is used, which is shared as well.  Never a machine-local temporary folder.
+    warehouse is used, unless that is one machine's own.  Never a machine-local temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return f"{warehouse.rstrip('/')}/_written"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
