@@ -427,6 +427,20 @@ def test_nearest_recall_and_order(spark):
     assert nearest.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_keeps_the_smaller_ids_of_many_equals(spark):
+    """Vectors of zeros and ones have large groups of equal products; all leaves are visited."""
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 2, size=(600, 9)).astype(float)
+    x[:, 0] = 1
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in nearest.search(frame, F.col("vec_id") % 20 == 0, trees=1, depth=2, visits=4).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, 600, 20):
+        want = sorted((i for i in range(600) if i != q), key=lambda i: (-(x[i] @ x[q]), i))[:20]
+        assert [found[q][k] for k in range(1, 21)] == want
+
+
 def test_packing_round_trip(spark, real, odd):
     from tokenizers import Tokenizer
 

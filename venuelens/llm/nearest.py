@@ -137,10 +137,12 @@ def _search(k: int):
                 if not len(asks) or not len(rows):
                     continue
                 q, x = _matrix(asks["embedding"]), _matrix(rows["embedding"])
+                # All rows that reach the k-th of the others but for rounding, however many are equal.
                 rough = q @ x.T
-                n = min(len(rows), k + 8)
-                near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                left, right = np.repeat(np.arange(len(q)), n), near.ravel()
+                n = min(len(rows), k + 1)
+                least = np.partition(rough, len(rows) - n, axis=1)[:, len(rows) - n]
+                margin = 1e-12 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+                left, right = np.nonzero(rough >= (least - margin)[:, None])
                 exact = np.zeros(len(left))
                 for i in range(q.shape[1]):
                     exact += q[left, i] * x[right, i]
