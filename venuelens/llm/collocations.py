@@ -212,20 +212,20 @@ def _bitmap(hashes: DataFrame):
     blocks = places.groupBy("block").agg(F.collect_set("place").alias("places"))  # at most 2 ** _BLOCK_BITS of them
     bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     size = 1 << (_BLOCK_BITS - 3)
-    for row in blocks.mapInPandas(_packed, "block bigint, bits binary").toLocalIterator():
+    for row in blocks.mapInPandas(_packed, "block bigint, bits binary").collect():  # the bitmap's own size, at most
         bitmap[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _passing_phrases(bitmaps: list):
-    """Rows (lang, phrase, h) of the windows that pass their length's bitmap, each once in a task."""
+def _passing_phrases(bitmap, longest: int):
+    """Rows (lang, phrase, h) of the windows of two to ``longest`` words that pass the bitmap, each once in a task."""
 
     def run(frames):
         seen: set[int] = set()
         for frame in frames:
             for lang, words, codes in _read(frame):
                 windows, out = _Windows(lang, words, codes), []
-                for bitmap in bitmaps:
+                for _ in range(longest - 1):
                     windows.grow()
                     at = np.flatnonzero(windows.passing(bitmap.value))
                     hashes, first = np.unique(windows.hashes[at], return_index=True)
@@ -250,40 +250,36 @@ def candidate_phrases(batches: DataFrame, frequent_words: DataFrame, min_count:
         return pd.Series(np.array(one, np.uint64).view(np.int64))
 
     passing = frequent_words.select(hashed("lang", "phrase").alias("h"))
-    levels, bitmaps = [], [_bitmap(passing)]
+    hashes = None
     for length in range(2, longest + 1):
+        bitmap = _bitmap(passing)
         passing = _read_all(
-            batches, _window_sums(length, bitmaps[-1]), "h bigint, f bigint",
+            batches, _window_sums(length, bitmap), "h bigint, f bigint",
             lambda x: x.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h"), "windows",
         )
+        bitmap.destroy()
         if passing.isEmpty():
             break
-        levels.append(passing)
-        bitmaps.append(_bitmap(passing))
-    if not levels:
+        hashes = passing if hashes is None else hashes.union(passing)
+    if hashes is None:
         return frequent_words.select("lang", "phrase").limit(0)
     # Most phrases occur in any part of the texts, so a part names them; the rest then looks for those still without words.
     first = F.pmod(F.xxhash64("codes"), F.lit(_SHARE)) == 0
-    named = _named(batches.where(first), levels, bitmaps[1:])
-    for bitmap in bitmaps:
-        bitmap.destroy()
-    rest = [written(x.join(named.select("h"), "h", "left_anti"), "unnamed") for x in levels]
-    bitmaps = [_bitmap(x) for x in rest]
-    named = named.union(_named(batches.where(~first), rest, bitmaps))
-    for bitmap in bitmaps:
-        bitmap.destroy()
+    named = _named(batches.where(first), hashes, longest)
+    unnamed = written(hashes.join(named.select("h"), "h", "left_anti"), "unnamed")
+    named = named.union(_named(batches.where(~first), unnamed, longest))
     return named.select("lang", "phrase").distinct()
 
 
-def _named(batches: DataFrame, levels: list[DataFrame], bitmaps: list) -> DataFrame:
-    """(lang, phrase, h) of the windows in ``batches`` whose hash is in ``levels``, of two words and more."""
-    hashes = levels[0]
-    for more in levels[1:]:
-        hashes = hashes.union(more)
-    return _read_all(
-        batches, _passing_phrases(bitmaps), "lang string, phrase string, h bigint",
+def _named(batches: DataFrame, hashes: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, h) of the windows in ``batches`` whose hash is in ``hashes``, of two words and more."""
+    bitmap = _bitmap(hashes)
+    named = _read_all(
+        batches, _passing_phrases(bitmap, longest), "lang string, phrase string, h bigint",
         lambda x: x.distinct().join(hashes.distinct(), "h").select("lang", "phrase", "h"), "candidates",
     )
+    bitmap.destroy()
+    return named
 
 
 # -- exact counts by double-array tries -----------------------------------------------
