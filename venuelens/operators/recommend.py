@@ -22,12 +22,14 @@ more pairs are scored.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 from math import ceil
 from operator import add
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ from venuelens.operators.filters import facet_condition
 from venuelens.operators.search_tree import MARGIN, build_tree, search_tree
 from venuelens.session import broadcast_if_small, task_count, written
 
+# Functions for tasks travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_SCORE = 10.0
 #: Blocks of the first level, at most; their summaries are collected for the tree (some 200 bytes each).
 MAX_BLOCKS = 32_768
@@ -49,6 +54,7 @@ WIDTHS = (0.5, 1.0, 2.0, 5.0, 10.0)
 #: Vectors in a block, on average, from which a finer level is added.
 CROWDED = 64
 
+_N_ATMOSPHERES, _N_PURPOSES = len(vocab.ATMOSPHERES), len(vocab.PURPOSES)
 _SCORES = [f"s{i}" for i in range(len(vocab.SCORE_COLS))]
 _WEIGHTS = [f"p{i}" for i in range(len(vocab.PRIORITIES))]
 _SHAPE = ["u_atmosphere", "u_purpose", *_WEIGHTS, "u_budget", "u_norm", "scope", "need"]
@@ -156,6 +162,8 @@ def _block_summaries(vectors: DataFrame, blocks: list[str]) -> DataFrame:
 def _first_width(vectors: DataFrame, widths: tuple[float, ...] | None) -> tuple[float, ...]:
     """The widths asked for, or the finest first one that fits and a finer one for crowded blocks."""
     tried = widths[:1] if widths else WIDTHS
+    if vectors.limit(MAX_BLOCKS + 1).count() <= MAX_BLOCKS:  # no more blocks than vectors
+        return widths or WIDTHS[:1]
     counts = [F.approx_count_distinct(_block_id(w), 0.01).alias(f"w{i}") for i, w in enumerate(tried)]
     found = vectors.agg(F.count("*").alias("n"), *counts).first()
     # A tenth is left for the error of the count; the summaries are counted again before they are collected.
@@ -170,8 +178,8 @@ def _first_width(vectors: DataFrame, widths: tuple[float, ...] | None) -> tuple[
 
 def _layout_rows(hit: np.ndarray, atmosphere: np.ndarray, purposes: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
     """Rows in the feature layout: ``hit`` at the places of the atmosphere and the purposes, then the rest."""
-    places = [atmosphere == i + 1 for i in range(len(vocab.ATMOSPHERES))]
-    places += [(purposes >> i) & 1 == 1 for i in range(len(vocab.PURPOSES))]
+    places = [atmosphere == i + 1 for i in range(_N_ATMOSPHERES)]
+    places += [(purposes >> i) & 1 == 1 for i in range(_N_PURPOSES)]
     return np.stack([np.where(p, hit, 0.0) for p in places] + rest, axis=1)
 
 
