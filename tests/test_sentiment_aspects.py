@@ -226,6 +226,20 @@ def test_many_overlapping_keywords_equal_plain_search(spark, reviews_of, monkeyp
     assert none.count() == 0 and none.columns == got.columns
 
 
+def test_keywords_that_hold_another_of_their_aspect_give_no_patterns(spark, reviews_of, monkeypatch):
+    from venuelens.operators import aspects
+
+    patterns = []
+    plain = aspects._automaton_mentions
+    monkeypatch.setattr(aspects, "_automaton_mentions", lambda words, place: patterns.extend(words.value) or plain(words, place))
+    rows = [("a", "stat"), ("a", "station"), ("b", "station"), ("a", "reinstate"), ("a", "sta" * 90), ("b", "on the"), ("b", "n")]
+    keywords = spark.createDataFrame(rows + [("a", f"stat{i}") for i in range(300)], "aspect string, keyword string")
+    reviews = reviews_of((1, "The Station. We reinstate stat7! Moon"), (1, "sta" * 91 + "."), (2, "nothing"))
+    got = {(r.review_id, r.sent_pos, r.aspect) for r in aspect_mentions_from_table(reviews, keywords).collect()}
+    assert got == {(0, 0, "a"), (0, 0, "b"), (0, 1, "a"), (0, 1, "b"), (0, 2, "b"), (1, 0, "a"), (2, 0, "b")}
+    assert sorted(p for p in patterns if len(p[0]) < 200) == [("n", ("b",)), ("stat", ("a",))]
+
+
 def test_large_keys_and_null_venues_survive(spark):
     rows = [(2**60 + 1, None, 1.0, "good coffee here"), (2**60 + 3, 2**61 + 5, 1.0, "cake")]
     reviews = spark.createDataFrame(rows, "review_id bigint, cafe_id bigint, rating double, review_text string")

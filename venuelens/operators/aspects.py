@@ -15,13 +15,16 @@ from venuelens import vocab
 from venuelens.functions.scores import score_to_ten
 from venuelens.operators.sentiment import score_sentences
 from venuelens.operators.terms import sentences
+from venuelens.session import written
 
 # Functions for tasks travel with their code, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BITS = 62
-#: Rows of a keyword table in one automaton, about (some 50 MB in a worker); a larger table gets several.
-AUTOMATON_ROWS = 100_000
+#: Rows of a keyword table in one automaton, about; a larger table gets several.
+AUTOMATON_ROWS = 500_000
+#: Lengths of parts that a keyword looks up, and the length from which it looks up none.
+_PART_LENGTHS, _LONG_KEYWORD = 16, 200
 
 
 def mentions_any(lowered: Column, keywords: list[str]) -> Column:
@@ -80,24 +83,50 @@ def aspect_mentions(
     )
 
 
+def _without_covered(keyed: DataFrame) -> DataFrame:
+    """``keyed`` without keywords that hold another keyword of the same aspect.
+
+    Wherever such a keyword occurs the shorter one occurs too, so no mention is lost.  Each keyword
+    looks up its own parts of the ``_PART_LENGTHS`` shortest lengths that keywords have; a very long one is
+    kept without a look, which costs a pattern but changes no result.
+    """
+    found = keyed.select(F.length("keyword").alias("n")).distinct().orderBy("n").limit(_PART_LENGTHS).collect()
+    lengths = [r.n for r in found]
+    long = F.col("keyword")
+    starts = F.sequence(F.lit(1), F.length(long))
+    parts = F.flatten(
+        F.transform(
+            F.filter(F.array(*map(F.lit, lengths)), lambda n: n < F.length(long)),
+            lambda n: F.transform(F.slice(starts, 1, F.length(long) - n + 1), lambda i: F.substring(long, i, n)),
+        )
+    )
+    looked = keyed.where((F.length(long) > lengths[0]) & (F.length(long) <= _LONG_KEYWORD)).select(
+        "aspect", F.col("keyword").alias("whole"), F.explode(F.array_distinct(parts)).alias("keyword")
+    )
+    covered = looked.join(keyed, ["aspect", "keyword"], "left_semi").select("aspect", F.col("whole").alias("keyword")).distinct()
+    return keyed.join(covered, ["aspect", "keyword"], "left_anti")
+
+
 def _automaton_mentions(words, place: list[str]):
     """Every sentence in one pass through the automaton of ``words``, each aspect once per sentence."""
 
     def run(batches):
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        kinds: dict[tuple, int] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for keyword, aspects in words.value:
-            automaton.add_word(keyword, aspects)
+            automaton.add_word(keyword, kinds.setdefault(aspects, len(kinds)))
         automaton.make_automaton()
+        of_kind = list(kinds)
         for batch in batches:
             rows, names = [], []
             for i, text in enumerate(batch.column("lowered").to_pylist()):
-                touched = set()
-                for _, aspects in automaton.iter(text):
-                    touched.update(aspects)
-                rows += [i] * len(touched)
-                names += touched
+                held = {kind for _, kind in automaton.iter(text)}
+                if held:
+                    touched = set().union(*[of_kind[k] for k in held])
+                    rows += [i] * len(touched)
+                    names += touched
             if rows:
                 kept = [batch.column(c).take(pa.array(rows)) for c in place]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string())], names=[*place, "aspect"])
@@ -111,22 +140,25 @@ def aspect_mentions_from_table(
     """The same for a keyword table ``(aspect, keyword)`` that is too large for literals.
 
     The keywords are the patterns of an Aho-Corasick automaton, which finds all of them as substrings in
-    one pass over a sentence, whatever their number, lengths and overlaps.  The table is dealt by
-    hash into automata of about ``automaton_rows`` (``AUTOMATON_ROWS``) rows; each is broadcast and
-    meets all sentences.  With one automaton nothing is shuffled.  Null and empty keywords and null
-    aspects are left out.
+    one pass over a sentence, whatever their number, lengths and overlaps.  Keywords that hold another
+    of the same aspect say nothing new and are dropped first, so longer words of a growing vocabulary
+    add no patterns.  The rest is written once and dealt by hash into automata of about
+    ``automaton_rows`` (``AUTOMATON_ROWS``) rows; each is broadcast and meets all sentences.  With one
+    automaton nothing is shuffled.  Null and empty keywords and null aspects are left out.
     """
     spark = reviews.sparkSession
     place = ["cafe_id", "review_id", "sent_pos"]
     keyed = keywords.select(F.col("aspect").cast("string").alias("aspect"), F.lower("keyword").alias("keyword"))
     keyed = keyed.where((F.length("keyword") > 0) & F.col("aspect").isNotNull()).distinct()
+    keyed = written(keyed, "keywords")
+    keyed = written(_without_covered(keyed), "keywords-apart") if not keyed.isEmpty() else keyed
     parts = max(1, -(-keyed.count() // (automaton_rows or AUTOMATON_ROWS)))
     dealt = keyed.withColumn("part", F.pmod(F.xxhash64("keyword", "aspect"), F.lit(parts)))
     lowered = sentences(reviews).select(*place, F.lower("sentence").alias("lowered"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lowered.schema if f.name in place)
     found = []
     for part in range(parts):
-        words = dealt.where(F.col("part") == part).groupBy("keyword").agg(F.collect_list("aspect").alias("aspects"))
+        words = dealt.where(F.col("part") == part).groupBy("keyword").agg(F.array_sort(F.collect_list("aspect")).alias("aspects"))
         listed = [(r.keyword, tuple(r.aspects)) for r in words.toLocalIterator()]
         if listed:
             run = _automaton_mentions(spark.sparkContext.broadcast(listed), place)
