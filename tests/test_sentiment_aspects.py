@@ -324,3 +324,24 @@ def test_a_scorer_sees_text_beyond_its_window(spark):
     frame = spark.createDataFrame(rows, "review_id bigint, sent_pos int, sentence string")
     got = {r.review_id: r.compound for r in vl.score_sentences(frame, scorer=vl.classifier_scorer(classify)).collect()}
     assert got == {1: -0.9, 2: 0.5, 3: 0.5}
+
+
+def test_only_sentiment_words_meet_the_cues(spark, reviews_of):
+    """The valence is asked for before the joins that look back; a sentence without a known word still has its row."""
+    reviews = reviews_of((1, "Not a very GOOD place but nice! Nothing known here. no good"), (1, " \x1c  "), (2, None))
+    lexicon = spark.createDataFrame([("good", 1.9), ("nice", 1.8)], "token string, valence double")
+    scored = vl.score_sentences(vl.sentences(reviews), lexicon)
+    plan = plan_of(scored)
+    asked = plan.index("Filter (isnotnull(valence")
+    assert plan.rindex("BroadcastHashJoin [cue1") < asked < plan.rindex("BroadcastHashJoin [token")
+    assert [(r.review_id, r.sent_pos) for r in scored.orderBy("review_id", "sent_pos").collect()] == [(0, 0), (0, 1), (0, 2)]
+    assert scored.where("sent_pos = 1").first().compound == 0.0
+
+
+def test_texts_are_trimmed_of_all_whitespace_at_their_ends_only(spark):
+    from venuelens.functions import text as X
+
+    ends = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    rows = [(ends + "a" + ends + "​é" + ends[::-1], "a" + ends + "​é"), (ends, ""), ("᠎x﻿", "᠎x﻿"), (None, "")]
+    df = spark.createDataFrame(rows, "t string, want string").select("want", X.strip(F.col("t")).alias("got"))
+    assert all(r.want == r.got for r in df.collect()) and "regexp_replace" not in plan_of(df)

@@ -146,7 +146,8 @@ def merge_phrases(tokens: Column, lows: Column, phrases: list[str]) -> Column:
 
 
 def _is_upper(token: Column) -> Column:
-    return (token == F.upper(token)) & (token != F.lower(token))
+    # Most words are in lower case, and need no second look.
+    return (token != F.lower(token)) & (token == F.upper(token))
 
 
 def _count_char(sentence: Column, char: str) -> Column:
@@ -178,8 +179,9 @@ def with_compound(
 def _with_tokens(sentences: DataFrame, carry: list[str], phrases: list[str]) -> DataFrame:
     """``tokens`` as written and ``lows`` in lower case, phrases as one token."""
     bare = X.without_outer_punctuation(F.col("sentence"))
-    cut = sentences.select(*KEYS, *carry, "sentence", bare.alias("bare")).select(
-        *KEYS, *carry, "sentence", X.spaced_tokens(F.col("bare")).alias("tokens"), X.spaced_tokens(F.lower("bare")).alias("lows")
+    # Lower case does not depend on what stands beyond a blank, so one split gives both arrays.
+    cut = sentences.select(*KEYS, *carry, "sentence", X.spaced_tokens(bare).alias("tokens")).select(
+        *KEYS, *carry, "sentence", "tokens", F.transform("tokens", F.lower).alias("lows")
     )
     if not phrases:
         return cut
@@ -189,7 +191,8 @@ def _with_tokens(sentences: DataFrame, carry: list[str], phrases: list[str]) ->
 
 def score_core(sentences: DataFrame, lexicon: DataFrame, carry: list[str], phrases: list[str]) -> DataFrame:
     """Sum of the valences of known tokens, normalised; no modifier rule."""
-    exploded = _with_tokens(sentences, carry, phrases).select(*KEYS, *carry, F.explode("lows").alias("token"))
+    raw = _with_tokens(sentences, carry, phrases).select(*KEYS, *carry, F.explode("tokens").alias("raw"))
+    exploded = raw.select(*KEYS, *carry, F.lower("raw").alias("token"))
     totals = (
         exploded.join(lexicon, "token", "left")
         .groupBy(*KEYS, *carry)
@@ -219,6 +222,11 @@ def _negates(token: Column, rules: SentimentRules) -> Column:
     return token.isin(*rules.negators) | F.contains(token, F.lit(rules.negation_mark))
 
 
+def _is_cue(token: Column, rules: SentimentRules) -> Column:
+    """Any word that may change the valence of a word after it."""
+    return F.coalesce(token.isin(*rules.boosters, "never", "without") | _negates(token, rules), F.lit(False))
+
+
 def _turn(distance: int, rules: SentimentRules) -> Column:
     """The factor of the word ``distance`` places back: "never so" and "never this" lift,
     "without doubt" leaves as it is, other negations turn."""
@@ -256,23 +264,25 @@ def score_with_modifiers(
 ) -> DataFrame:
     """All modifier rules, without a sort.
 
-    Each token is exploded together with its three predecessors, which are read from the
-    token array of its own row; so the look-back needs no window.  Whether a predecessor
+    Each token is exploded, and sentiment words get their three predecessors from the
+    token array of their own row; so the look-back needs no window.  Whether a predecessor
     is itself a sentiment word only matters for degree words and negations, hence the
     small table of cue words.
     """
     distances = range(1, len(rules.damping) + 1)
     facts = ["emphasis", "mixed", "contrast_at"]
     cut = _with_tokens(sentences, carry, phrases)
-    counted_uppers = cut.withColumn(
-        "n_upper", F.size(F.filter("tokens", lambda t: _is_upper(t)))
-    )
-    per_sentence = counted_uppers.select(
+    # Only a sentence with the letters of the contrast word can hold it.
+    contrast_at = F.when(
+        F.contains(F.lower("sentence"), F.lit(rules.contrast)),
+        F.array_position(F.transform("tokens", F.lower), rules.contrast) - F.lit(1),
+    ).otherwise(F.lit(-1).cast("bigint"))
+    per_sentence = cut.select(
         *KEYS,
         *carry,
         punctuation_emphasis(F.col("sentence"), rules).alias("emphasis"),
-        ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("tokens"))).alias("mixed"),
-        (F.array_position("lows", rules.contrast) - F.lit(1)).alias("contrast_at"),
+        (F.exists("tokens", _is_upper) & F.exists("tokens", lambda t: ~_is_upper(t))).alias("mixed"),
+        contrast_at.alias("contrast_at"),
         "tokens",
     )
     exploded = per_sentence.select(
@@ -280,12 +290,14 @@ def score_with_modifiers(
         # outer, although no sentence is empty: the inner form would add a filter on the
         # token count, which cuts every sentence a second time
         F.posexplode_outer("tokens").alias("at", "raw"),
-    ).select(
-        *KEYS, *carry, *facts, "at", "raw", F.lower("raw").alias("token"),
+    ).withColumn("token", F.lower("raw"))
+    # Other words add nothing to the sum; the first of each sentence stays, for sentences without a known word.
+    worth = F.col("valence").isNotNull() | (F.coalesce("at", F.lit(0)) == 0)
+    row = exploded.join(lexicon, "token", "left").where(worth).select(
+        *KEYS, *carry, *facts, "at", "raw", "token", "valence",
         *[F.get("tokens", F.col("at") - F.lit(d)).alias(f"raw{d}") for d in distances],
-        F.when(F.lower("raw") == "no", F.lower(F.get("tokens", F.col("at") + F.lit(1)))).alias("after_no"),
+        F.when(F.col("token") == "no", F.lower(F.get("tokens", F.col("at") + F.lit(1)))).alias("after_no"),
     )
-    row = exploded.join(lexicon, "token", "left")
     known = broadcast_if_small(
         lexicon.filter(
             F.col("token").isin(*rules.boosters, "least", "never", "without") | _negates(F.col("token"), rules)
@@ -327,7 +339,10 @@ def score_with_modifiers(
     is_booster = F.col("token").isin(*rules.boosters)
     counted = F.when(
         F.col("valence").isNotNull() & ~is_booster,
-        F.aggregate(cues, start, lambda value, cue: _after_cue(value, cue, rules))
+        F.when(
+            reduce(or_, [_is_cue(F.col(f"cue{d}"), rules) for d in distances]),
+            F.aggregate(cues, start, lambda value, cue: _after_cue(value, cue, rules)),
+        ).otherwise(start)
         * F.when(least, F.lit(rules.negation)).otherwise(F.lit(1.0)),
     ).otherwise(F.lit(0.0))
     row = row.select(*KEYS, *carry, "emphasis", "at", "contrast_at", counted.alias("counted"))
