@@ -125,3 +125,28 @@ def test_word_counts_are_hashed_and_limited_before_the_venue_shuffle(reviews_of)
     plan = plan_of(keyword_ranks(vl.term_counts(reviews)))
     assert plan.count("WindowGroupLimit") == 2
     assert "EvalPython" not in plan_of(vl.summarize(reviews))
+
+
+def test_only_sentences_that_may_win_meet_all_counts(spark, monkeypatch):
+    """Bounds from a few frequent words give the summary of the whole join, ties, small and unknown venues included."""
+    from venuelens.operators import summary as M
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = [f"w{chr(97 + int(rng.paretovariate(0.6)) % 26)}{chr(97 + rng.randrange(3))}" for _ in range(rng.randrange(3, 9))]
+        rows.append((i % 290, rng.choice([1, 1, 1, 2, None]), 1.0, " ".join(words) + ". " + " ".join(words[::-1])))
+    rows += [(900, 3, 1.0, "one short remark here"), (901, 4, 1.0, "これ は とても いい です. 1 2 3 4 5"), (902, 5, 1.0, None)]
+    reviews = spark.createDataFrame(rows, "review_id bigint, cafe_id bigint, rating double, review_text string")
+    place = ["cafe_id", "review_id", "sent_pos", "n_words", "weight", "rank"]
+    whole = M.top_sentences(M.sentence_salience(M.distinct_sentences(reviews), vl.term_counts(reviews)))
+    want = {tuple(r) for r in whole.select(place).collect()}
+    met, plain = [], M.sentence_salience
+    monkeypatch.setattr(M, "sentence_salience", lambda d, *a: met.append(d.count()) or plain(d, *a))
+    monkeypatch.setattr(M, "MAX_FREQUENT", 60)
+    assert {tuple(r) for r in vl.summary_sentences(reviews).select(place).collect()} == want
+    everything = M.distinct_sentences(reviews).count()
+    assert met[0] < everything / 2
+    monkeypatch.setattr(M, "MAX_FREQUENT", 1)  # more venues than that: all sentences meet all counts
+    assert {tuple(r) for r in vl.summary_sentences(reviews).select(place).collect()} == want
+    assert met[1] == everything

@@ -12,6 +12,8 @@ from venuelens.functions import text as X
 from venuelens.operators.terms import has_text_key, not_stopword, sentences, term_counts
 from venuelens.session import broadcast_if_small, written
 
+#: Frequent words of all venues together that are broadcast to bound the salience of sentences (some 30 MB).
+MAX_FREQUENT = 200_000
 #: Chosen sentences whose places are broadcast to look up their texts (some 50 MB); more are joined by shuffle.
 MAX_CHOSEN = 500_000
 
@@ -66,6 +68,61 @@ def sentence_salience(
     )
 
 
+def salience_bounds(
+    distinct: DataFrame, frequent: DataFrame, stopwords: Iterable[str] = tuple(vocab.STOPWORDS)
+) -> DataFrame:
+    """``least`` and ``most``, between which the salience of each sentence lies.
+
+    ``frequent`` (cafe_id, word, n, rest) are the most frequent words of each venue, and ``rest`` is a count
+    that no other word of it exceeds.  The counts of the frequent words are exact, so only the others are
+    bounded.  The words meet a broadcast table where the sentence is read, and are summed there.
+    """
+    place = ["cafe_id", "review_id", "sent_pos"]
+    found = X.word_array(F.col("key"))
+    words = distinct.select(*place, found.alias("found")).select(
+        *place, F.size("found").alias("n_words"), F.explode_outer("found").alias("listed")
+    )
+    words = words.select(*place, "n_words", F.when(not_stopword(F.col("listed"), stopwords), F.col("listed")).alias("word"))
+    rests = frequent.groupBy("cafe_id").agg(F.max("rest").alias("rest"))
+    unknown = F.col("word").isNotNull() & F.col("n").isNull()
+    sums = (
+        words.join(F.broadcast(frequent.select("cafe_id", "word", "n")), ["cafe_id", "word"], "left")
+        .groupBy(*place, "n_words")
+        .agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("known"), F.count(F.when(unknown, 1)).alias("others"))
+        .join(F.broadcast(rests), "cafe_id", "left")
+    )
+    below = F.col("n_words") + F.lit(1)
+    highest = F.col("known") + F.col("others") * F.coalesce("rest", F.lit(0).cast("bigint"))
+    return sums.select(*place, "n_words", (F.col("known") / below).alias("least"), (highest / below).alias("most"))
+
+
+def _frequent_words(counts: DataFrame, n_words: int) -> DataFrame:
+    """The ``n_words`` most frequent words of each venue, with the count of the last one as ``rest``."""
+    order = Window.partitionBy("cafe_id").orderBy(F.col("n").desc(), "word")
+    ranked = counts.select("cafe_id", "word", "n").withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_words)
+    return ranked.withColumn("rest", F.min("n").over(Window.partitionBy("cafe_id"))).drop("at")
+
+
+def _may_win(distinct: DataFrame, bounds: DataFrame, max_sentences: int) -> DataFrame:
+    """The rows of ``distinct`` whose salience may be among the ``max_sentences`` highest of their venue."""
+    order = Window.partitionBy("cafe_id").orderBy(F.col("least").desc())
+    limits = (
+        bounds.select("cafe_id", "least")
+        .withColumn("at", F.row_number().over(order))
+        .where(F.col("at") <= max_sentences)
+        .where(F.col("at") == max_sentences)
+        .select(F.col("cafe_id").alias("limit_of"), F.col("least").alias("limit"))
+    )
+    open_rows = bounds.join(F.broadcast(limits), bounds["cafe_id"].eqNullSafe(F.col("limit_of")), "left").where(
+        F.col("limit").isNull() | (F.col("most") >= F.col("limit"))
+    )
+    left = broadcast_if_small(
+        open_rows.select(*[F.col(c).alias(f"open_{c}") for c in ("cafe_id", "review_id", "sent_pos")]).distinct(), MAX_CHOSEN
+    )
+    same = [distinct[c].eqNullSafe(F.col(f"open_{c}")) for c in ("cafe_id", "review_id", "sent_pos")]
+    return distinct.join(left, same, "left_semi")
+
+
 def top_sentences(salience: DataFrame, max_sentences: int = 3) -> DataFrame:
     order = Window.partitionBy("cafe_id").orderBy(
         F.col("ratio").desc(), "review_id", "sent_pos"
@@ -87,12 +144,21 @@ def summary_sentences(
     ``score`` is the salience with counts scaled by the venue's largest count.  The
     sentence text is looked up again for the few winners, instead of travelling with
     every word.
+
+    Word counts (unless the caller gives ``counts``) and distinct sentences are written once.  Sentences that
+    the counts of frequent words rule out meet no other counts: where the venues are at most
+    ``MAX_FREQUENT``, only the rest is joined with all counts by shuffle.
     """
-    counts = term_counts(reviews, stopwords) if counts is None else counts
-    winners = top_sentences(
-        sentence_salience(distinct_sentences(reviews, min_tokens), counts, stopwords),
-        max_sentences,
-    )
+    if counts is None:
+        counts = written(term_counts(reviews, stopwords).select("cafe_id", "word", "n"), "word-counts")
+    distinct = distinct_sentences(reviews, min_tokens)
+    venues = counts.select("cafe_id").distinct().limit(MAX_FREQUENT + 1).count()
+    if 0 < venues <= MAX_FREQUENT:
+        distinct = written(distinct, "distinct-sentences")
+        frequent = written(_frequent_words(counts, MAX_FREQUENT // venues), "frequent-words")
+        bounds = written(salience_bounds(distinct, frequent, stopwords), "sentence-bounds")
+        distinct = _may_win(distinct, bounds, max_sentences)
+    winners = top_sentences(sentence_salience(distinct, counts, stopwords), max_sentences)
     largest = counts.groupBy("cafe_id").agg(F.max("n").alias("max_n"))
     scored = winners.join(largest, "cafe_id", "left").select(
         "cafe_id",

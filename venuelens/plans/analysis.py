@@ -49,7 +49,7 @@ def analyze(
     ``cafe_id`` has to be unique in ``venues`` and ``review_id`` in ``reviews``.  Every
     part is aggregated by venue on its own and joined by ``cafe_id``; reviews of unknown
     venues fall out in that join.  ``write_counts`` stores the word counts once as a table
-    in the shared folder, for keywords and summary alike, instead of counting twice.
+    in the shared folder with their places, for keywords and summary alike, instead of counting twice.
     """
     counts = term_counts(reviews, stopwords)
     if write_counts:
@@ -60,7 +60,7 @@ def analyze(
         F.transform(words, lambda e: e["word"]).alias("keywords")
     )
     summaries = summary_text(
-        summary_sentences(reviews, max_sentences, stopwords=stopwords, counts=counts)
+        summary_sentences(reviews, max_sentences, stopwords=stopwords, counts=counts if write_counts else None)
     )
     per_aspect = aspect_map(aspect_by_venue(aspect_by_review(reviews, lexicon, aspects, **scoring)))
     return (
