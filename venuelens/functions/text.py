@@ -70,6 +70,22 @@ def without_outer_punctuation(sentence: Column) -> Column:
     return F.regexp_replace(sentence, _WRAPPED, "$1")
 
 
+def bare_token(token: Column) -> Column:
+    """One whitespace token without its outer punctuation, by the rule of ``without_outer_punctuation``.
+
+    For rows of exploded tokens: two looks at the ends, where a pattern reads every character.
+    """
+    core = F.btrim(token, F.lit(ASCII_PUNCTUATION))
+    # Trimming copies every character it looks at, so most words are spared by their first and last one.
+    ends = F.substring(token, 1, 1).isin(*ASCII_PUNCTUATION) | F.substring(token, -1, 1).isin(*ASCII_PUNCTUATION)
+    return F.when(ends, F.when(F.length(core) > 2, core).otherwise(token)).otherwise(token)
+
+
+def holds_token(sentence: Column, token: str) -> Column:
+    """Some whitespace token of ``sentence`` is ``token``, perhaps in outer punctuation."""
+    return F.rlike(sentence, F.lit(rf"(?U)(?<!{_ANY})[{_PUNCT}]*\Q{token}\E[{_PUNCT}]*(?!{_ANY})"))
+
+
 def windows(text: Column, size: int) -> Column:
     """The whole text in windows of ``size`` characters, cut in one pass; an empty text is one empty window."""
     cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
@@ -95,6 +111,11 @@ def position(review_id: Column, offset: Column, text_key: bool = False) -> Colum
     return (base + offset.cast("decimal(10,0)")).cast("decimal(30,0)")
 
 
+def narrow_position(review_id: Column, offset: Column) -> Column:
+    """The same number as a long, for ids from -2**32 to 2**32 - 1."""
+    return review_id.cast("bigint") * F.lit(_SPAN).cast("bigint") + offset.cast("bigint")
+
+
 def position_offset(pos: Column, text_key: bool = False) -> Column:
     if text_key:
         return pos["offset"]

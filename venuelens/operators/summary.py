@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from venuelens import vocab
 from venuelens.functions import text as X
-from venuelens.operators.terms import has_text_key, not_stopword, sentences, term_counts
+from venuelens.operators.terms import first_position, has_text_key, not_stopword, sentences, term_counts
 from venuelens.session import broadcast_if_small, written
 
 #: Frequent words of all venues together that are broadcast to bound the salience of sentences (some 30 MB).
@@ -30,7 +30,7 @@ def distinct_sentences(reviews: DataFrame, min_tokens: int = 4) -> DataFrame:
         sentences(reviews)
         .filter(X.has_tokens(F.col("sentence"), min_tokens))
         .groupBy("cafe_id", F.lower("sentence").alias("key"))
-        .agg(F.min(X.position(F.col("review_id"), F.col("sent_pos"), text_key)).alias("first_at"))
+        .agg(first_position(reviews, "sent_pos").alias("first_at"))
         .select(
             "cafe_id",
             X.position_review(first_at, text_key).alias("review_id"),
@@ -74,15 +74,18 @@ def salience_bounds(
     """``least`` and ``most``, between which the salience of each sentence lies.
 
     ``frequent`` (cafe_id, word, n, rest) are the most frequent words of each venue, and ``rest`` is a count
-    that no other word of it exceeds.  The counts of the frequent words are exact, so only the others are
+    that no other word of it exceeds; a venue without such words has a row with a null word.  The counts of the frequent words are exact, so only the others are
     bounded.  The words meet a broadcast table where the sentence is read, and are summed there.
     """
     place = ["cafe_id", "review_id", "sent_pos"]
     found = X.word_array(F.col("key"))
     words = distinct.select(*place, found.alias("found")).select(
-        *place, F.size("found").alias("n_words"), F.explode_outer("found").alias("listed")
+        *place, F.size("found").alias("n_words"), F.posexplode_outer("found").alias("at", "listed")
     )
-    words = words.select(*place, "n_words", F.when(not_stopword(F.col("listed"), stopwords), F.col("listed")).alias("word"))
+    # The first word stays, for sentences that have only stopwords.
+    counted = not_stopword(F.col("listed"), stopwords)
+    words = words.where((F.coalesce("at", F.lit(0)) == 0) | counted)
+    words = words.select(*place, "n_words", F.when(counted, F.col("listed")).alias("word"))
     rests = frequent.groupBy("cafe_id").agg(F.max("rest").alias("rest"))
     unknown = F.col("word").isNotNull() & F.col("n").isNull()
     sums = (
@@ -96,11 +99,23 @@ def salience_bounds(
     return sums.select(*place, "n_words", (F.col("known") / below).alias("least"), (highest / below).alias("most"))
 
 
-def _frequent_words(counts: DataFrame, n_words: int) -> DataFrame:
-    """The ``n_words`` most frequent words of each venue, with the count of the last one as ``rest``."""
-    order = Window.partitionBy("cafe_id").orderBy(F.col("n").desc(), "word")
-    ranked = counts.select("cafe_id", "word", "n").withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_words)
-    return ranked.withColumn("rest", F.min("n").over(Window.partitionBy("cafe_id"))).drop("at")
+def _counts_of_counts(counts: DataFrame) -> DataFrame:
+    """``(cafe_id, n, words)``: how many words of a venue occur ``n`` times."""
+    return counts.groupBy("cafe_id", "n").agg(F.count("*").alias("words"))
+
+
+def _frequent_words(counts: DataFrame, levels: DataFrame, n_words: int) -> DataFrame:
+    """The most frequent words of each venue, at most ``n_words``, with the highest count of the others as ``rest``.
+
+    Words of equal count are taken or left together, so the few counts of ``levels`` are ranked and not the words.
+    """
+    down = Window.partitionBy("cafe_id").orderBy(F.col("n").desc())
+    too_many = F.sum("words").over(down) > n_words
+    rests = levels.withColumn("left", F.when(too_many, F.col("n"))).groupBy("cafe_id").agg(F.coalesce(F.max("left"), F.lit(0)).alias("rest"))
+    rests = written(rests, "rests")
+    taken = counts.join(F.broadcast(rests), "cafe_id").where(F.col("n") > F.col("rest")).select("cafe_id", "word", "n", "rest")
+    none = [F.lit(None).cast(counts.schema[c].dataType).alias(c) for c in ("word", "n")]
+    return taken.union(rests.select("cafe_id", *none, "rest"))
 
 
 def _may_win(distinct: DataFrame, bounds: DataFrame, max_sentences: int) -> DataFrame:
@@ -152,10 +167,11 @@ def summary_sentences(
     if counts is None:
         counts = written(term_counts(reviews, stopwords).select("cafe_id", "word", "n"), "word-counts")
     distinct = distinct_sentences(reviews, min_tokens)
-    venues = counts.select("cafe_id").distinct().limit(MAX_FREQUENT + 1).count()
+    levels = written(_counts_of_counts(counts), "counts-of-counts")
+    venues = levels.select("cafe_id").distinct().limit(MAX_FREQUENT + 1).count()
     if 0 < venues <= MAX_FREQUENT:
         distinct = written(distinct, "distinct-sentences")
-        frequent = written(_frequent_words(counts, MAX_FREQUENT // venues), "frequent-words")
+        frequent = written(_frequent_words(counts, levels, MAX_FREQUENT // venues), "frequent-words")
         bounds = written(salience_bounds(distinct, frequent, stopwords), "sentence-bounds")
         distinct = _may_win(distinct, bounds, max_sentences)
     winners = top_sentences(sentence_salience(distinct, counts, stopwords), max_sentences)

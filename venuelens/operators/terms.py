@@ -34,6 +34,21 @@ def has_text_key(reviews: DataFrame) -> bool:
     return isinstance(reviews.schema["review_id"].dataType, T.StringType)
 
 
+def first_position(reviews: DataFrame, offset: str) -> Column:
+    """Aggregate: the smallest position of a group, as ``min(position)`` gives it.
+
+    Ids of up to 32 bits, and a sign, are compared as one long; only others pay for wide decimals in every row.
+    """
+    review_id, at = F.col("review_id"), F.col(offset)
+    if not isinstance(reviews.schema["review_id"].dataType, T.IntegralType):
+        return F.min(X.position(review_id, at, has_text_key(reviews)))
+    narrow = review_id.between(-(2**32), 2**32 - 1)
+    return F.least(
+        F.min(F.when(narrow, X.narrow_position(review_id, at))).cast("decimal(30,0)"),
+        F.min(F.when(~narrow, X.position(review_id, at))),
+    )
+
+
 def not_stopword(word: Column, stopwords: Iterable[str]) -> Column:
     return ~word.isin(*stopwords)
 
@@ -52,7 +67,7 @@ def term_counts(
     )
     return kept.groupBy("cafe_id", "word").agg(
         F.count("*").alias("n"),
-        F.min(X.position(F.col("review_id"), F.col("word_pos"), has_text_key(reviews))).alias("first_at"),
+        first_position(reviews, "word_pos").alias("first_at"),
     )
 
 

@@ -41,15 +41,15 @@ def analyze(
     max_sentences: int = 3,
     top_n: int = 6,
     longer_than: int = 3,
-    write_counts: bool = False,
+    write_counts: bool = True,
     **scoring,
 ) -> DataFrame:
     """One row per venue with the 17 analysis columns; venues without reviews are kept.
 
     ``cafe_id`` has to be unique in ``venues`` and ``review_id`` in ``reviews``.  Every
     part is aggregated by venue on its own and joined by ``cafe_id``; reviews of unknown
-    venues fall out in that join.  ``write_counts`` stores the word counts once as a table
-    in the shared folder with their places, for keywords and summary alike, instead of counting twice.
+    venues fall out in that join.  The word counts are stored once as a table in the shared folder with
+    their places, for keywords and summary alike; ``write_counts=False`` counts twice instead.
     """
     counts = term_counts(reviews, stopwords)
     if write_counts:
