@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuelens import vocab
+from venuelens.functions import text as X
 from venuelens.functions.scores import score_to_ten
 from venuelens.operators.sentiment import score_sentences
 from venuelens.operators.terms import sentences
@@ -51,7 +52,7 @@ def aspect_sentences(
     reviews: DataFrame, aspects: dict[str, list[str]] = vocab.ASPECT_KEYWORDS
 ) -> DataFrame:
     """Sentences that touch at least one aspect; the aspects are bits of ``touched...``."""
-    lowered = F.col("lowered")
+    lowered = F.col("cut.lowered")
     chunks = _chunks(aspects)
     bits = {
         c: reduce(
@@ -65,12 +66,15 @@ def aspect_sentences(
         )
         for c, names in chunks.items()
     }
+    # Lower case is worked out before the sentences become rows: the filter below would repeat it for every keyword.
+    both = F.transform(
+        X.sentence_array(F.col("review_text")), lambda s: F.struct(s.alias("sentence"), F.lower(s).alias("lowered"))
+    )
+    cut = reviews.select("cafe_id", "review_id", F.posexplode(both).alias("sent_pos", "cut"))
     return (
-        sentences(reviews)
-        .withColumn("lowered", F.lower("sentence"))
-        .withColumns(bits)
+        cut.withColumns(bits)
         .filter(reduce(or_, [F.col(c) != 0 for c in chunks]))
-        .drop("lowered")
+        .select("cafe_id", "review_id", "sent_pos", F.col("cut.sentence").alias("sentence"), *chunks)
     )
 
 

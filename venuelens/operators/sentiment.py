@@ -176,23 +176,29 @@ def with_compound(
     ).select(*KEYS, *carry, exact_round(F.col("squeezed"), 4).alias("compound"))
 
 
-def _with_tokens(sentences: DataFrame, carry: list[str], phrases: list[str]) -> DataFrame:
-    """``tokens`` as written and ``lows`` in lower case, phrases as one token."""
+def _with_tokens(
+    sentences: DataFrame, carry: list[str], phrases: list[str]
+) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``tokens`` of each sentence, phrases as one token, and the function that gives a token as it is scored.
+
+    Without phrases the tokens keep their outer punctuation until they are rows of their own: only there
+    is cutting it cheap.
+    """
+    if not phrases:
+        return sentences.select(*KEYS, *carry, "sentence", X.spaced_tokens(F.col("sentence")).alias("tokens")), X.bare_token
     bare = X.without_outer_punctuation(F.col("sentence"))
     # Lower case does not depend on what stands beyond a blank, so one split gives both arrays.
     cut = sentences.select(*KEYS, *carry, "sentence", X.spaced_tokens(bare).alias("tokens")).select(
         *KEYS, *carry, "sentence", "tokens", F.transform("tokens", F.lower).alias("lows")
     )
-    if not phrases:
-        return cut
-    merged = cut.withColumn("tokens", merge_phrases(F.col("tokens"), F.col("lows"), phrases))
-    return merged.withColumn("lows", F.transform("tokens", F.lower))
+    return cut.withColumn("tokens", merge_phrases(F.col("tokens"), F.col("lows"), phrases)).drop("lows"), lambda t: t
 
 
 def score_core(sentences: DataFrame, lexicon: DataFrame, carry: list[str], phrases: list[str]) -> DataFrame:
     """Sum of the valences of known tokens, normalised; no modifier rule."""
-    raw = _with_tokens(sentences, carry, phrases).select(*KEYS, *carry, F.explode("tokens").alias("raw"))
-    exploded = raw.select(*KEYS, *carry, F.lower("raw").alias("token"))
+    cut, as_scored = _with_tokens(sentences, carry, phrases)
+    raw = cut.select(*KEYS, *carry, F.explode("tokens").alias("raw"))
+    exploded = raw.select(*KEYS, *carry, F.lower(as_scored(F.col("raw"))).alias("token"))
     totals = (
         exploded.join(lexicon, "token", "left")
         .groupBy(*KEYS, *carry)
@@ -270,18 +276,21 @@ def score_with_modifiers(
     small table of cue words.
     """
     distances = range(1, len(rules.damping) + 1)
-    facts = ["emphasis", "mixed", "contrast_at"]
-    cut = _with_tokens(sentences, carry, phrases)
+    facts = ["emphasis", "contrast_at"]
+    cut, as_scored = _with_tokens(sentences, carry, phrases)
     # Only a sentence with the letters of the contrast word can hold it.
+    lowered = F.lower("sentence")
+    may_contrast = F.contains(lowered, F.lit(rules.contrast)) & (
+        F.lit(True) if phrases else X.holds_token(lowered, rules.contrast)
+    )
     contrast_at = F.when(
-        F.contains(F.lower("sentence"), F.lit(rules.contrast)),
-        F.array_position(F.transform("tokens", F.lower), rules.contrast) - F.lit(1),
+        may_contrast,
+        F.array_position(F.transform("tokens", lambda t: F.lower(as_scored(t))), rules.contrast) - F.lit(1),
     ).otherwise(F.lit(-1).cast("bigint"))
     per_sentence = cut.select(
         *KEYS,
         *carry,
         punctuation_emphasis(F.col("sentence"), rules).alias("emphasis"),
-        (F.exists("tokens", _is_upper) & F.exists("tokens", lambda t: ~_is_upper(t))).alias("mixed"),
         contrast_at.alias("contrast_at"),
         "tokens",
     )
@@ -289,15 +298,21 @@ def score_with_modifiers(
         *KEYS, *carry, *facts, "tokens",
         # outer, although no sentence is empty: the inner form would add a filter on the
         # token count, which cuts every sentence a second time
-        F.posexplode_outer("tokens").alias("at", "raw"),
-    ).withColumn("token", F.lower("raw"))
+        F.posexplode_outer("tokens").alias("at", "written"),
+    ).select(*KEYS, *carry, *facts, "tokens", "at", as_scored(F.col("written")).alias("raw")).withColumn("token", F.lower("raw"))
     # Other words add nothing to the sum; the first of each sentence stays, for sentences without a known word.
     worth = F.col("valence").isNotNull() | (F.coalesce("at", F.lit(0)) == 0)
     row = exploded.join(lexicon, "token", "left").where(worth).select(
-        *KEYS, *carry, *facts, "at", "raw", "token", "valence",
-        *[F.get("tokens", F.col("at") - F.lit(d)).alias(f"raw{d}") for d in distances],
-        F.when(F.col("token") == "no", F.lower(F.get("tokens", F.col("at") + F.lit(1)))).alias("after_no"),
+        *KEYS, *carry, *facts, "tokens", "at", "raw", "token", "valence",
+        *[as_scored(F.get("tokens", F.col("at") - F.lit(d))).alias(f"raw{d}") for d in distances],
+        F.when(F.col("token") == "no", F.lower(as_scored(F.get("tokens", F.col("at") + F.lit(1))))).alias("after_no"),
     )
+    # Only capitals of a sentiment word or a degree word matter: the rest of the sentence is looked at where one has them.
+    degree = [F.lower(f"raw{d}").isin(*rules.boosters) & _is_upper(F.col(f"raw{d}")) for d in distances]
+    loud = reduce(or_, [F.coalesce(c, F.lit(False)) for c in [_is_upper(F.col("raw")), *degree]])
+    row = row.withColumn("tokens", F.when(F.col("valence").isNotNull() & loud, F.col("tokens")))
+    mixed = F.exists("tokens", _is_upper) & F.exists("tokens", lambda t: ~_is_upper(t))
+    row = row.withColumn("mixed", F.coalesce(mixed, F.lit(False))).drop("tokens")
     known = broadcast_if_small(
         lexicon.filter(
             F.col("token").isin(*rules.boosters, "least", "never", "without") | _negates(F.col("token"), rules)
